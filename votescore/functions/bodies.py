@@ -1,38 +1,33 @@
 """JSON operation bodies to the common (author, voter, permlink, rshares) shape."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# As text, because the weight may be a JSON number or a JSON string.
+_FIELDS = "author string, voter string, permlink string, rshares string"
 
-def _field(name: str) -> Column:
-    return F.get_json_object("body_value", f"$.{name}")
+
+def _parsed(ops: DataFrame, *columns) -> DataFrame:
+    """The given columns and the body fields. The generator keeps later filters and joins on the
+    fields from being pushed below it, so every body is parsed exactly once."""
+    return ops.select(*columns, F.inline(F.array(F.from_json("body_value", _FIELDS))))
 
 
 def parse_votes(ops: DataFrame) -> DataFrame:
-    """Vote bodies. `rshares` may be a JSON number or a string; other text is an error."""
-    return ops.select(
-        "source_op", "op_type_id",
-        _field("author").alias("author"), _field("voter").alias("voter"),
-        _field("permlink").alias("permlink"), _field("rshares").cast("long").alias("rshares"),
-    )
+    """Vote bodies. A weight that is not a whole number is an error."""
+    return _parsed(ops, "source_op", "op_type_id").withColumn("rshares", F.col("rshares").cast("long"))
 
 
 def parse_removals(ops: DataFrame) -> DataFrame:
     """Delete and payout bodies: they concern every vote of the post, so no voter and no weight."""
-    return ops.select(
-        "source_op", "op_type_id",
-        _field("author").alias("author"), F.lit(None).cast("string").alias("voter"),
-        _field("permlink").alias("permlink"), F.lit(None).cast("long").alias("rshares"),
-    )
+    return _parsed(ops, "source_op", "op_type_id").withColumns({
+        "voter": F.lit(None).cast("string"), "rshares": F.lit(None).cast("long")})
 
 
 def normalize_ops(ops: DataFrame, vote_type: int) -> DataFrame:
     """Both kinds in one pass: voter and weight are read from vote bodies only."""
     is_vote = F.col("op_type_id") == F.lit(vote_type)
-    return ops.select(
-        "source_op", is_vote.alias("is_vote"),
-        _field("author").alias("author"),
-        F.when(is_vote, _field("voter")).alias("voter"),
-        _field("permlink").alias("permlink"),
-        F.when(is_vote, _field("rshares")).cast("long").alias("rshares"),
-    )
+    return _parsed(ops, "source_op", is_vote.alias("is_vote")).withColumns({
+        "voter": F.when(F.col("is_vote"), F.col("voter")),
+        "rshares": F.when(F.col("is_vote"), F.col("rshares")).cast("long"),
+    })

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from votescore.functions.score import scaled
 from votescore.session import cut_lineage
 
-# Votes folded by one task. Slices of a wave run at the same time.
+# Votes folded by one task: at most, and at least when more slices would only add rounds.
 SLICE_VOTES = 250_000
+MIN_SLICE_VOTES = 2_000
+# Slices that run at the same time.
 WAVE_SLICES = 4_000
 
 STORED_SLICE = -1
@@ -242,7 +244,8 @@ def _waves(votes: DataFrame, slice_votes: int, slices: int | None):
     total = votes.count()
     if not total:
         return
-    wanted = slices or max(votes.sparkSession.sparkContext.defaultParallelism, -(-total // slice_votes))
+    parallel = min(votes.sparkSession.sparkContext.defaultParallelism, -(-total // MIN_SLICE_VOTES))
+    wanted = slices or max(parallel, -(-total // slice_votes))
     parts = -(-wanted // WAVE_SLICES)
     if parts == 1:
         yield votes, min(wanted, total)

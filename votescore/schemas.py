@@ -33,10 +33,11 @@ PERMLINKS = T.StructType([
 ])
 
 # One row per commit. `version` numbers the commits, `data_version` names the snapshot they
-# point at (older than `version` after a rewind).
+# point at (older than `version` after a rewind). `source` and `batch_id` name the delivered batch.
 PROGRESS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("data_version", T.LongType()),
+    T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("first_block", T.IntegerType()),
     T.StructField("last_block", T.IntegerType()),

@@ -1,0 +1,125 @@
+import pytest
+
+from tests.helpers import active_rows, link_rows, sorted_rows
+from tests.model import Model, random_log
+from votescore import schemas
+from votescore.operators import active, links
+
+TRANSITION = ["author_id", "voter_id", "permlink", "rshares", "prev_rshares", "source_op"]
+
+
+def both_ways(rows):
+    """The linked rows through whole windows and through pieces."""
+    return [links.link(rows), links.link(rows, hot_rows=5, pieces=4)]
+
+
+def rows_with_stored(spark, rows, stored=()):
+    frame = link_rows(spark, rows)
+    old = spark.createDataFrame([(a, v, f"post-{p}", w) for a, v, p, w in stored], schemas.ACTIVE_VOTES)
+    extra = old.selectExpr("*", "0L as source_op", f"{links.STORED} as kind").select(*links.ROW)
+    return frame.unionByName(extra)
+
+
+def vote(op, voter, weight, author=1, post=0):
+    return (op, 72, author, voter, post, weight)
+
+
+def removal(op, author=1, post=0):
+    return (op, 17, author, 0, post, 0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_logs(spark, seed):
+    log = random_log(seed, size=400, accounts=5, hot=0.4 if seed % 2 else 0.0)
+    model = Model().run(log)
+    for linked in both_ways(link_rows(spark, log)):
+        assert sorted_rows(links.vote_transitions(linked), "source_op", *TRANSITION) == sorted(
+            (t[-1], *t) for t in model.transitions)
+        assert active_rows(active.next_active_votes(linked)) == model.active_rows()
+
+
+@pytest.mark.parametrize("seed", range(10, 12))
+def test_second_range_on_stored_votes(spark, seed):
+    log = random_log(seed, size=300, accounts=4)
+    before, after = Model().run(log[:150]), Model().run(log)
+    stored = [(a, v, p, w) for (a, p), votes in before.active.items() for v, w in votes.items()]
+    late = [t for t in after.transitions if t[-1] >= log[150][0]]
+    deleted = {(op[2], op[4]) for op in log[150:] if op[1] != 72}
+    for linked in both_ways(rows_with_stored(spark, log[150:], stored)):
+        assert sorted_rows(links.vote_transitions(linked), "source_op", *TRANSITION) == sorted(
+            (t[-1], *t) for t in late)
+        assert active_rows(active.next_active_votes(linked)) == after.active_rows()
+        effects = active.batch_effects(linked).first()
+        assert effects.queued_votes == len(late)
+        assert effects.deleted_votes == sum((a, p) in deleted for a, _, p, _ in stored)
+
+
+def previous(linked):
+    return {r.source_op: r.prev_rshares for r in links.vote_transitions(linked).collect()}
+
+
+def test_stored_vote_is_the_previous_one_unless_removed(spark):
+    kept = rows_with_stored(spark, [vote(5, 2, 70)], [(1, 2, 0, 50)])
+    cut = rows_with_stored(spark, [removal(4), vote(5, 2, 70)], [(1, 2, 0, 50), (1, 3, 0, 60)])
+    for linked in both_ways(kept):
+        assert previous(linked) == {5: 50}
+        assert active_rows(active.next_active_votes(linked)) == [(1, 2, "post-0", 70)]
+    for linked in both_ways(cut):
+        assert previous(linked) == {5: 0}
+        # The old votes of all voters go, the new vote stays.
+        assert active_rows(active.next_active_votes(linked)) == [(1, 2, "post-0", 70)]
+        assert active_rows(active.removed_votes(linked)) == [(1, 2, "post-0", 50), (1, 3, "post-0", 60)]
+
+
+def test_zero_weight_is_a_previous_vote(spark):
+    rows = rows_with_stored(spark, [vote(3, 2, 0), vote(5, 2, 70)], [(1, 2, 0, 50)])
+    for linked in both_ways(rows):
+        assert previous(linked) == {3: 50, 5: 0}
+
+
+def test_removal_concerns_both_sides(spark):
+    rows = link_rows(spark, [vote(1, 2, 10), removal(2), vote(3, 3, 20), vote(4, 2, 30)] + [
+        vote(10 + i, 5, i, post=1) for i in range(20)])
+    for linked in both_ways(rows):
+        assert {k: v for k, v in previous(linked).items() if k < 10} == {1: 0, 3: 0, 4: 0}
+        assert [r for r in active_rows(active.surviving_votes(linked)) if r[2] == "post-0"] == [
+            (1, 2, "post-0", 30), (1, 3, "post-0", 20)]
+
+
+def test_unknown_voter_must_be_covered_by_a_later_removal(spark):
+    nobody = (1, None, "post-0", 10, 2, links.VOTE)
+    end = (1, None, "post-0", None, 3, links.REMOVAL)
+    schema = link_rows(spark, [vote(1, 2, 5)]).schema
+    covered = spark.createDataFrame([nobody, end], schema)
+    bare = spark.createDataFrame([nobody], schema)
+    for linked in both_ways(covered):
+        assert previous(linked) == {2: 0}
+        assert active.next_active_votes(linked).collect() == []
+    for linked in both_ways(bare):
+        with pytest.raises(Exception, match="vote without voter_id at operation 2"):
+            active.next_active_votes(linked).collect()
+
+
+def test_missing_weight(spark):
+    # As an older vote it counts as "no previous vote in the range": the stored vote is used again.
+    schema = link_rows(spark, [vote(1, 2, 5)]).schema
+    rows = [(1, 2, "post-0", 50, 0, links.STORED), (1, 2, "post-0", None, 2, links.VOTE),
+            (1, 2, "post-0", 70, 3, links.VOTE)]
+    for linked in both_ways(spark.createDataFrame(rows, schema)):
+        assert previous(linked) == {2: 50, 3: 50}
+    for linked in both_ways(spark.createDataFrame(rows[:2], schema)):
+        with pytest.raises(Exception, match="vote without rshares at operation 2"):
+            active.next_active_votes(linked).collect()
+
+
+def test_ranks_of_hot_posts(spark):
+    rows = link_rows(spark, random_log(3, size=400, accounts=3, hot=0.5))
+    columns = ["author_id", "permlink", "voter_id", "source_op", "row_num"]
+    assert sorted_rows(links.ranked_ops(rows), *columns) == sorted_rows(
+        links.ranked_ops(rows, hot_rows=5, pieces=4), *columns)
+
+
+def test_one_shuffle_links_everything(spark):
+    rows = link_rows(spark, random_log(5))
+    plan = links.link(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from votescore.functions.score import scaled
 from votescore.session import cut_lineage
 
-# Votes folded by one task: at most, and at least when more slices would only add rounds.
-SLICE_VOTES = 250_000
-MIN_SLICE_VOTES = 2_000
+# Votes folded by one task. A round costs about as much as folding a hundred thousand votes, so slices
+# are not made shorter than the minimum just to occupy every core.
+SLICE_VOTES = 500_000
+MIN_SLICE_VOTES = 50_000
 # Slices that run at the same time.
 WAVE_SLICES = 4_000
 
@@ -53,12 +54,14 @@ def _slice_folder(trace: bool):
     def fold(votes, starts):
         import pyarrow as pa
 
+        def values(column):
+            return column.to_pylist() if column.null_count else column.to_numpy().tolist()
+
         limit = 2**63 - 1
-        accounts = starts["account_id"].to_pylist()
+        accounts = values(starts["account_id"])
         start = dict(zip(accounts, map(int, starts["start_reputation"].to_pylist())))
-        start_implicit = starts["start_implicit"].to_pylist()
         state = dict(start)
-        explicit = {a for a, implicit in zip(accounts, start_implicit) if not implicit}
+        explicit = {a for a, implicit in zip(accounts, starts["start_implicit"].to_pylist()) if not implicit}
         slack, peak, gates = {}, {}, []
 
         def may_move(account, distance):
@@ -85,7 +88,7 @@ def _slice_folder(trace: bool):
                 peak[account] = size
 
         for author, voter, op, weight, previous in zip(
-                *(votes[c].to_pylist() for c in ("author_id", "voter_id", "source_op", "weight", "previous"))):
+                *(values(votes[c]) for c in ("author_id", "voter_id", "source_op", "weight", "previous"))):
             author_rep, voter_rep = state.get(author, 0), state.get(voter, 0)
             before = (author_rep, author not in explicit, voter_rep, voter not in explicit)
             undone = applied = False
@@ -136,14 +139,17 @@ def _slice_folder(trace: bool):
 
 def _slices(votes: DataFrame, count: int) -> DataFrame:
     """Votes with their slice number, laid out so that a slice is one sorted run of one partition."""
-    ranged = (
-        votes.select("source_op", "author_id", "voter_id",
-                     scaled(F.col("rshares")).alias("weight"), scaled(F.col("prev_rshares")).alias("previous"))
-        .repartitionByRange(count, "source_op").withColumn("slice", F.spark_partition_id())
-    )
-    # The slice numbers must not change when a lost partition is rebuilt, hence the checkpoint.
+    weighted = votes.select(
+        "source_op", "author_id", "voter_id",
+        scaled(F.col("rshares")).alias("weight"), scaled(F.col("prev_rshares")).alias("previous"))
+    if count == 1:
+        numbered = weighted.withColumn("slice", F.lit(0))
+    else:
+        # The slice numbers must not change when a lost partition is rebuilt, hence the checkpoint.
+        numbered = cut_lineage(
+            weighted.repartitionByRange(count, "source_op").withColumn("slice", F.spark_partition_id()))
     return (
-        cut_lineage(ranged).repartition(count, "slice").sortWithinPartitions("slice", "source_op")
+        numbered.repartition(count, "slice").sortWithinPartitions("slice", "source_op")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 

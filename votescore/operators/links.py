@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votescore.functions.branch import count_at_or_below
-from votescore.operators.skew import HOT_ROWS, PIECES, hot_keys, matches_any
+from votescore.operators.skew import HOT_ROWS, PIECES, hot_keys, split_hot
 
 STORED, VOTE, REMOVAL = 0, 1, 2
 
@@ -135,7 +135,7 @@ def _link_pieces(rows: DataFrame, posts: Sequence[tuple], pieces: int = PIECES)
         F.lit(False).alias("last_piece"), F.lit(None).cast("long").alias("stored_rshares"))
     return (
         chained.unionByName(chainless)
-        .join(F.broadcast(around), [*POST, "piece"])
+        .join(F.broadcast(around), [*POST, "piece"])  # MAX_HOT * 2 * pieces rows at most
         .select(
             *ROW,
             F.when(first_inside, F.col("back.source_op")).otherwise(F.col("local_op")).alias("back_op"),
@@ -160,8 +160,8 @@ def link(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> Dat
     posts = hot_posts(rows, hot_rows)
     if not posts:
         return _link_whole(rows)
-    hot = matches_any(POST, posts)
-    return _link_whole(rows.where(~hot)).unionByName(_link_pieces(rows.where(hot), posts, pieces))
+    hot, rest = split_hot(rows, POST, posts)
+    return _link_whole(rest).unionByName(_link_pieces(hot, posts, pieces))
 
 
 def vote_transitions(linked: DataFrame) -> DataFrame:
@@ -192,8 +192,7 @@ def ranked_ops(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES)
     posts = hot_posts(rows, hot_rows)
     if not posts:
         return whole(rows)
-    hot = matches_any(POST, posts)
-    part = rows.where(hot)
+    part, rest = split_hot(rows, POST, posts)
     cut = with_piece(part, cut_points(part, pieces), pieces)
     newer = Window.partitionBy(*CHAIN).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     counts = (
@@ -209,7 +208,7 @@ def ranked_ops(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES)
         cut.withColumn("inside", inside).join(counts, same)
         .select(*ROW, (F.col("inside") + F.col("newer")).cast("int").alias("row_num"))
     )
-    return whole(rows.where(~hot)).unionByName(sliced)
+    return whole(rest).unionByName(sliced)
 
 
 def removals(ranked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from votescore.operators.skew import BROADCAST_ROWS, HOT_ROWS, fits_broadcast, hot_keys, salted_lookup
+from votescore.session import cut_lineage
 
 
 def missing_account(name) -> F.Column:
@@ -38,6 +39,7 @@ def resolve_ops(ops: DataFrame, accounts: DataFrame, broadcast_rows: int = BROAD
             .join(F.broadcast(voters), posts["voter"] == voters["_voter"], "left")
         )
     else:
+        posts = cut_lineage(posts)  # read four times below, parsed once
         total = posts.count()
         hot = {side: [k[0] for k in hot_keys(posts, [side], total, hot_rows)] for side in ("author", "voter")}
         joined = salted_lookup(posts, "author", authors, "_author", "inner", hot["author"])

@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key with more rows than this does not go through one window or join task.
 HOT_ROWS = 1_000_000
@@ -27,20 +28,16 @@ def hot_keys(df: DataFrame, cols: Sequence[str], total: int, hot_rows: int = HOT
     return [tuple(r[c] for c in cols) for r in counts.select(*cols).collect()]
 
 
-def matches_any(cols: Sequence[str], keys: Sequence[tuple]) -> Column:
-    """True on rows whose columns equal one of a few keys; never NULL."""
-    found = F.lit(False)
-    for key in keys:
-        same = F.lit(True)
-        for name, value in zip(cols, key):
-            same = same & F.col(name).eqNullSafe(F.lit(value))
-        found = found | same
-    return found
+def split_hot(df: DataFrame, cols: Sequence[str], keys: Sequence[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, other rows). The keys are fewer than MAX_HOT, so they are broadcast."""
+    schema = T.StructType([df.schema[c] for c in cols])
+    table = F.broadcast(df.sparkSession.createDataFrame(list(keys), schema))
+    return df.join(table, list(cols), "left_semi"), df.join(table, list(cols), "left_anti")
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Checks the size of a side, reading no more than limit + 1 rows."""
-    return df.limit(limit + 1).count() <= limit
+    """Checks the size of a side before it is broadcast."""
+    return limit > 0 and df.count() <= limit
 
 
 def salted_lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, how: str,

@@ -202,6 +202,7 @@ ORACLES: dict[str, str] = {
     "scaled_votes": f"""WITH {_DENSE}, {_TRANSITIONS} SELECT source_op, rshares >> 6 AS scaled_rshares,
         prev_rshares >> 6 AS scaled_prev_rshares FROM transitions""",
     "raw_standing": _STANDING_ROWS,
+    "raw_standing_sliced": _STANDING_ROWS,
     "raw_standing_incremental": _STANDING_ROWS,
     "merged_reputation": """
         WITH new_values AS (SELECT CAST(o_custkey AS INTEGER) AS account_id,

@@ -267,12 +267,17 @@ def raw_standing(spark, sf_dir):
     return fold_votes(links.vote_transitions(_dense_links(spark, sf_dir)))
 
 
+def raw_standing_sliced(spark, sf_dir):
+    """The same state from sixteen slices that start from guesses."""
+    return fold_votes(links.vote_transitions(_dense_links(spark, sf_dir)), slices=16)
+
+
 def raw_standing_wide(spark, sf_dir):
     return fold_votes(links.vote_transitions(_wide_links(spark, sf_dir)))
 
 
 def gates(spark, sf_dir):
-    return vote_gates(links.vote_transitions(_dense_links(spark, sf_dir))).select(
+    return vote_gates(links.vote_transitions(_dense_links(spark, sf_dir)), slices=4).select(
         "source_op", "author_reputation", "author_implicit", "voter_reputation", "voter_implicit",
         "undone", "applied")
 
@@ -469,6 +474,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_effect_counts": batch_effect_counts,
     "scaled_votes": scaled_votes,
     "raw_standing": raw_standing,
+    "raw_standing_sliced": raw_standing_sliced,
     "raw_standing_wide": raw_standing_wide,
     "raw_standing_incremental": raw_standing_incremental,
     "merged_reputation": merged_reputation,

@@ -221,14 +221,15 @@ def _settle(votes: DataFrame, stored: DataFrame) -> DataFrame:
     starts = ["slice", "account_id", "start_reputation", "start_implicit"]
     line = cut_lineage(_timeline(_first_guess(votes, stored)))
     while True:
-        # At most one number per slice of the wave.
-        again = [r.slice for r in line.where("dirty").select("slice").distinct().collect()]
+        # At most a few rows per slice of the wave.
+        open_slices = line.where("dirty or overflow").select("slice", "dirty", "overflow").distinct().collect()
+        again = [r.slice for r in open_slices if r.dirty]
         if not again:
             break
         rerun = F.col("slice").isin(again)
         fresh = _cogroup(votes.where(rerun), line.where(rerun).select(*starts), trace=False)
         line = cut_lineage(_timeline(fresh.unionByName(line.where(~rerun).select(*columns))))
-    if not line.where("overflow").isEmpty():
+    if open_slices:
         raise ArithmeticError("reputation out of the 64-bit range")
     return line
 

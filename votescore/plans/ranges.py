@@ -57,9 +57,10 @@ def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types:
     if edge.first_op is not None and edge.first_op <= head.last_op:
         raise ValueError(f"operation {edge.first_op} is not after the committed operation {head.last_op}")
     reputation, active = process(
-        batch, accounts, types, store.active_votes(head.data_version), store.reputation(head.data_version))
+        batch, accounts, types, store.active_votes(head), store.reputation(head))
     store.commit(
-        reputation, active, source=source, batch_id=batch_id, started_at=started, last_op=edge.last_op or head.last_op,
+        head, reputation, active, source=source, batch_id=batch_id, started_at=started,
+        last_op=edge.last_op or head.last_op,
         first_block=first_block if first_block is not None else edge.first_block,
         last_block=last_block if last_block is not None else edge.last_block)
     return True

@@ -1,15 +1,17 @@
 """Versioned snapshots of the state, and the record of what has been processed.
 
-A commit writes both state tables under a new version and then one progress row. The progress row is
-a single file that appears with the commit of its write job, so a version without it does not exist
-for readers, and a failed attempt leaves nothing visible.
+A commit writes both state tables into a new snapshot and then one progress row that names it. The
+progress row is a single file that appears with the commit of its write job and is never replaced:
+a snapshot without one does not exist for readers, a failed attempt leaves nothing visible, and of
+two writers that continue from the same commit the second fails.
 """
 
+import uuid
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from votescore import __version__, schemas
 
@@ -19,17 +21,14 @@ class StateStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
-
     def create(self) -> "StateStore":
         """Version 0: empty state before the first block. An existing store is left as it is."""
         if self.latest() is None:
             empty = self.spark.createDataFrame
-            now = datetime.now()
-            self._commit(empty([], schemas.REPUTATION), empty([], schemas.ACTIVE_VOTES), Row(
-                version=0, data_version=0, source="", batch_id=-1, first_block=0, last_block=0, last_op=0,
-                started_at=now, ended_at=now, pipeline_version=__version__))
+            start = Row(version=-1)
+            self.commit(
+                start, empty([], schemas.REPUTATION), empty([], schemas.ACTIVE_VOTES), source="", batch_id=-1,
+                first_block=0, last_block=0, last_op=0, started_at=datetime.now())
         return self
 
     def progress(self) -> DataFrame:
@@ -37,38 +36,38 @@ class StateStore:
         try:
             return self.spark.read.schema(schemas.PROGRESS).json(f"{self.root}/progress/*")
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schemas.PROGRESS)
 
     def latest(self) -> Row | None:
         return latest(self.progress()).first()
 
-    def reputation(self, version: int | None = None) -> DataFrame:
-        return self._read("account_reputations", schemas.REPUTATION, version)
-
-    def active_votes(self, version: int | None = None) -> DataFrame:
-        return self._read("active_votes", schemas.ACTIVE_VOTES, version)
-
-    def _read(self, name: str, schema, version: int | None) -> DataFrame:
-        if version is None:
-            version = self.latest().data_version
-        return self.spark.read.schema(schema).parquet(self._path(name, version))
-
-    def commit(self, reputation: DataFrame, active_votes: DataFrame, *, source: str, batch_id: int,
-               first_block: int, last_block: int, last_op: int, started_at: datetime) -> int:
-        version = self.latest().version + 1
-        self._commit(reputation, active_votes, Row(
-            version=version, data_version=version, source=source, batch_id=batch_id,
-            first_block=first_block, last_block=last_block, last_op=last_op, started_at=started_at, ended_at=datetime.now(),
+    def reputation(self, at: Row | None = None) -> DataFrame:
+        """Reputation state at a commit, by default the newest."""
+        return self._read("account_reputations", schemas.REPUTATION, at)
+
+    def active_votes(self, at: Row | None = None) -> DataFrame:
+        return self._read("active_votes", schemas.ACTIVE_VOTES, at)
+
+    def _path(self, table: str, snapshot: str) -> str:
+        return f"{self.root}/{table}/{snapshot}"
+
+    def _read(self, table: str, schema, at: Row | None) -> DataFrame:
+        snapshot = (at or self.latest()).snapshot
+        return self.spark.read.schema(schema).parquet(self._path(table, snapshot))
+
+    def commit(self, head: Row, reputation: DataFrame, active_votes: DataFrame, *, source: str, batch_id: int,
+               first_block: int, last_block: int, last_op: int, started_at: datetime) -> None:
+        """Writes the state that follows the commit `head`."""
+        version = head.version + 1
+        snapshot = f"{version}-{uuid.uuid4().hex}"
+        reputation.write.parquet(self._path("account_reputations", snapshot))
+        active_votes.write.parquet(self._path("active_votes", snapshot))
+        self._record(dict(
+            version=version, snapshot=snapshot, source=source, batch_id=batch_id, first_block=first_block,
+            last_block=last_block, last_op=last_op, started_at=started_at, ended_at=datetime.now(),
             pipeline_version=__version__))
-        return version
-
-    def _commit(self, reputation: DataFrame, active_votes: DataFrame, row: Row) -> None:
-        # An attempt that failed before its progress row may have left files of this version.
-        reputation.write.mode("overwrite").parquet(self._path("account_reputations", row.version))
-        active_votes.write.mode("overwrite").parquet(self._path("active_votes", row.version))
-        self._record(row.asDict() | {"ended_at": datetime.now()})
 
     def _record(self, row: dict) -> None:
         columns = [f.name for f in schemas.PROGRESS]
@@ -76,7 +75,7 @@ class StateStore:
          .coalesce(1).write.mode("error").json(f"{self.root}/progress/v={row['version']}"))
 
     def rewind(self, fork_block: int) -> Row:
-        """Goes back to the newest state before `fork_block`, without touching later snapshots.
+        """Goes back to the newest state before `fork_block`; later snapshots stay where they are.
 
         Returns the progress row to continue from: operations of its `last_block + 1` and later must
         be replayed from a log without the orphaned operations.

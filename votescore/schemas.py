@@ -32,11 +32,11 @@ PERMLINKS = T.StructType([
     T.StructField("permlink", T.StringType()),
 ])
 
-# One row per commit. `version` numbers the commits, `data_version` names the snapshot they
-# point at (older than `version` after a rewind). `source` and `batch_id` name the delivered batch.
+# One row per commit. `snapshot` names the state tables it points at (after a rewind those of an older
+# commit); `source` and `batch_id` name the delivered batch.
 PROGRESS = T.StructType([
     T.StructField("version", T.LongType()),
-    T.StructField("data_version", T.LongType()),
+    T.StructField("snapshot", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("first_block", T.IntegerType()),

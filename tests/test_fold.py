@@ -18,7 +18,7 @@ def one_by_one(spark, *votes):
     return {r.account_id: (r.reputation, r.is_implicit) for r in fold_votes(frame, slices=len(votes)).collect()}
 
 
-@pytest.mark.parametrize("seed,slices", [(1, 1), (2, 3), (3, 8), (4, 20)])
+@pytest.mark.parametrize("seed,slices", [(1, 1), (2, 3), (3, 16)])
 def test_any_slicing_equals_the_sequential_result(spark, seed, slices):
     model = Model().run(random_log(seed))
     assert reputation_rows(fold_votes(votes_frame(spark, model), slices=slices)) == model.reputation_rows()
@@ -29,7 +29,7 @@ def test_hot_author_and_voter(spark):
     assert reputation_rows(fold_votes(votes_frame(spark, model), slices=9)) == model.reputation_rows()
 
 
-@pytest.mark.parametrize("seed", range(20, 22))
+@pytest.mark.parametrize("seed", range(20, 21))
 def test_continues_from_stored_state(spark, seed):
     rows = random_log(seed, size=200)
     cut = random.Random(seed).randrange(1, len(rows))
@@ -45,12 +45,12 @@ def test_continues_from_stored_state(spark, seed):
 def test_waves_follow_each_other(spark, monkeypatch):
     monkeypatch.setattr(fold, "WAVE_SLICES", 3)
     model = Model().run(random_log(31, size=250))
-    assert reputation_rows(fold_votes(votes_frame(spark, model), slices=10)) == model.reputation_rows()
-    gates = sorted_rows(vote_gates(votes_frame(spark, model), slices=10), "source_op", "undone", "applied")
+    assert reputation_rows(fold_votes(votes_frame(spark, model), slices=6)) == model.reputation_rows()
+    gates = sorted_rows(vote_gates(votes_frame(spark, model), slices=6), "source_op", "undone", "applied")
     assert gates == model.gates
 
 
-@pytest.mark.parametrize("slices", [1, 6])
+@pytest.mark.parametrize("slices", [4])
 def test_gates_per_vote(spark, slices):
     model = Model().run(random_log(41))
     gates = sorted_rows(vote_gates(votes_frame(spark, model), slices=slices), "source_op", "undone", "applied")

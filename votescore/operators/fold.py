@@ -220,15 +220,16 @@ def _settle(votes: DataFrame, stored: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in _FOLDED.split(", ")]
     starts = ["slice", "account_id", "start_reputation", "start_implicit"]
     line = cut_lineage(_timeline(_first_guess(votes, stored)))
+    rerun = F.col("slice") != STORED_SLICE
     while True:
+        fresh = _cogroup(votes.where(rerun), line.where(rerun).select(*starts), trace=False)
+        line = cut_lineage(_timeline(fresh.unionByName(line.where(~rerun).select(*columns))))
         # At most a few rows per slice of the wave.
         open_slices = line.where("dirty or overflow").select("slice", "dirty", "overflow").distinct().collect()
         again = [r.slice for r in open_slices if r.dirty]
         if not again:
             break
         rerun = F.col("slice").isin(again)
-        fresh = _cogroup(votes.where(rerun), line.where(rerun).select(*starts), trace=False)
-        line = cut_lineage(_timeline(fresh.unionByName(line.where(~rerun).select(*columns))))
     if open_slices:
         raise ArithmeticError("reputation out of the 64-bit range")
     return line
@@ -291,11 +292,12 @@ def fold_votes(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
     start = stored if stored is not None else _no_state(votes)
     total = None
     for part, count in _waves(votes, slice_votes, slices):
+        if total is not None:
+            start = cut_lineage(merge_reputation(start, changes))
         laid = _slices(part, count)
-        changes = cut_lineage(_changes(_settle(laid, start)))
+        changes = _changes(_settle(laid, start))
         laid.unpersist()
         total = changes if total is None else cut_lineage(merge_reputation(total, changes))
-        start = merge_reputation(start, changes)
     return total if total is not None else _no_state(votes)
 
 

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A test table is one file with one row group, which a single task would read and turn to JSON."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _account(number: Column) -> Column:
     return F.concat(F.lit("acct-"), number.cast("string"))
 
@@ -32,7 +38,7 @@ def _body(is_vote: Column, author: Column, voter: Column, permlink: Column, rsha
 
 
 def dense_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = _spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"))
     op = F.col("event_id") + 1
     is_vote = F.col("event_type") != "error"
     sign = F.when(F.col("event_type").isin("view", "signup"), -1).otherwise(1)
@@ -57,7 +63,7 @@ def dense_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = _spread(table(spark, sf_dir, "orders").drop("o_orderdate"))
     customers = table(spark, sf_dir, "customer").count()
     key = F.col("o_orderkey")
     low = F.col("o_orderpriority") == "5-LOW"

@@ -107,3 +107,15 @@ def test_leaving_the_long_range_is_an_error(spark):
         fold_votes(frame, slices=4)
     inside = frame.where("source_op <= 64")
     assert reputation_rows(fold_votes(inside, slices=4)) == [(1, 64 * (top >> 6), False)]
+
+
+@pytest.mark.parametrize("slices", [2, 16])
+def test_rounds_do_not_shuffle_votes(spark, slices):
+    votes = votes_frame(spark, Model().run(random_log(51)))
+    laid = fold._slices(votes, slices)
+    laid.count()
+    line = fold._timeline(fold._first_guess(laid, fold._no_state(votes))).checkpoint()
+    plan = fold._cogroup(laid, line, trace=False)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [text for text in plan.splitlines() if "Exchange" in text and "ENSURE_REQUIREMENTS" in text]
+    assert len(shuffles) == 1, plan
+    laid.unpersist()

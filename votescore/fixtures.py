@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from votescore.sources.oplog import OpTypes
 
+# Ids of the operation types.
 TYPES = OpTypes(vote=72, delete=17, payout=61)
 
 

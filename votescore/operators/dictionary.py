@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votescore.operators.skew import HOT_ROWS, hot_keys, salted_lookup
+from votescore.session import cut_lineage
 
 MIN_BUCKETS = 256
 
@@ -17,7 +18,8 @@ def new_entries(dictionary: DataFrame, strings: DataFrame, buckets: int | None =
     """
     if buckets is None:
         buckets = max(MIN_BUCKETS, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    unseen = (
+    # Written once: both the numbering and the bucket sizes read it.
+    unseen = cut_lineage(
         strings.where(F.col("permlink").isNotNull()).select("permlink").distinct()
         .join(dictionary, "permlink", "left_anti")
         .withColumn("bucket", F.pmod(F.xxhash64("permlink"), F.lit(buckets)).cast("int"))

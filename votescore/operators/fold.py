@@ -57,7 +57,7 @@ def _slice_folder(trace: bool):
         def values(column):
             return column.to_pylist() if column.null_count else column.to_numpy().tolist()
 
-        limit = 2**63 - 1
+        limit, far = 2**63 - 1, 2**200
         accounts = values(starts["account_id"])
         start = dict(zip(accounts, map(int, starts["start_reputation"].to_pylist())))
         state = dict(start)
@@ -65,7 +65,7 @@ def _slice_folder(trace: bool):
         slack, peak, gates = {}, {}, []
 
         def may_move(account, distance):
-            if distance < slack.get(account, distance + 1):
+            if distance < slack.get(account, far):
                 slack[account] = distance
 
         def exceeds(voter, voter_rep, author, author_rep):
@@ -77,11 +77,7 @@ def _slice_folder(trace: bool):
             may_move(author, room)
             return lead > 0
 
-        def positive(account, reputation):
-            may_move(account, reputation + 1 if reputation >= 0 else -reputation)
-            return reputation >= 0
-
-        def note(account, reputation):
+        def write(account, reputation):
             state[account] = reputation
             size = reputation if reputation >= 0 else -reputation - 1
             if size > peak.get(account, -1):
@@ -90,27 +86,34 @@ def _slice_folder(trace: bool):
         for author, voter, op, weight, previous in zip(
                 *(values(votes[c]) for c in ("author_id", "voter_id", "source_op", "weight", "previous"))):
             author_rep, voter_rep = state.get(author, 0), state.get(voter, 0)
-            before = (author_rep, author not in explicit, voter_rep, voter not in explicit)
-            undone = applied = False
-            counts = positive(voter, voter_rep)
-            if counts and author in explicit and (previous >= 0 or (
+            if trace:
+                gates.append([op, author, voter, author_rep, author not in explicit,
+                              voter_rep, voter not in explicit, False, False])
+            if voter_rep < 0:
+                may_move(voter, -voter_rep)
+                continue
+            if voter_rep < slack.get(voter, far):
+                slack[voter] = voter_rep + 1
+            if author in explicit and (previous >= 0 or (
                     voter in explicit and exceeds(voter, voter_rep, author, author_rep - previous))):
-                undone = True
                 author_rep -= previous
-                note(author, author_rep)
+                write(author, author_rep)
                 may_move(author, abs(author_rep) or 1)
                 if author_rep == 0:
                     explicit.discard(author)
+                if trace:
+                    gates[-1][-2] = True
                 if voter == author:
-                    counts = positive(voter, author_rep)
                     voter_rep = author_rep
-            if counts and weight is not None and (weight >= 0 or (
+                    if voter_rep < 0:
+                        continue
+                    may_move(voter, voter_rep + 1)
+            if weight is not None and (weight >= 0 or (
                     voter in explicit and exceeds(voter, voter_rep, author, author_rep))):
-                applied = True
-                note(author, author_rep + weight)
+                write(author, author_rep + weight)
                 explicit.add(author)
-            if trace:
-                gates.append((op, author, voter, *before, undone, applied))
+                if trace:
+                    gates[-1][-1] = True
 
         if trace:
             columns = list(zip(*gates)) or [[]] * 9

@@ -79,8 +79,9 @@ def catch_up(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTy
     The result does not depend on `step`; a step should hold enough votes to keep the cluster busy.
     """
     log = scan_ops(ops, types, last_block=limit_block)
-    top = log.agg(F.max("block_num").alias("block")).first().block
     done = store.latest()
+    # Only blocks after the committed ones are looked at, so old files are skipped by their statistics.
+    top = log.where(F.col("block_num") > done.last_block).agg(F.max("block_num").alias("block")).first().block
     if top is None:
         return done.last_block
     for first, last in block_ranges(done.last_block + 1, top, step):

@@ -19,7 +19,7 @@ from votescore.plans.ranges import catch_up, link_range, process, process_batch
 from votescore.plans.scores import account_score, scores
 from votescore.plans.state import StateStore
 from votescore.plans.status import last_block, sync_status, sync_throughput
-from votescore.session import scratch_path
+from votescore.session import cut_lineage, scratch_path
 from votescore.sources import oplog
 from votescore.sources.dump import load_dump, write_dump
 from votescore.streaming import live
@@ -119,9 +119,9 @@ def account_lookup(spark, sf_dir):
 
 def _dictionaries(spark, sf_dir):
     empty = spark.createDataFrame([], schemas.PERMLINKS)
-    first = extend_dictionary(empty, _dense_parsed(spark, sf_dir).select("permlink"))
+    first = cut_lineage(extend_dictionary(empty, _dense_parsed(spark, sf_dir).select("permlink")))
     urls = table(spark, sf_dir, "pages").select(F.col("url").alias("permlink"))
-    return first, extend_dictionary(first, urls)
+    return first, cut_lineage(extend_dictionary(first, urls))
 
 
 def permlink_dictionary(spark, sf_dir):

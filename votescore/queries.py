@@ -55,11 +55,10 @@ def _op_types(log: DataFrame) -> DataFrame:
 
 def op_range_scan(spark, sf_dir):
     """Written by type, read back by type id and block range (all blocks of the votes)."""
-    log = _mixed_log(spark, sf_dir)
     path = scratch_path(spark, "log")
-    oplog.write_ops(log, path)
-    types = oplog.op_type_ids(_op_types(log))
+    oplog.write_ops(_mixed_log(spark, sf_dir), path)
     stored = oplog.read_ops(spark, path)
+    types = oplog.op_type_ids(_op_types(stored))
     edge = stored.agg(F.min("block_num").alias("first"), F.max("block_num").alias("last")).first()
     return oplog.scan_ops(stored, types, edge.first, edge.last).select("source_op", "block_num", "op_type_id")
 

@@ -8,6 +8,7 @@ by different texts; order among documents is by doc_id (NULL first), then by key
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         first, total = 0, 0
         for i, size in enumerate(sizes):
             if i > first and total + size > SLICE_BYTES:

@@ -2,19 +2,35 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from votescore.fixtures import table
-from votescore.llm import oracles
+from votescore.llm import oracles, simhash
+from votescore.llm.packing import pack
 from votescore.llm.quality_rules import quality_verdicts
 
+PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
+
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {

@@ -10,6 +10,7 @@ from votescore.fixtures import table
 from votescore.llm import oracles, simhash
 from votescore.llm.packing import pack
 from votescore.llm.quality_rules import quality_verdicts
+from votescore.llm.substring_dedup import repeated_passages
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,6 +19,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }

@@ -25,8 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that one holds about SLICE_BYTES of text, or a single longer row."""
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that one holds about `most` bytes of text, or a single longer row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -34,7 +34,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         first, total = 0, 0
         for i, size in enumerate(sizes):
-            if i > first and total + size > SLICE_BYTES:
+            if i > first and total + size > most:
                 yield batch.slice(first, i - first)
                 first, total = i, 0
             total += size

@@ -14,6 +14,7 @@ A NULL or empty text is the end token alone. Documents longer than the capacity
 Repeated rows and shared or NULL ids are packed row by row. An empty table gives an empty result.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,15 +30,20 @@ from votescore.session import cut_lineage
 CAPACITY = 4096
 END = 1
 #: Entries of one generation of the word cache; two generations are held.
-CACHE = 400_000
+CACHE = 150_000
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)[!-/:-@\[-`{-~]*")
+#: Byte-level vocabularies show the bytes 0x80 to 0xA0 and 0xAD, which are no printable characters, as U+0122 on.
+_SHOWN = {byte: 0x122 + i for i, byte in enumerate([*range(0x7F, 0xA1), 0xAD], -1)}
 
 
 class WordTokens:
     """Ids of blank-separated stretches of text as little-endian 32-bit bytes.
 
     The tokenizer normalises white space and never merges across it, so a stretch has the same ids wherever it stands.
-    A-Z are lower-cased before the lookup, which the tokenizer would do next.
+    A-Z are lower-cased before the lookup, which the tokenizer would do next. Of a new stretch the tokenizer does all,
+    except that a word of Latin small letters, which no normalisation changes, goes straight to its merges; what
+    punctuation follows is a token group of its own.
     """
 
     def __init__(self, path: str):
@@ -47,12 +53,17 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _learn(self, stretches: set[bytes]) -> None:
         missing = []
         for s in stretches:
             if (known := self.old.get(s)) is not None:
                 self.young[s] = known
+            elif plain := _PLAIN.fullmatch(word := s.decode()):
+                letters = plain[1] if plain[1].isascii() else plain[1].encode().decode("latin-1").translate(_SHOWN)
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+                self.young[s] = ids + self._punctuation(word[plain.end(1):])
             else:
                 missing.append(s)
         for at in range(0, len(missing), 20_000):
@@ -63,6 +74,13 @@ class WordTokens:
             ends = (np.cumsum(counts) * 4).tolist()
             self.young.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)]))
 
+    def _punctuation(self, text: str) -> bytes:
+        if text not in self.marks:
+            if len(self.marks) > CACHE:
+                self.marks.clear()
+            self.marks[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.marks[text]
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {b"": b""}

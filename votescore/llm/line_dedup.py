@@ -8,13 +8,14 @@ the result does not depend on the order of work.
 
 1. Equal lines are one row from the start (the earliest place and a hash of the line).
 2. A line has as many variants as characters, so lines that cannot have a partner are set aside first: after one
-   edit, two lines share their first or their last half (by the shorter length), and so on with the other half. Lines
-   whose halves, then halves of halves, are all their own end here. This filter loses nothing.
+   edit, two lines share their first or their last half (by the shorter length), and so on within the other half.
+   Lines that share no such three quarters with another line end here. This filter loses nothing.
 3. The rest emit their deletion neighbourhood as hashes: the line itself and the line without each character. Lines
    are near if one is a variant of the other, or if both lack a character at the same place of an equal variant.
-4. Variants that several lines have are aggregated to the earliest line, and each line takes the earliest line of its
-   variants as witness: as many rows as variants, never pairs of a group. The edit distance of line and witness is
-   verified on the texts.
+4. Lines meet by variant in order of place, and each takes the earliest it is near to as witness: as many rows as
+   variants, never pairs of a group. Equal lines are one, so a variant has at most one line of itself and one for each
+   character at each place: its group is bounded by the length of a line, not by the corpus. The edit distance of
+   line and witness is verified on the texts.
 
 Of the lines only hashes and places move; texts are dealt by document once, for the lines that passed the filter and
 for the result.
@@ -32,10 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votescore.llm.common import document_key, let, replaced_text, sliced, with_row
+from votescore.session import cut_lineage
 
 MIN_CHARS = 16
-#: Halvings of the first filter, which sees all lines, and of the second, which sees what the first has left.
-DEPTHS = (1, 3)
+#: Halvings of the filter.
+DEPTH = 2
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -104,25 +106,64 @@ def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         found = [variant_hashes(line) for line in batch["line"].to_pylist()]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         gaps = np.concatenate([np.arange(WHOLE, n - 1, dtype=np.int32) for n in sizes])
+        rows = pa.array(np.repeat(np.arange(len(found)), sizes))
         yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(gaps),
-                               pa.array(np.repeat(batch["id"].to_numpy(), sizes))], names=["variant", "gap", "id"])
+                               batch["id"].take(rows), batch["place"].take(rows)], names=["variant", "gap", "id", "place"])
+
+
+def _witnessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and witness for each row whose line has an earlier one by this variant. Rows sorted by variant and place."""
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        variant, id_ = rows["variant"].to_numpy(), rows["id"].to_numpy()
+        new = np.concatenate(([True], variant[1:] != variant[:-1]))
+        other = ~new & np.concatenate(([False], id_[1:] != id_[:-1]))
+        group = np.cumsum(new) - 1
+        met = np.bincount(group, other) > 0  # variants of several lines
+        rows = rows.filter(pa.array(met[group]))
+        held, longer, shorter, replaced = None, None, None, {}
+        ids, found = [], []
+        for variant, gap, id_, place in zip(*(rows[c].to_pylist() for c in ("variant", "gap", "id", "place"))):
+            if variant != held:
+                held, longer, shorter, replaced = variant, None, None, {}
+            # In order of place, the first that was seen is the earliest.
+            if gap == WHOLE:
+                near, shorter = longer, place
+            else:
+                seen = [p for p in (shorter, replaced.setdefault(gap, place)) if p and p != place]
+                near = min(seen, key=_order) if seen else None
+                longer = longer or place
+            if near:
+                ids.append(id_)
+                found.append(near)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, rows.schema.field("place").type)],
+                               names=["id", "witness"])
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        variant = held["variant"].to_numpy()
+        cut = int(np.searchsorted(variant, variant[-1])) if len(variant) else 0  # the last variant may go on
+        if cut:
+            yield of(held.slice(0, cut))
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield of(held)
+
+
+def _order(place: dict) -> tuple:
+    return tuple((value is not None, value) for value in place.values())
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
     """place of the lines (id, place, line; one row per different line) that have an earlier line within one edit."""
-    variants = lines.select("id", "line").mapInArrow(_neighbourhood, "variant long, gap int, id long")
-    shared = variants.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    met = (variants.join(shared.select("variant"), "variant", "left_semi")
-           .join(lines.select("id", "place"), "id"))
-    deleted = F.col("gap") != WHOLE
-    of_variant = met.groupBy("variant").agg(
-        F.min(F.when(deleted, F.col("place"))).alias("longer"), F.min(F.when(~deleted, F.col("place"))).alias("shorter"))
-    of_gap = met.where(deleted).groupBy("variant", "gap").agg(F.min("place").alias("replaced"))
-    witness = F.when(deleted, F.least("shorter", "replaced")).otherwise(F.col("longer"))
-    found = (met.join(of_variant, "variant").join(of_gap, ["variant", "gap"], "left")
-             .select("id", "place", witness.alias("witness")).where("witness < place")
-             .groupBy("id").agg(F.min("witness").alias("witness")))
+    place = lines.schema["place"].dataType.simpleString()
     texts = lines.select("id", "place", "line")
+    found = (texts.mapInArrow(_neighbourhood, f"variant long, gap int, id long, place {place}")
+             .repartition("variant").sortWithinPartitions("variant", "place", "gap")
+             .mapInArrow(_witnessed, f"id long, witness {place}")
+             .groupBy("id").agg(F.min("witness").alias("witness")))
     return (found.join(texts, "id")
             .join(texts.select(F.col("place").alias("witness"), F.col("line").alias("earlier")), "witness")
             .where(F.levenshtein("line", "earlier", 1) >= 0).select("place"))
@@ -133,22 +174,21 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, key, text, more... and kept: the numbers of the lines that are the first of their kind."""
-    keyed = docs.select("doc_id", "key", "text")
-    lines = _lines(keyed)
-    long = F.when(F.char_length("line") >= MIN_CHARS, _shared_parts(F.col("line"), DEPTHS[0]))
-    different = lines.groupBy("id").agg(F.min("place").alias("place"), F.first(long).alias("parts"))
-    dealt = docs.select("doc_id", "key", "text", *more).repartition("key")
+    lines = _lines(docs.select("doc_id", "key", "text"))
+    parts = F.when(F.char_length("line") >= MIN_CHARS, _shared_parts(F.col("line"), DEPTH))
+    parted = lines.groupBy("id").agg(F.min("place").alias("place"), F.first(parts).alias("parts"))
+    wanted = cut_lineage(_with_partner(parted.where("parts is not null"))).groupBy("place.key").agg(
+        F.collect_list(F.struct("id", "place")).alias("wanted"))
 
-    wanted = (_with_partner(different.where("parts is not null")).groupBy("place.key")
-              .agg(F.collect_list(F.struct("id", "place")).alias("wanted")))
+    # From here on one plan, in which the texts are dealt once and joined twice.
+    dealt = docs.select("doc_id", "key", "text", *more).repartition("key")
     texts = dealt.select("doc_id", "key", "text").join(wanted, "key").select(
         "doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).where(
         F.col("doc_id").eqNullSafe(F.col("w.place.doc_id")))
     texts = texts.select("w.id", "w.place", F.get("lines", F.col("w.place.line_no")).alias("line"))
-    # Repeated rows bring a line twice.
-    texts = texts.dropDuplicates(["id"]).withColumn("parts", _shared_parts(F.col("line"), DEPTHS[1]))
-    near = near_earlier(_with_partner(texts))
+    near = near_earlier(texts.dropDuplicates(["id"]))  # repeated rows bring a line twice
 
+    different = lines.groupBy("id").agg(F.min("place").alias("place"))
     kept = (different.select("place").join(near, "place", "left_anti").groupBy("place.key")
             .agg(F.collect_list(F.struct("place.doc_id", "place.line_no")).alias("kept")))
     own = F.transform(F.filter("kept", lambda k: k["doc_id"].eqNullSafe(F.col("doc_id"))), lambda k: k["line_no"])

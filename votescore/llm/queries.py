@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from votescore.fixtures import table
 from votescore.llm import oracles, simhash
+from votescore.llm.line_dedup import repeated_lines
 from votescore.llm.packing import pack
 from votescore.llm.quality_rules import quality_verdicts
 from votescore.llm.substring_dedup import repeated_passages
@@ -15,6 +16,10 @@ from votescore.llm.substring_dedup import repeated_passages
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
@@ -33,6 +38,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_quality_rules": op6_quality_rules,

@@ -1,5 +1,7 @@
 """SQL (DuckDB) of the corpus queries that SQL can express."""
 
+from votescore.llm.known_licenses import NOTICES, SPELLINGS, TEXTS
+
 #: Counts, histograms per group, quartiles and the back-off to language and everything, all in whole numbers.
 QUALITY_STATS = r"""
 doc AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM {documents}),
@@ -51,3 +53,33 @@ QUALITY_RULES = "WITH " + QUALITY_STATS.replace("{documents}", "documents") + ""
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept FROM judged
 """
+
+
+def _canonical(text: str) -> str:
+    """SQL of the canonical form of a licence text."""
+    line = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+    out = rf"trim(regexp_replace(regexp_replace(lower({text}), '{line}', chr(10), 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    for other, usual in SPELLINGS.items():
+        out = f"replace({out}, '{other}', '{usual}')"
+    return out
+
+
+def _known() -> str:
+    rows = [(name, text) for table in (TEXTS, NOTICES) for name, texts in table.items() for text in texts]
+    quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in rows)
+    return f"(SELECT DISTINCT license, {_canonical('text')} AS c FROM (VALUES {quoted}) AS v(license, text))"
+
+
+LICENSE_SCAN = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, 0 AS kind, [text] AS p FROM doc
+    UNION ALL SELECT r, 1, regexp_split_to_array(text, '\n[ \t\r]*\n') FROM doc
+    UNION ALL SELECT r, 2, string_split(text, chr(10)) FROM doc),
+unit AS (SELECT r, kind, unnest(p) AS t FROM parts WHERE kind = 0 OR len(p) > 1),
+looked AS (SELECT r, kind, license FROM (SELECT r, kind, {canonical} AS c FROM unit) JOIN {known} AS k USING (c)
+    WHERE c <> '')
+SELECT doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE kind = 0), '') AS whole,
+    coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS found,
+    count(license) FILTER (WHERE kind > 0) AS n_notices
+FROM doc LEFT JOIN looked USING (r) GROUP BY r, doc_id
+""".replace("{canonical}", _canonical("t")).replace("{known}", _known())

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votescore.fixtures import table
-from votescore.llm import bpe, oracles, simhash
+from votescore.llm import bpe, classifier, oracles, simhash
+from votescore.llm.fingerprints import compared
+from votescore.llm.licenses import known_digests, license_scan
 from votescore.llm.line_dedup import repeated_lines
 from votescore.llm.packing import pack
 from votescore.llm.quality_rules import quality_verdicts
+from votescore.llm.sharding import sharded
 from votescore.llm.substring_dedup import repeated_passages
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
@@ -42,15 +49,35 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": oracles.LICENSE_SCAN,
     "op6_quality_rules": oracles.QUALITY_RULES,
 }

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votescore.session import scratch_path
+
 #: Texts are handled in pieces of about this many bytes inside a Python task.
 SLICE_BYTES = 4 << 20
 
@@ -41,6 +43,35 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         yield batch.slice(first)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The frame with its binary column `text` as zstd frames, which are half as large in a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in sliced(batches, "text"):
+            small = [None if text is None else pack(text) for text in batch["text"].to_pylist()]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(small, pa.binary()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def unpacked(texts: list[bytes | None]) -> list[bytes | None]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if text is None else unpack(text) for text in texts]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: smaller than a checkpoint, and columns can be pruned."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def with_row(docs: DataFrame) -> DataFrame:
     """All columns as one struct `row`, so that names of the operator and of the table cannot clash."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))

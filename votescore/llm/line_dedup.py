@@ -25,14 +25,16 @@ texts under one doc_id, and NULL ids (which come first), are ordered by a hash o
 without text; it is not dropped. An empty table gives an empty result.
 """
 
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votescore.llm.common import document_key, let, replaced_text, sliced, with_row
+from votescore.llm.common import document_key, let, packed, replaced_text, sliced, unpacked, with_row, written
 from votescore.session import cut_lineage
 
 MIN_CHARS = 16
@@ -70,12 +72,28 @@ def _shared_parts(line: Column, depth: int) -> Column:
     return let(F.char_length(line), keys)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id of the rows (part, id), sorted, that have a neighbour with the same part. Holds one row between batches."""
+    part, ids, before = np.empty(0, np.int64), np.empty(0, np.int64), False
+    for batch in batches:
+        part = np.concatenate((part, batch["part"].to_numpy()))
+        ids = np.concatenate((ids, batch["id"].to_numpy()))
+        if not len(part):
+            continue
+        same = part[1:] == part[:-1]
+        met = np.concatenate(([before], same[:-1])) | same if len(same) else np.empty(0, bool)
+        yield pa.record_batch([pa.array(np.unique(ids[:-1][met]))], names=["id"])
+        before = bool(same[-1]) if len(same) else before
+        part, ids = part[-1:], ids[-1:]
+    if before:
+        yield pa.record_batch([pa.array(ids)], names=["id"])
+
+
 def _with_partner(lines: DataFrame) -> DataFrame:
-    """Rows of (id, ..., parts) that share a part with another line."""
-    parts = lines.select("id", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    ids = parts.join(shared.select("part"), "part", "left_semi").select("id").distinct()
-    return lines.join(ids, "id", "left_semi").drop("parts")
+    """id and place of the rows (id, place, parts) that share a part with another line."""
+    ids = (lines.select(F.explode("parts").alias("part"), "id").repartition("part").sortWithinPartitions("part", "id")
+           .mapInArrow(_met, "id long").distinct())
+    return lines.select("id", "place").join(ids, "id", "left_semi")
 
 
 # --- variants --------------------------------------------------------------------------------------
@@ -172,47 +190,67 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 # --- documents -------------------------------------------------------------------------------------
 
 
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, place, line of the wanted lines of each document."""
+    for batch in sliced(batches, "text"):
+        ids, places, lines = [], [], []
+        for doc_id, text, wanted in zip(batch["doc_id"].to_pylist(), unpacked(batch["text"].to_pylist()),
+                                        batch["wanted"].to_pylist()):
+            own = [w for w in wanted if w["place"]["doc_id"] == doc_id]
+            split = text.split(b"\n") if own else []
+            ids += [w["id"] for w in own]
+            places += [w["place"] for w in own]
+            lines += [split[w["place"]["line_no"]].decode() for w in own]
+        kind = batch.schema.field("wanted").type.value_type.field("place").type
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, kind), pa.array(lines, pa.string())],
+                              names=["id", "place", "line"])
+
+
+def _results(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Per document: counts and digest, or the text that is left. Lines without a word stay."""
+    for batch in sliced(batches, "text"):
+        n_lines, n_removed, output = [], [], []
+        for doc_id, text, kept in zip(batch["doc_id"].to_pylist(), unpacked(batch["text"].to_pylist()),
+                                      batch["kept"].to_pylist()):
+            numbers = {k["line_no"] for k in kept or () if k["doc_id"] == doc_id}
+            lines = [] if text is None else text.split(b"\n")
+            left = [x for i, x in enumerate(lines) if i in numbers or not x.strip()]
+            n_lines.append(sum(1 for x in lines if x.strip()))
+            n_removed.append(len(lines) - len(left))
+            result = b"\n".join(left)
+            output.append((None if text is None else result) if whole else hashlib.sha256(result).hexdigest())
+        if whole:
+            yield pa.record_batch([batch["row"], pa.array(output, pa.binary()).cast(pa.string())], names=["row", "text"])
+        else:
+            yield pa.record_batch(
+                [batch["doc_id"], pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(output, pa.string())],
+                names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
+
+
 def _judged(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, key, text, more... and kept: the numbers of the lines that are the first of their kind."""
+    """doc_id, packed text, more... and kept: the numbers of the lines that are the first of their kind."""
     lines = _lines(docs.select("doc_id", "key", "text"))
     parts = F.when(F.char_length("line") >= MIN_CHARS, _shared_parts(F.col("line"), DEPTH))
-    parted = lines.groupBy("id").agg(F.min("place").alias("place"), F.first(parts).alias("parts"))
-    wanted = cut_lineage(_with_partner(parted.where("parts is not null"))).groupBy("place.key").agg(
+    different = written(lines.groupBy("id").agg(F.min("place").alias("place"), F.first(parts).alias("parts")), "lines")
+    wanted = cut_lineage(_with_partner(different.where("parts is not null"))).groupBy("place.key").agg(
         F.collect_list(F.struct("id", "place")).alias("wanted"))
 
     # From here on one plan, in which the texts are dealt once and joined twice.
-    dealt = docs.select("doc_id", "key", "text", *more).repartition("key")
-    texts = dealt.select("doc_id", "key", "text").join(wanted, "key").select(
-        "doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).where(
-        F.col("doc_id").eqNullSafe(F.col("w.place.doc_id")))
-    texts = texts.select("w.id", "w.place", F.get("lines", F.col("w.place.line_no")).alias("line"))
+    dealt = packed(docs.select("doc_id", "key", F.col("text").cast("binary").alias("text"), *more)).repartition("key")
+    texts = dealt.select("doc_id", "key", "text").join(wanted, "key").select("doc_id", "text", "wanted").mapInArrow(
+        _wanted_lines, f"id long, place {different.schema['place'].dataType.simpleString()}, line string")
     near = near_earlier(texts.dropDuplicates(["id"]))  # repeated rows bring a line twice
-
-    different = lines.groupBy("id").agg(F.min("place").alias("place"))
     kept = (different.select("place").join(near, "place", "left_anti").groupBy("place.key")
             .agg(F.collect_list(F.struct("place.doc_id", "place.line_no")).alias("kept")))
-    own = F.transform(F.filter("kept", lambda k: k["doc_id"].eqNullSafe(F.col("doc_id"))), lambda k: k["line_no"])
-    return dealt.join(kept, "key", "left").withColumn("kept", F.coalesce(own, F.array().cast("array<int>")))
-
-
-def _kept_lines() -> Column:
-    """Kept lines and lines without a word, in order."""
-
-    def chosen(lines: Column) -> Column:
-        blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(_WORD), i)), lambda i: i.isNotNull())
-        return F.transform(F.array_sort(F.array_union(F.col("kept"), blank)), lambda i: F.get(lines, i))
-
-    return let(F.split("text", "\n"), chosen)
+    return dealt.join(kept, "key", "left").select("doc_id", "text", *more, "kept")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_removed, kept_sha256 (of the kept text) of every row."""
-    keyed = docs.select(F.col("doc_id").cast("long"), document_key(docs["doc_id"], docs["text"]).alias("key"), "text")
-    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))).cast("long")
-    result = _judged(keyed).select(
-        "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines"), F.size("kept").alias("n_kept"),
-        F.sha2(F.coalesce(F.array_join(_kept_lines(), "\n"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    return result.select("doc_id", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"), "kept_sha256")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        document_key(docs["doc_id"], docs["text"]).alias("key"), "text")
+    return _judged(keyed).mapInArrow(
+        partial(_results, whole=False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -220,5 +258,7 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     keyed = with_row(docs).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), document_key(F.col("row.doc_id"), F.col("row.text")).alias("key"),
         F.col("row.text").alias("text"), F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    cleaned = _judged(keyed, "row").select("row", F.array_join(_kept_lines(), "\n").alias("text"))
+    judged = _judged(keyed, "row")
+    cleaned = judged.mapInArrow(partial(_results, whole=True),
+                                judged.select("row", F.col("text").cast("string")).schema)
     return cleaned.select(replaced_text(docs, F.col("text")))

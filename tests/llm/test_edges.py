@@ -1,0 +1,85 @@
+"""Every operator on rows that are null, empty, long, repeated or clash in names, and on an empty table."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from votescore.llm import bpe, classifier
+from votescore.llm.fingerprints import compared
+from votescore.llm.licenses import known_digests, license_scan
+from votescore.llm.line_dedup import remove_repeated_lines, repeated_lines
+from votescore.llm.packing import pack
+from votescore.llm.quality_rules import quality_filter, quality_verdicts
+from votescore.llm.sharding import sharded
+from votescore.llm.simhash import drop_near_duplicates, near_duplicates
+from votescore.llm.substring_dedup import remove_repeated_passages, repeated_passages
+
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, key int, row string, q int, place int, line string, "
+          "id long, marks int, firsts int, kept int, fp long, x int, tree int, size int, digest string, block int, limits int")
+EXTRA = [1, "r", 2, 3, "l", 4, 5, 6, 7, 8, 9, 10, 11, "d", 12, 13]
+TEXT = "The quick brown fox jumps over the lazy dog and runs away into the deep dark wood where nobody ever goes at night. "
+
+
+def rows():
+    base = [
+        (1, TEXT * 2, "en", "a"), (1, TEXT * 2, "en", "a"), (1, "another text under one id", None, None), (None, None, None, None),
+        (None, TEXT, "en", None), (2, None, "en", "a"), (3, "", None, "a"), (4, " \n\t\x0b", "en", "a"), (5, "x" * 300_000, "en", "a"),
+        (6, "word " * 60_000, "de", "b"), (7, "line\n" * 20_000, "de", "b"), (8, TEXT, "en", "a"), (9, "\x00\x1c é\U0001F600", "", ""),
+        (-5, "Released under the MIT License.", "en", "a"), (2**62, TEXT + "end", "en", "a"),
+    ]
+    return [(*r, None if r[1] is None else len(r[1]), *EXTRA) for r in base]
+
+
+def model(docs):
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return classifier.train(docs, labels)
+
+
+TOKENS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PER_ROW = {
+    "op1": repeated_lines, "op2": lambda d: license_scan(d, known_digests(d.sparkSession)),
+    "op3": lambda d: pack(d, TOKENS).where("piece = 0"), "op4": repeated_passages,
+    "op5": lambda d: bpe.round_trip(d, RANKS, public_tokenizers.PATTERN), "op6": quality_verdicts, "op7": near_duplicates,
+    "op8": sharded, "op9": compared, "op10": lambda d: classifier.scored(d, model(d)),
+}
+STAGES = {"op1": remove_repeated_lines, "op4": remove_repeated_passages, "op6": quality_filter, "op7": drop_near_duplicates}
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_one_row_per_document(spark, name):
+    data = rows()
+    docs = spark.createDataFrame(data, SCHEMA)
+    assert sorted(str(r.doc_id) for r in PER_ROW[name](docs).collect()) == sorted(str(r[0]) for r in data)
+    assert PER_ROW[name](docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_return_the_columns_of_their_input(spark, name):
+    data = rows()
+    docs = spark.createDataFrame(data, SCHEMA)
+    found = STAGES[name](docs)
+    assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in docs.schema]
+    kept = found.collect()
+    assert all(tuple(r)[5:] == tuple(EXTRA) for r in kept)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
+    if name in ("op1", "op4"):
+        assert len(kept) == len(data)
+    if name == "op7":
+        assert len([r for r in kept if r.doc_id == 1]) <= 2  # the repeated row is one document
+    assert STAGES[name](docs.limit(0)).collect() == []
+
+
+def test_repeated_rows_are_treated_alike(spark):
+    """Row 4 is the earliest by its NULL id, so without it the repeated rows keep their text, and both lose the same."""
+    docs = spark.createDataFrame([r for r in rows() if r[0] is not None], SCHEMA)
+    for name in ("op1", "op4"):
+        found = [r.text for r in STAGES[name](docs).where("doc_id = 1").collect() if not r.text.startswith("another")]
+        assert len(found) == 2 and found[0] == found[1] and found[0].startswith("The quick")
+
+
+def test_stages_of_the_pipeline_on_an_empty_table(spark, sf_dir):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).collect() == []

@@ -4,13 +4,14 @@ from tests.helpers import active_rows, link_rows, sorted_rows
 from tests.model import Model, random_log
 from votescore import schemas
 from votescore.operators import active, links
+from votescore.operators.skew import hot_keys, in_runs
 
 TRANSITION = ["author_id", "voter_id", "permlink", "rshares", "prev_rshares", "source_op"]
 
 
 def both_ways(rows):
     """The linked rows through whole windows and through pieces."""
-    return [links.link(rows), links.link(rows, hot_rows=5, pieces=4)]
+    return [links.link(rows), links.link(rows, hot_rows=5)]
 
 
 def rows_with_stored(spark, rows, stored=()):
@@ -116,7 +117,19 @@ def test_ranks_of_hot_posts(spark):
     rows = link_rows(spark, random_log(3, size=400, accounts=3, hot=0.5))
     columns = ["author_id", "permlink", "voter_id", "source_op", "row_num"]
     assert sorted_rows(links.ranked_ops(rows), *columns) == sorted_rows(
-        links.ranked_ops(rows, hot_rows=5, pieces=4), *columns)
+        links.ranked_ops(rows, hot_rows=5), *columns)
+
+
+def test_each_hot_post_is_cut_at_its_own_rows(spark):
+    """Eight hot posts one after the other: none falls whole into one piece."""
+    rows = link_rows(spark, [vote(1000 * post + i + 1, i % 30, i, post=post) for post in range(8) for i in range(1000)])
+    sizes = in_runs(rows, links.RUN, 100).groupBy(*links.POST, "piece").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 100
+    assert sizes.count() >= 80
+    assert hot_keys(rows, links.POST, 999).count() == 8 and hot_keys(rows, links.POST, 1000).isEmpty()
+    columns = ["source_op", *TRANSITION]
+    assert sorted_rows(links.vote_transitions(links.link(rows, hot_rows=100)), *columns) == sorted_rows(
+        links.vote_transitions(links.link(rows)), *columns)
 
 
 def test_one_shuffle_links_everything(spark):

@@ -1,13 +1,12 @@
-"""Every named query against its SQL on the smallest tables; those without SQL against the model."""
+"""Every named query against its SQL on the smallest tables."""
 
 import os
 
 import duckdb
 import pytest
 
-from tests.helpers import reputation_rows
-from tests.model import Model
-from votescore import fixtures
+from votescore import oracles
+from votescore.functions import score
 from votescore.oracles import ORACLES
 from votescore.queries import QUERIES
 
@@ -35,16 +34,9 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert ordered(map(tuple, frame.select(*columns).collect())) == ordered(want)
 
 
-def test_wide_standing_equals_model(spark, sf_dir):
-    ops = fixtures.wide_ops(spark, sf_dir).selectExpr(
-        "source_op", "op_type_id",
-        "cast(substring(get_json_object(body_value, '$.author'), 6) as int)",
-        "cast(substring(get_json_object(body_value, '$.voter'), 6) as int)",
-        "cast(substring(get_json_object(body_value, '$.permlink'), 6) as int)",
-        "cast(get_json_object(body_value, '$.rshares') as bigint)")
-    model = Model().run(sorted(map(tuple, ops.collect())))
-    assert reputation_rows(QUERIES["raw_standing_wide"](spark, sf_dir)) == model.reputation_rows()
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-def test_queries_without_sql_are_the_wide_folds():
-    assert set(QUERIES) - set(ORACLES) == {"raw_standing_wide", "scores_wide"}
+def test_thresholds_of_the_sql_are_those_of_the_score():
+    assert oracles.THRESHOLDS == score.THRESHOLDS

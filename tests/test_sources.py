@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tests.helpers import accounts_frame, ops_frame, sorted_rows
 from tests.model import random_log, raw_ops
 from votescore import schemas
-from votescore.fixtures import TYPES
+from votescore.fixtures import NAMES, TYPES
 from votescore.functions.bodies import normalize_ops, parse_removals, parse_votes
 from votescore.operators.compare import diff_detail, expected_diff
-from votescore.operators.dictionary import encode, extend_dictionary
+from votescore.operators.dictionary import batch_dictionary, encode, extend_dictionary
 from votescore.operators.resolve import resolve_accounts, resolve_ops
 from votescore.operators.active import quarantine
 from votescore.plans.status import sync_status, sync_throughput
@@ -28,11 +28,19 @@ ALL_TYPES = [(72, "protocol::effective_comment_vote_operation"), (17, "protocol:
 
 
 def test_op_types(spark):
-    assert oplog.op_type_ids(type_table(spark, *ALL_TYPES)) == TYPES
-    row = oplog.op_type_id_array(type_table(spark, *ALL_TYPES)).first()
+    assert oplog.op_type_ids(type_table(spark, *ALL_TYPES), NAMES) == TYPES
+    row = oplog.op_type_id_array(type_table(spark, *ALL_TYPES), NAMES).first()
     assert (list(row.ids), row.n_ids, row.ids_text) == ([17, 61, 72], 3, "17,61,72")
     with pytest.raises(ValueError, match="comment_payout_update"):
-        oplog.op_type_ids(type_table(spark, *ALL_TYPES[:2]))
+        oplog.op_type_ids(type_table(spark, *ALL_TYPES[:2]), NAMES)
+
+
+def test_types_of_other_namespaces(spark):
+    """The whole name counts: the same last part under other prefixes is another type."""
+    others = [(90 + i, f"{space}::effective_comment_vote_operation") for i, space in enumerate(("old", "x::protocol", "test", "a"))]
+    assert oplog.op_type_ids(type_table(spark, *others, *ALL_TYPES), NAMES) == TYPES
+    with pytest.raises(ValueError, match="not unique"):
+        oplog.op_type_ids(type_table(spark, (91, NAMES.vote), *ALL_TYPES), NAMES)
 
 
 def test_scan_prunes_types_and_blocks(spark):
@@ -78,7 +86,7 @@ def test_body_is_parsed_once(spark):
     assert plan.count("from_json") == 1, plan
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_rows": 3}])
+@pytest.mark.parametrize("limits", [{}, {"strategy": "merge"}, {"strategy": "broadcast"}])
 def test_resolution(spark, limits):
     ops = spark.createDataFrame([
         (1, True, "acct-1", "acct-2", "p", 5), (2, True, "acct-9", "acct-1", "p", 5),
@@ -117,9 +125,10 @@ def test_dictionary_keeps_ids(spark):
     assert set(ids) == set(strings) and sorted(ids.values()) == list(range(1, 501))
     assert all(ids[s] == i for s, i in old.items())
     ops = frame(strings[:5] + ["s-0"] * 40).withColumn("source_op", F.monotonically_increasing_id())
-    for hot_rows in (10, 1000):
-        coded = encode(ops, second, hot_rows=hot_rows)
-        assert sorted(r.permlink_id for r in coded.collect()) == sorted(
+    needed = batch_dictionary(second, ops)
+    assert sorted(r.permlink for r in needed.collect()) == sorted(strings[:5])
+    for table in (second, needed):
+        assert sorted(r.permlink_id for r in encode(ops, table).collect()) == sorted(
             [ids[s] for s in strings[:5]] + [ids["s-0"]] * 40)
 
 
@@ -145,7 +154,7 @@ def test_dump_round_trip_and_diff(spark, tmp_path):
 
 def test_status(spark):
     start = datetime(2024, 1, 1)
-    rows = [(v, str(v), "ranges", v, v * 10 - 9, v * 10, v, start + timedelta(seconds=v),
+    rows = [(v, str(v), "ranges", v, {"ranges": v}, v * 10 - 9, v * 10, v, start + timedelta(seconds=v),
              start + timedelta(seconds=v, milliseconds=500), "x") for v in (1, 2, 3)]
     progress = spark.createDataFrame(rows, schemas.PROGRESS)
     assert tuple(sync_throughput(progress).first()) == (3, 1.5, 0.5)

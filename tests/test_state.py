@@ -1,4 +1,5 @@
 import random
+import threading
 from datetime import datetime
 
 import pytest
@@ -129,12 +130,89 @@ def test_progress_record(store):
     assert isinstance(row.ended_at, datetime)
 
 
-def test_second_writer_on_the_same_commit_fails(spark, store):
-    head, rows = store.latest(), [(1, 10, False)]
-    reputation = spark.createDataFrame(rows, schemas.REPUTATION)
+def edge(**more):
+    return dict(source="s", batch_id=0, first_block=1, last_block=1, last_op=1, started_at=datetime.now()) | more
+
+
+def test_one_of_two_writers_on_the_same_commit_fails(spark, store):
+    active = spark.createDataFrame([], schemas.ACTIVE_VOTES)
+    for trial in range(20):
+        head = store.latest()
+        rows = [spark.createDataFrame([(1, 2 * trial + k, False)], schemas.REPUTATION) for k in range(2)]
+        start, outcomes = threading.Barrier(2), []
+
+        def write(k, head=head, rows=rows, start=start, outcomes=outcomes):
+            writer = StateStore(spark, store.root)
+            commit, record = writer.commit, writer._record
+            writer._record = lambda row: (start.wait(), record(row))
+            try:
+                commit(head, rows[k], active, **edge())
+                outcomes.append(k)
+            except FileExistsError as e:
+                assert "another writer" in str(e)
+
+        threads = [threading.Thread(target=write, args=(k,)) for k in range(2)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(outcomes) == 1
+        assert store.latest().version == head.version + 1 == max(store.versions())
+        assert reputation_rows(store.reputation()) == [(1, 2 * trial + outcomes[0], False)]
+    assert store.progress().count() == 21
+
+
+def test_batch_that_ends_inside_a_block(spark, store):
+    rows = random_log(11, size=120)
+    ops, accounts = ops_frame(spark, raw_ops(rows)), accounts_frame(spark, range(6))
+    cut = next(i for i in range(60, 120) if (rows[i][0] - 1) // 10 == (rows[i - 1][0] - 1) // 10)
+    process_batch(store, ops_frame(spark, raw_ops(rows[:cut])), accounts, TYPES, "part", 0)
+    assert state(store) == expected(rows[:cut])
+    catch_up(store, ops, accounts, TYPES, step=3)
+    assert state(store) == expected(rows)
+    # The same hole after a rewind to that commit.
+    fork = next(r.last_block for r in store.progress().orderBy("version").collect() if r.source == "part") + 1
+    assert store.rewind(fork).last_op == rows[cut - 1][0]
+    catch_up(store, ops, accounts, TYPES)
+    assert state(store) == expected(rows)
+
+
+def test_redelivery_after_another_source(spark, store):
+    rows = random_log(12, size=90)
+    ops, accounts = ops_frame(spark, raw_ops(rows)), accounts_frame(spark, range(6))
+    first = ops_frame(spark, raw_ops(rows[:45]))
+    assert process_batch(store, first, accounts, TYPES, "stream", 0)
+    catch_up(store, ops, accounts, TYPES)
+    done = store.latest()
+    assert not process_batch(store, first, accounts, TYPES, "stream", 0)
+    assert store.latest() == done and state(store) == expected(rows)
+
+
+def test_operations_that_cannot_be_used(spark, store):
+    rows = random_log(13, size=60)
+    good, last = raw_ops(rows), rows[-1][0]
+    vote = '{"author": "acct-1", "voter": "%s", "permlink": "post-0", "rshares": %s}'
+    bad = [(last + 1, 900, 72, vote[:30]), (last + 2, 900, 17, None), (last + 3, 900, 72, vote % ("nobody", 5)),
+           (last + 4, 900, 72, vote % ("acct-2", '"many"'))]
+    accounts = accounts_frame(spark, range(6))
+    for op in bad:
+        with pytest.raises(Exception, match="does not parse|without voter|cannot be cast"):
+            process_batch(store, ops_frame(spark, good + [op]), accounts, TYPES, "s", 0)
+    assert store.latest().version == 0
+    apart, log = scratch_path(spark, "bad"), scratch_path(spark, "bad-log")
+    ops_frame(spark, good + bad).coalesce(1).write.parquet(log)
+    live.start(live.read_stream(spark, log), accounts, TYPES, store, scratch_path(spark, "bad-position"), bad=apart).awaitTermination()
+    assert state(store) == expected(rows)
+    assert sorted((r.source_op - last, r.reason) for r in spark.read.parquet(apart + "/v=1").collect()) == [
+        (1, "body"), (2, "body"), (3, "voter"), (4, "weight")]
+
+
+def test_old_snapshots_expire(spark, store):
     active = spark.createDataFrame([], schemas.ACTIVE_VOTES)
-    edge = dict(source="s", batch_id=0, first_block=1, last_block=1, last_op=1, started_at=datetime.now())
-    store.commit(head, reputation, active, **edge)
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        store.commit(head, spark.createDataFrame([(1, 99, False)], schemas.REPUTATION), active, **edge)
-    assert reputation_rows(store.reputation()) == rows
+    for i in range(1, 6):
+        store.commit(store.latest(), spark.createDataFrame([(1, i, False)], schemas.REPUTATION), active,
+                     **edge(batch_id=i, first_block=i, last_block=i, last_op=i))
+    assert store.expire(keep=3) == 3
+    assert store.rewind(4).last_block == 3
+    assert reputation_rows(store.reputation()) == [(1, 3, False)]
+    assert store.progress().count() == 7

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from votescore.session import cut_lineage
 from votescore.sources.oplog import OpTypes
 
-# Ids of the operation types.
+# Qualified names and ids of the operation types.
+NAMES = OpTypes(
+    vote="protocol::effective_comment_vote_operation",
+    delete="protocol::delete_comment_operation",
+    payout="protocol::comment_payout_update_operation",
+)
 TYPES = OpTypes(vote=72, delete=17, payout=61)
 
 

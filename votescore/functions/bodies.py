@@ -4,30 +4,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # As text, because the weight may be a JSON number or a JSON string.
-_FIELDS = "author string, voter string, permlink string, rshares string"
+_FIELDS = "author string, voter string, permlink string, rshares string, _corrupt string"
 
 
 def _parsed(ops: DataFrame, *columns) -> DataFrame:
-    """The given columns and the body fields. The generator keeps later filters and joins on the
-    fields from being pushed below it, so every body is parsed exactly once."""
-    return ops.select(*columns, F.inline(F.array(F.from_json("body_value", _FIELDS))))
+    """The given columns, the body fields and `broken`, which says that the body is no JSON object. The generator keeps
+    later filters and joins on the fields from being pushed below it, so every body is parsed exactly once."""
+    body = F.from_json("body_value", _FIELDS, {"columnNameOfCorruptRecord": "_corrupt"})
+    return ops.select(*columns, F.coalesce(F.trim("body_value") == "", F.lit(True)).alias("_empty"), F.inline(F.array(body))).withColumn(
+        "broken", F.col("_empty") | F.col("_corrupt").isNotNull()).drop("_empty", "_corrupt")
+
+
+def _whole(parsed: DataFrame) -> DataFrame:
+    """A broken body is an error. A whole one without author or permlink is not; it belongs to no post."""
+    problem = F.concat(F.lit("body of operation "), F.col("source_op").cast("string"), F.lit(" does not parse"))
+    author = F.when(F.col("broken"), F.raise_error(problem).cast("string")).otherwise(F.col("author"))
+    return parsed.withColumn("author", author).drop("broken")
+
+
+def broken_bodies(ops: DataFrame) -> DataFrame:
+    """Operations whose body does not parse, as they are."""
+    return _parsed(ops, *ops.columns).where("broken").select(*ops.columns)
+
+
+def whole_bodies(ops: DataFrame) -> DataFrame:
+    """Operations whose body parses, as they are."""
+    return _parsed(ops, *ops.columns).where("not broken").select(*ops.columns)
 
 
 def parse_votes(ops: DataFrame) -> DataFrame:
     """Vote bodies. A weight that is not a whole number is an error."""
-    return _parsed(ops, "source_op", "op_type_id").withColumn("rshares", F.col("rshares").cast("long"))
+    return _whole(_parsed(ops, "source_op", "op_type_id")).withColumn("rshares", F.col("rshares").cast("long"))
 
 
 def parse_removals(ops: DataFrame) -> DataFrame:
     """Delete and payout bodies: they concern every vote of the post, so no voter and no weight."""
-    return _parsed(ops, "source_op", "op_type_id").withColumns({
+    return _whole(_parsed(ops, "source_op", "op_type_id")).withColumns({
         "voter": F.lit(None).cast("string"), "rshares": F.lit(None).cast("long")})
 
 
-def normalize_ops(ops: DataFrame, vote_type: int) -> DataFrame:
-    """Both kinds in one pass: voter and weight are read from vote bodies only."""
+def normalize_ops(ops: DataFrame, vote_type: int, bad_weights: bool = False) -> DataFrame:
+    """Both kinds in one pass: voter and weight are read from vote bodies only. A weight that is not a whole number is
+    an error, or NULL where `bad_weights` are allowed for."""
     is_vote = F.col("op_type_id") == F.lit(vote_type)
-    return _parsed(ops, "source_op", is_vote.alias("is_vote")).withColumns({
+    weight = F.when(F.col("is_vote"), F.col("rshares"))
+    return _whole(_parsed(ops, "source_op", is_vote.alias("is_vote"))).withColumns({
         "voter": F.when(F.col("is_vote"), F.col("voter")),
-        "rshares": F.when(F.col("is_vote"), F.col("rshares")).cast("long"),
+        "rshares": weight.try_cast("long") if bad_weights else weight.cast("long"),
     })

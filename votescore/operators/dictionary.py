@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from votescore.operators.skew import HOT_ROWS, hot_keys, salted_lookup
 from votescore.session import cut_lineage
 
-MIN_BUCKETS = 256
+# Strings that one task numbers.
+BUCKET_STRINGS = 1_000_000
 
 
 def new_entries(dictionary: DataFrame, strings: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -16,14 +16,15 @@ def new_entries(dictionary: DataFrame, strings: DataFrame, buckets: int | None =
     the buckets before it, and the first after the highest id in use. Only the bucket sizes (one row
     per bucket) meet in one place.
     """
-    if buckets is None:
-        buckets = max(MIN_BUCKETS, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Written once: both the numbering and the bucket sizes read it.
+    # Written once: the numbering, the bucket sizes and the number of buckets read it.
     unseen = cut_lineage(
         strings.where(F.col("permlink").isNotNull()).select("permlink").distinct()
         .join(dictionary, "permlink", "left_anti")
-        .withColumn("bucket", F.pmod(F.xxhash64("permlink"), F.lit(buckets)).cast("int"))
     )
+    if buckets is None:
+        tasks = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(tasks, -(-unseen.count() // BUCKET_STRINGS))
+    unseen = unseen.withColumn("bucket", F.pmod(F.xxhash64("permlink"), F.lit(buckets)).cast("int"))
     in_use = dictionary.agg(F.lit(-1).alias("bucket"), F.coalesce(F.max("permlink_id"), F.lit(0)).alias("n"))
     sizes = unseen.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).unionByName(in_use)
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,8 +41,11 @@ def extend_dictionary(dictionary: DataFrame, strings: DataFrame, buckets: int |
     return dictionary.select("permlink_id", "permlink").unionByName(new_entries(dictionary, strings, buckets))
 
 
-def encode(ops: DataFrame, dictionary: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Operations with the permlink replaced by its id; frequent permlinks are salted."""
-    hot = [k[0] for k in hot_keys(ops, ["permlink"], ops.count(), hot_rows) if k[0] is not None]
-    table = dictionary.select(F.col("permlink").alias("_permlink"), "permlink_id")
-    return salted_lookup(ops, "permlink", table, "_permlink", "inner", hot).drop("permlink")
+def batch_dictionary(dictionary: DataFrame, strings: DataFrame) -> DataFrame:
+    """The part of the dictionary that a batch needs: entries of the strings that occur in it."""
+    return dictionary.select("permlink_id", "permlink").join(strings.select("permlink"), "permlink", "left_semi")
+
+
+def encode(ops: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Operations with the permlink replaced by its id. The planner splits the partitions of frequent permlinks."""
+    return ops.join(dictionary.select("permlink", "permlink_id"), "permlink").drop("permlink")

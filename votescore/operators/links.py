@@ -5,23 +5,24 @@ every operation, so one window finds the previous vote whether it was stored or
 and one window finds the removals around it. The post windows (author, permlink) and the chain
 windows (author, permlink, voter) share a single shuffle by post.
 
-A post that holds too many rows for one task is cut into pieces by operation id. Inside a piece the
-same windows run; what lies in other pieces arrives through one summary row per piece.
+A post that holds too many rows for one task is cut into pieces by operation id, as many as its rows
+need. Inside a piece the same windows run; what lies in other pieces arrives through one summary row per
+piece.
 """
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votescore.functions.branch import count_at_or_below
-from votescore.operators.skew import HOT_ROWS, PIECES, hot_keys, split_hot
+from votescore.operators.skew import HOT_ROWS, hot_keys, in_runs, split_hot
+from votescore.session import cut_lineage
 
 STORED, VOTE, REMOVAL = 0, 1, 2
 
 POST = ["author_id", "permlink"]
 CHAIN = ["author_id", "permlink", "voter_id"]
 ROW = ["author_id", "voter_id", "permlink", "rshares", "source_op", "kind"]
+# Stored votes all have operation 0 and are ordered by voter.
+RUN = ["author_id", "permlink", "source_op", "voter_id"]
 LINKED = ROW + ["back_op", "back_rshares", "stored_rshares", "removed_before", "removed_last", "is_latest"]
 
 
@@ -34,33 +35,14 @@ def link_input(ops: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return rows.unionByName(old)
 
 
-def hot_posts(rows: DataFrame, hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """Posts with too many rows for one task. A hot post has a hot author, so authors are counted
+def hot_posts(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Posts with too many rows for one task, or None. A hot post has a hot author, so authors are counted
     first: usually that ends it, at the price of one row per author and map task."""
-    total = rows.count()
-    authors = [k[0] for k in hot_keys(rows, ["author_id"], total, hot_rows)]
-    if not authors:
-        return []
-    return hot_keys(rows.where(F.col("author_id").isin(authors)), POST, total, hot_rows)
-
-
-def cut_points(rows: DataFrame, pieces: int = PIECES) -> list[int]:
-    """Operation ids that cut the given rows into about equal runs (at most `pieces` - 1 values)."""
-    shares = [i / pieces for i in range(1, pieces)]
-    found = rows.where(F.col("source_op") > 0).agg(
-        F.percentile_approx("source_op", shares, 100 * pieces).alias("at")).first()
-    return sorted(set(found["at"] or []))
-
-
-def with_piece(rows: DataFrame, points: Sequence[int], pieces: int = PIECES) -> DataFrame:
-    """Piece 0, 1, … by operation id. Stored votes have no position among the operations of the
-    range; they come first and are spread over the negative pieces by voter."""
-    stored = -1 - F.pmod(F.xxhash64("voter_id"), F.lit(pieces))
-    return rows.withColumn(
-        "piece",
-        F.when(F.col("source_op") == 0, stored.cast("int"))
-        .otherwise(count_at_or_below(F.col("source_op"), points).cast("int")),
-    )
+    authors = cut_lineage(hot_keys(rows, ["author_id"], hot_rows))
+    if authors.isEmpty():
+        return None
+    posts = cut_lineage(hot_keys(rows.join(authors, "author_id", "left_semi"), POST, hot_rows))
+    return None if posts.isEmpty() else posts
 
 
 def _removal_op() -> Column:
@@ -84,26 +66,19 @@ def _link_whole(rows: DataFrame) -> DataFrame:
     ).select(*LINKED)
 
 
-def _link_pieces(rows: DataFrame, posts: Sequence[tuple], pieces: int = PIECES) -> DataFrame:
+def _link_pieces(rows: DataFrame, hot_rows: int) -> DataFrame:
     """Links of hot posts: windows inside (post, piece), summaries across pieces."""
-    cut = with_piece(rows, cut_points(rows, pieces), pieces)
-    spark = rows.sparkSession
+    cut = in_runs(rows, RUN, hot_rows)
 
-    # Removals: the last one per piece, then over the pieces. posts * 2 * pieces rows at most.
-    grid = (
-        spark.createDataFrame(list(posts), rows.select(*POST).schema)
-        .withColumn("piece", F.explode(F.sequence(F.lit(-pieces), F.lit(pieces - 1))))
-    )
-    last_removal = (
-        cut.where(F.col("kind") == REMOVAL).groupBy(*POST, "piece").agg(F.max("source_op").alias("removed_in")))
+    # Removals: the last one per piece, then over the pieces of the post.
     over_pieces = Window.partitionBy(*POST).orderBy("piece")
-    around = grid.join(last_removal, [*POST, "piece"], "left").select(
+    around = cut.groupBy(*POST, "piece").agg(F.max(_removal_op()).alias("removed_in")).select(
         *POST, "piece",
         F.max("removed_in").over(over_pieces.rowsBetween(Window.unboundedPreceding, -1)).alias("removed_outside"),
         F.max("removed_in").over(Window.partitionBy(*POST)).alias("removed_last"),
     )
 
-    # Chains: the last row per piece, then the piece before. At most 2 * pieces rows per chain.
+    # Chains: the last row per piece, then the piece before.
     chain = Window.partitionBy(*CHAIN)
     steps = chain.orderBy("piece")
     in_chain = cut.where(F.col("voter_id").isNotNull())
@@ -135,7 +110,7 @@ def _link_pieces(rows: DataFrame, posts: Sequence[tuple], pieces: int = PIECES)
         F.lit(False).alias("last_piece"), F.lit(None).cast("long").alias("stored_rshares"))
     return (
         chained.unionByName(chainless)
-        .join(F.broadcast(around), [*POST, "piece"])  # MAX_HOT * 2 * pieces rows at most
+        .join(around, [*POST, "piece"])
         .select(
             *ROW,
             F.when(first_inside, F.col("back.source_op")).otherwise(F.col("local_op")).alias("back_op"),
@@ -148,7 +123,7 @@ def _link_pieces(rows: DataFrame, posts: Sequence[tuple], pieces: int = PIECES)
     )
 
 
-def link(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def link(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds to every row its previous row in the vote chain and the removals of its post.
 
     back_op, back_rshares   previous stored or cast vote of the same voter on the same post
@@ -158,30 +133,38 @@ def link(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> Dat
     is_latest               no later vote in the chain
     """
     posts = hot_posts(rows, hot_rows)
-    if not posts:
+    if posts is None:
         return _link_whole(rows)
     hot, rest = split_hot(rows, POST, posts)
-    return _link_whole(rest).unionByName(_link_pieces(hot, posts, pieces))
+    return _link_whole(rest).unionByName(_link_pieces(hot, hot_rows))
 
 
-def vote_transitions(linked: DataFrame) -> DataFrame:
-    """One row per vote: its weight and the weight it replaces.
-
-    The previous weight is the previous vote of the range, else the stored vote, else 0. It counts
-    as 0 when the post was removed since the previous vote, and for voters without an account.
-    """
-    previous = F.coalesce("back_rshares", "stored_rshares", F.lit(0).cast("long"))
+def _votes(linked: DataFrame) -> DataFrame:
+    """Votes with the weight they follow (the previous vote of the range, else the stored vote, else 0) and
+    whether that is `cancelled`: the post was removed since, or the voter has no account."""
     since = F.coalesce("back_op", F.lit(0).cast("long"))
-    cancelled = F.coalesce(F.col("removed_before") >= since, F.lit(False))
+    removed = F.coalesce(F.col("removed_before") >= since, F.lit(False))
     return linked.where(F.col("kind") == VOTE).select(
+        "author_id", "voter_id", "permlink", "rshares", "source_op",
+        F.coalesce("back_rshares", "stored_rshares", F.lit(0).cast("long")).alias("followed"),
+        (F.col("voter_id").isNull() | removed).alias("cancelled"))
+
+
+def vote_transitions(linked: DataFrame) -> DataFrame:
+    """One row per vote: its weight and the weight it replaces, which is 0 for a cancelled one."""
+    return _votes(linked).select(
         "author_id", "voter_id", "permlink", "rshares",
-        F.when(F.col("voter_id").isNull() | cancelled, F.lit(0).cast("long")).otherwise(previous)
-        .alias("prev_rshares"),
-        "source_op",
-    )
+        F.when(F.col("cancelled"), F.lit(0).cast("long")).otherwise(F.col("followed")).alias("prev_rshares"),
+        "source_op")
+
+
+def cancelled_votes(linked: DataFrame) -> DataFrame:
+    """Votes of known voters whose previous vote was cancelled by a removal, with its weight."""
+    return _votes(linked).where("cancelled and followed <> 0 and voter_id is not null").select(
+        "source_op", F.col("followed").alias("cancelled_rshares"))
 
 
-def ranked_ops(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
+def ranked_ops(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows with `row_num`: 1 for the newest row of its (author, voter, permlink)."""
     newest_first = F.desc("source_op")
 
@@ -190,10 +173,10 @@ def ranked_ops(rows: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES)
             Window.partitionBy(*POST, "voter_id").orderBy(newest_first)).alias("row_num"))
 
     posts = hot_posts(rows, hot_rows)
-    if not posts:
+    if posts is None:
         return whole(rows)
     part, rest = split_hot(rows, POST, posts)
-    cut = with_piece(part, cut_points(part, pieces), pieces)
+    cut = in_runs(part, RUN, hot_rows)
     newer = Window.partitionBy(*CHAIN).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         cut.groupBy(*CHAIN, "piece").agg(F.count(F.lit(1)).alias("n"))

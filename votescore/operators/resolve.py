@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votescore.operators.skew import BROADCAST_ROWS, HOT_ROWS, fits_broadcast, hot_keys, salted_lookup
-from votescore.session import cut_lineage
 
 
 def missing_account(name) -> F.Column:
@@ -23,29 +21,23 @@ def account_ids(names: DataFrame, accounts: DataFrame) -> DataFrame:
     return names.join(accounts, "name", "inner").select("name", "id")
 
 
-def resolve_ops(ops: DataFrame, accounts: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def resolve_ops(ops: DataFrame, accounts: DataFrame, strategy: str | None = None) -> DataFrame:
     """Operations with ids. An unknown author drops the operation, an unknown voter gives NULL.
 
-    Operations without a permlink cannot belong to a post and are dropped as well. A small account
-    table is broadcast after a size check; a larger one is joined by shuffle with hot names salted.
+    Operations without a permlink cannot belong to a post and are dropped as well. The planner broadcasts the
+    accounts by their size in bytes, or else splits the partitions of frequent names and of missing voters;
+    `strategy` is a join hint that overrides it.
     """
     posts = ops.where(F.col("permlink").isNotNull() & F.col("author").isNotNull())
     authors = accounts.select(F.col("name").alias("_author"), F.col("id").alias("author_id"))
     voters = accounts.select(F.col("name").alias("_voter"), F.col("id").alias("voter_id"))
-    if fits_broadcast(accounts, broadcast_rows):
-        joined = (
-            posts.join(F.broadcast(authors), posts["author"] == authors["_author"], "inner")
-            .join(F.broadcast(voters), posts["voter"] == voters["_voter"], "left")
-        )
-    else:
-        posts = cut_lineage(posts)  # read four times below, parsed once
-        total = posts.count()
-        hot = {side: [k[0] for k in hot_keys(posts, [side], total, hot_rows)] for side in ("author", "voter")}
-        joined = salted_lookup(posts, "author", authors, "_author", "inner", hot["author"])
-        joined = salted_lookup(joined, "voter", voters, "_voter", "left",
-                               [k for k in hot["voter"] if k is not None])
-    return joined.select("author_id", "voter_id", "permlink", "rshares", "source_op", "is_vote")
+    if strategy:
+        authors, voters = authors.hint(strategy), voters.hint(strategy)
+    return (
+        posts.join(authors, posts["author"] == authors["_author"], "inner")
+        .join(voters, posts["voter"] == voters["_voter"], "left")
+        .select("author_id", "voter_id", "permlink", "rshares", "source_op", "is_vote")
+    )
 
 
 def resolve_accounts(names: DataFrame, accounts: DataFrame, required: bool = True) -> DataFrame:

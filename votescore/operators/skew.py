@@ -1,61 +1,33 @@
-"""Finding keys that are too big for one task, and joining without piling them up."""
+"""Finding keys that are too big for one task, and cutting their rows into runs."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A key with more rows than this does not go through one window or join task.
-HOT_ROWS = 1_000_000
-# At most this many keys are called hot; each of them holds over 1/MAX_HOT of the rows.
-MAX_HOT = 256
-# Pieces a hot key is cut into.
-PIECES = 64
-# Accounts up to this many rows (about 40 bytes each) are broadcast.
-BROADCAST_ROWS = 2_000_000
-
-
-def hot_keys(df: DataFrame, cols: Sequence[str], total: int, hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """Keys with more than max(hot_rows, total / MAX_HOT) rows: fewer than MAX_HOT by counting.
+from votescore.session import cut_lineage
 
-    Keys below that bound hold at most total / MAX_HOT rows, a small share of the cluster's work.
-    """
-    floor = max(hot_rows, total // MAX_HOT)
-    if total <= floor:
-        return []
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
-    return [tuple(r[c] for c in cols) for r in counts.select(*cols).collect()]
+# A key with more rows than this does not go through one window task. The limit is the same for any log.
+HOT_ROWS = 1_000_000
 
 
-def split_hot(df: DataFrame, cols: Sequence[str], keys: Sequence[tuple]) -> tuple[DataFrame, DataFrame]:
-    """(rows of hot keys, other rows). The keys are fewer than MAX_HOT, so they are broadcast."""
-    schema = T.StructType([df.schema[c] for c in cols])
-    table = F.broadcast(df.sparkSession.createDataFrame(list(keys), schema))
-    return df.join(table, list(cols), "left_semi"), df.join(table, list(cols), "left_anti")
+def hot_keys(df: DataFrame, cols: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows: a table, at most rows / hot_rows long."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select(*cols)
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Checks the size of a side before it is broadcast."""
-    return limit > 0 and df.count() <= limit
+def split_hot(df: DataFrame, cols: Sequence[str], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, other rows). The planner broadcasts the keys by their size, or else splits the hot side."""
+    return df.join(keys, list(cols), "left_semi"), df.join(keys, list(cols), "left_anti")
 
 
-def salted_lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, how: str,
-                  hot: Sequence, pieces: int = PIECES) -> DataFrame:
-    """Equi join of a skewed side to a table with unique keys, without a broadcast.
+def in_runs(df: DataFrame, cols: Sequence[str], run_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows with `piece`: ranges of `cols`, each about half of `run_rows` long, in ascending order.
 
-    Rows of hot keys and of NULL keys are spread over `pieces` sub-keys by their operation id; the
-    few table rows of hot keys are repeated once per piece.
+    The first columns name the key and the last ones order its rows, so every key is cut at its own quantiles: a key
+    in as many pieces as its rows need, or several small keys in one. The pieces are checkpointed, because ranges must
+    not be drawn twice.
     """
-    spread = F.pmod(F.xxhash64("source_op"), F.lit(pieces)).cast("int")
-    busy = F.col(key).isNull()
-    repeated = F.array(F.lit(0))
-    if hot:
-        busy = busy | F.col(key).isin(list(hot))
-        repeated = F.when(F.col(table_key).isin(list(hot)),
-                          F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(repeated)
-    left = rows.withColumn("_piece", F.when(busy, spread).otherwise(F.lit(0)))
-    right = table.withColumn("_table_piece", F.explode(repeated))
-    joined = left.join(
-        right, (left[key] == right[table_key]) & (left["_piece"] == right["_table_piece"]), how)
-    return joined.drop("_piece", "_table_piece", table_key)
+    pieces = max(1, -(-2 * df.count() // run_rows))
+    ranged = df.repartitionByRange(pieces, *cols).withColumn("piece", F.spark_partition_id())
+    return cut_lineage(ranged)

@@ -2,7 +2,24 @@
 previous votes by lag, removals by EXISTS over a range, and the ordered step by recursion with one
 row per vote."""
 
-from votescore.functions.score import THRESHOLDS
+# Smallest reputations of 26, 27, ... points, ceil(10 ** (9 + (2 k + 1) / 18)).
+THRESHOLDS = [
+    1136463667, 1467799268, 1895735653, 2448436747, 3162277661, 4084238653, 5274997064, 6812920691, 8799225436,
+    11364636664, 14677992677, 18957356525, 24484367469, 31622776602, 40842386527, 52749970638, 68129206906,
+    87992254357, 113646366639, 146779926763, 189573565241, 244843674683, 316227766017, 408423865268,
+    527499706371, 681292069058, 879922543570, 1136463666386, 1467799267623, 1895735652407, 2448436746823,
+    3162277660169, 4084238652675, 5274997063703, 6812920690580, 8799225435692, 11364636663858, 14677992676221,
+    18957356524064, 24484367468223, 31622776601684, 40842386526746, 52749970637027, 68129206905797,
+    87992254356911, 113646366638573, 146779926762207, 189573565240638, 244843674682223, 316227766016838,
+    408423865267453, 527499706370262, 681292069057962, 879922543569108, 1136463666385725, 1467799267622070,
+    1895735652406376, 2448436746822228, 3162277660168380, 4084238652674522, 5274997063702619, 6812920690579613,
+    8799225435691071, 11364636663857248, 14677992676220696, 18957356524063759, 24484367468222271,
+    31622776601683794, 40842386526745212, 52749970637026185, 68129206905796129, 87992254356910704,
+    113646366638572475, 146779926762206955, 189573565240637581, 244843674682222701, 316227766016837934,
+    408423865267452112, 527499706370261841, 681292069057961286, 879922543569107031, 1136463666385724747,
+    1467799267622069541, 1895735652406375804, 2448436746822227007, 3162277660168379332, 4084238652674521117,
+    5274997063702618402, 6812920690579612855, 8799225435691070302,
+]
 
 _DENSE = """
 ops AS (
@@ -89,12 +106,21 @@ folded(step, source_op, a, rep, imp, ra0, ia0, rv0, iv0, undone, applied) AS (
       f.rep[s.a] AS ra, f.imp[s.a] AS ia, f.rep[s.v] AS rv, f.imp[s.v] AS iv
     FROM folded f JOIN steps s ON s.step = f.step + 1))))))"""
 
-_STANDING = f"""WITH RECURSIVE {_DENSE}, {_TRANSITIONS}, {_FOLD},
+
+
+def _standing(ops: str) -> str:
+    return f"""WITH RECURSIVE {ops}, {_TRANSITIONS}, {_FOLD},
 standing AS (
   SELECT CAST(id AS INTEGER) AS account_id, rep[id + 1] AS reputation, imp[id + 1] AS is_implicit
   FROM (SELECT rep, imp FROM folded ORDER BY step DESC LIMIT 1),
     (SELECT DISTINCT a - 1 AS id FROM folded WHERE applied))"""
 
+
+_STANDING = _standing(_DENSE)
+_WIDE_STANDING = _standing(_WIDE)
+_FIRST_HALF_STANDING = _standing(_DENSE.replace(
+    "FROM events)", "FROM events WHERE event_id // 10 + 1 <= (SELECT max(event_id // 10 + 1) // 2 FROM events))"))
+
 _STANDING_ROWS = _STANDING + " SELECT * FROM standing"
 
 _SCORE = """CAST(CASE WHEN {r} IS NULL OR {r} = 0 THEN 0
@@ -254,4 +280,22 @@ ORACLES: dict[str, str] = {
     "stream_standing": _STANDING_ROWS,
     "stream_active_votes": _ACTIVE_ROWS,
     "rewound_standing": _STANDING_ROWS,
+    "raw_standing_wide": _WIDE_STANDING + " SELECT * FROM standing",
+    "scores_wide": f"""{_WIDE_STANDING}
+        SELECT CAST(c_custkey AS INTEGER) AS account_id, 'acct-' || c_custkey AS name, {_SCORE.format(r="s.reputation")} AS score
+        FROM customer LEFT JOIN standing s ON s.account_id = c_custkey""",
+    "live_standing": _STANDING_ROWS,
+    "resumed_standing": _STANDING_ROWS,
+    "block_limited_standing": _FIRST_HALF_STANDING + " SELECT * FROM standing",
+    "committed_ranges": f"""WITH {_DENSE}, top AS (SELECT max(block_num) AS block FROM ops), step AS (
+          SELECT CAST((block + 3) // 4 AS INTEGER) AS n, block FROM top), r AS (SELECT unnest(range(1, 5)) AS v)
+        SELECT v AS version, CAST((v - 1) * n + 1 AS INTEGER) AS first_block,
+          CAST(least(v * n, block) AS INTEGER) AS last_block,
+          (SELECT max(source_op) FROM ops WHERE block_num <= v * n) AS last_op
+        FROM r, step""",
+    "stored_accounts": "SELECT CAST(c_custkey AS INTEGER) AS id, 'acct-' || c_custkey AS name FROM customer WHERE c_acctbal >= 0",
+    "block_window_scan": f"""WITH {_WIDE}, top AS (SELECT max(block_num) AS block FROM ops)
+        SELECT source_op, block_num, CAST(op_type_id AS SMALLINT) AS op_type_id FROM ops, top
+        WHERE block_num BETWEEN block // 2 AND block // 2 + block // 10""",
+    "batch_permlinks": f"""WITH {_HALVES} SELECT permlink, count(*) AS n_votes FROM ops WHERE is_vote GROUP BY 1""",
 }

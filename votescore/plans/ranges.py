@@ -6,8 +6,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votescore.functions.bodies import normalize_ops
-from votescore.operators.active import next_active_votes
+from votescore.functions.bodies import broken_bodies, normalize_ops, whole_bodies
+from votescore.operators.active import next_active_votes, quarantine
 from votescore.operators.fold import SLICE_VOTES, fold_votes, merge_reputation
 from votescore.operators.links import link, link_input, vote_transitions
 from votescore.operators.resolve import resolve_ops
@@ -20,33 +20,50 @@ CATCH_UP_BLOCKS = 10_000
 RANGES = "ranges"
 
 
+def resolved_range(ops: DataFrame, accounts: DataFrame, types: OpTypes, bad: str | None = None) -> DataFrame:
+    """Resolved operations of a range; JSON is parsed once.
+
+    A body that does not parse, and a vote that would have to be stored without a known voter or without a weight,
+    is an error. With a path `bad` such operations are left out and written there as (source_op, reason).
+    """
+    if bad is None:
+        return resolve_ops(normalize_ops(ops, types.vote), accounts)
+    resolved = cut_lineage(resolve_ops(normalize_ops(whole_bodies(ops), types.vote, bad_weights=True), accounts))
+    usable, unusable = quarantine(resolved)
+    reasons = unusable.select("source_op", F.when(F.col("voter_id").isNull(), "voter").otherwise("weight").alias("reason"))
+    broken = broken_bodies(ops).select("source_op", F.lit("body").alias("reason"))
+    reasons.unionByName(broken).write.mode("overwrite").parquet(bad)
+    return usable
+
+
 def link_range(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes: DataFrame | None = None,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Linked rows of a range of raw operations. JSON is parsed once; the links are written once and
-    feed both the next active votes and the reputation step."""
-    resolved = resolve_ops(normalize_ops(ops, types.vote), accounts, hot_rows=hot_rows)
-    rows = cut_lineage(link_input(resolved, active_votes))
+               hot_rows: int = HOT_ROWS, bad: str | None = None) -> DataFrame:
+    """Linked rows of a range of raw operations. The links are written once and feed both the next active votes and
+    the reputation step."""
+    rows = cut_lineage(link_input(resolved_range(ops, accounts, types, bad), active_votes))
     return cut_lineage(link(rows, hot_rows=hot_rows))
 
 
 def process(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes: DataFrame | None = None,
-            reputation: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-            slice_votes: int = SLICE_VOTES) -> tuple[DataFrame, DataFrame]:
+            reputation: DataFrame | None = None, hot_rows: int = HOT_ROWS, slice_votes: int = SLICE_VOTES,
+            bad: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(reputation, active votes) after the operations, from the state before them."""
-    linked = link_range(ops, accounts, types, active_votes, hot_rows)
+    linked = link_range(ops, accounts, types, active_votes, hot_rows, bad)
     changes = fold_votes(vote_transitions(linked), reputation, slice_votes)
     after = merge_reputation(reputation, changes) if reputation is not None else changes
     return after, next_active_votes(linked)
 
 
 def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTypes, source: str,
-                  batch_id: int, first_block: int | None = None, last_block: int | None = None) -> bool:
+                  batch_id: int, first_block: int | None = None, last_block: int | None = None,
+                  bad: str | None = None) -> bool:
     """Applies one batch of operations and commits it; False when this batch was committed before.
 
-    Without given blocks the batch covers the blocks of its operations; an empty one commits nothing.
+    Without given blocks the batch covers the blocks of its operations; an empty one commits nothing. Operations
+    that cannot be used are an error, or are kept apart below the path `bad`, in a folder per commit.
     """
     head = store.latest()
-    if source == head.source and batch_id <= head.batch_id:
+    if batch_id <= head.batches.get(source, -1):
         return False
     started = datetime.now()
     batch = scan_ops(ops, types, first_block, last_block)
@@ -57,7 +74,8 @@ def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types:
     if edge.first_op is not None and edge.first_op <= head.last_op:
         raise ValueError(f"operation {edge.first_op} is not after the committed operation {head.last_op}")
     reputation, active = process(
-        batch, accounts, types, store.active_votes(head), store.reputation(head))
+        batch, accounts, types, store.active_votes(head), store.reputation(head),
+        bad=bad and f"{bad.rstrip('/')}/v={head.version + 1}")
     store.commit(
         head, reputation, active, source=source, batch_id=batch_id, started_at=started,
         last_op=edge.last_op or head.last_op,
@@ -72,18 +90,19 @@ def block_ranges(first: int, last: int, step: int = CATCH_UP_BLOCKS) -> Iterator
 
 
 def catch_up(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTypes,
-             step: int = CATCH_UP_BLOCKS, limit_block: int | None = None) -> int:
-    """Processes the log from the last committed block on, `step` blocks per commit, up to the head
+             step: int = CATCH_UP_BLOCKS, limit_block: int | None = None, bad: str | None = None) -> int:
+    """Processes the log after the last committed operation, `step` blocks per commit, up to the head
     of the log or the block limit. Returns the last block.
 
+    A batch may have ended inside a block, so the last committed block is looked at again for what it still holds.
     The result does not depend on `step`; a step should hold enough votes to keep the cluster busy.
     """
-    log = scan_ops(ops, types, last_block=limit_block)
     done = store.latest()
-    # Only blocks after the committed ones are looked at, so old files are skipped by their statistics.
-    top = log.where(F.col("block_num") > done.last_block).agg(F.max("block_num").alias("block")).first().block
-    if top is None:
+    # Only blocks from the last committed one on are looked at, so old files are skipped by their statistics.
+    rest = scan_ops(ops, types, done.last_block, limit_block).where(F.col("source_op") > done.last_op)
+    edge = rest.agg(F.min("block_num").alias("first"), F.max("block_num").alias("last")).first()
+    if edge.last is None:
         return done.last_block
-    for first, last in block_ranges(done.last_block + 1, top, step):
-        process_batch(store, log, accounts, types, RANGES, store.latest().version + 1, first, last)
+    for first, last in block_ranges(min(edge.first, done.last_block + 1), edge.last, step):
+        process_batch(store, rest, accounts, types, RANGES, store.latest().version + 1, first, last, bad)
     return store.latest().last_block

@@ -1,15 +1,16 @@
 """Versioned snapshots of the state, and the record of what has been processed.
 
-A commit writes both state tables into a new snapshot and then one progress row that names it. The
-progress row is a single file that appears with the commit of its write job and is never replaced:
-a snapshot without one does not exist for readers, a failed attempt leaves nothing visible, and of
-two writers that continue from the same commit the second fails.
+A commit writes both state tables into a new snapshot and then one progress record that names it. The record of a
+version is one file that appears whole, by a step that fails if the file is there (a hard link on a local disk, a
+rename elsewhere): a snapshot without a record does not exist for readers, a failed attempt leaves nothing visible,
+and of two writers that continue from the same commit exactly one succeeds. The newest version is found by name.
 """
 
+import json
+import os
 import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,23 +26,42 @@ class StateStore:
         """Version 0: empty state before the first block. An existing store is left as it is."""
         if self.latest() is None:
             empty = self.spark.createDataFrame
-            start = Row(version=-1)
+            start = Row(version=-1, batches={})
             self.commit(
                 start, empty([], schemas.REPUTATION), empty([], schemas.ACTIVE_VOTES), source="", batch_id=-1,
                 first_block=0, last_block=0, last_op=0, started_at=datetime.now())
         return self
 
+    def _files(self):
+        """The Hadoop file system of the store."""
+        return self._hadoop(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def versions(self) -> list[int]:
+        """Committed versions, by the names of their records."""
+        files, folder = self._files(), self._hadoop(f"{self.root}/progress")
+        if not files.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
+    def _record_path(self, version: int) -> str:
+        return f"{self.root}/progress/{version:012d}.json"
+
     def progress(self) -> DataFrame:
         """One row per commit."""
-        try:
-            return self.spark.read.schema(schemas.PROGRESS).json(f"{self.root}/progress/*")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        paths = [self._record_path(v) for v in self.versions()]
+        if not paths:
             return self.spark.createDataFrame([], schemas.PROGRESS)
+        return self.spark.read.schema(schemas.PROGRESS).json(f"{self.root}/progress/[0-9]*.json")
 
     def latest(self) -> Row | None:
-        return latest(self.progress()).first()
+        versions = self.versions()
+        if not versions:
+            return None
+        return self.spark.read.schema(schemas.PROGRESS).json(self._record_path(versions[-1])).first()
 
     def reputation(self, at: Row | None = None) -> DataFrame:
         """Reputation state at a commit, by default the newest."""
@@ -65,20 +85,51 @@ class StateStore:
         reputation.write.parquet(self._path("account_reputations", snapshot))
         active_votes.write.parquet(self._path("active_votes", snapshot))
         self._record(dict(
-            version=version, snapshot=snapshot, source=source, batch_id=batch_id, first_block=first_block,
+            version=version, snapshot=snapshot, source=source, batch_id=batch_id,
+            batches=head.batches | {source: max(batch_id, head.batches.get(source, -1))}, first_block=first_block,
             last_block=last_block, last_op=last_op, started_at=started_at, ended_at=datetime.now(),
             pipeline_version=__version__))
 
     def _record(self, row: dict) -> None:
-        columns = [f.name for f in schemas.PROGRESS]
-        (self.spark.createDataFrame([tuple(row[c] for c in columns)], schemas.PROGRESS)
-         .coalesce(1).write.mode("error").json(f"{self.root}/progress/v={row['version']}"))
+        """Makes the record of a version visible, or fails if there is one."""
+        zone = self.spark.conf.get("spark.sql.session.timeZone")
+        shown = self.spark.createDataFrame([tuple(row[f.name] for f in schemas.PROGRESS)], schemas.PROGRESS).select(
+            F.to_json(F.struct("*"), {"timeZone": zone})).first()[0]
+        path, files = self._record_path(row["version"]), self._files()
+        draft = f"{self.root}/progress/_{uuid.uuid4().hex}"
+        out = files.create(self._hadoop(draft), False)
+        out.write(bytearray(shown.encode()))
+        out.close()
+        taken = FileExistsError(f"version {row['version']} was committed by another writer")
+        if files.getScheme() == "file":
+            local = lambda p: files.makeQualified(self._hadoop(p)).toUri().getPath()
+            try:
+                os.link(local(draft), local(path))
+            except FileExistsError:
+                raise taken from None
+            finally:
+                files.delete(self._hadoop(draft), False)
+        elif not files.rename(self._hadoop(draft), self._hadoop(path)):
+            files.delete(self._hadoop(draft), False)
+            raise taken
+
+    def expire(self, keep: int = 10) -> int:
+        """Deletes snapshots that none of the last `keep` commits names; returns how many. The records stay. A rewind
+        can go back no further than the commits that are kept."""
+        rows = self.progress().orderBy(F.desc("version")).select("snapshot").collect()
+        wanted, files = {r.snapshot for r in rows[:keep]}, self._files()
+        old = sorted({r.snapshot for r in rows} - wanted)
+        gone = 0
+        for snapshot in old:
+            for table in ("account_reputations", "active_votes"):
+                gone += files.delete(self._hadoop(self._path(table, snapshot)), True)
+        return gone // 2
 
     def rewind(self, fork_block: int) -> Row:
         """Goes back to the newest state before `fork_block`; later snapshots stay where they are.
 
-        Returns the progress row to continue from: operations of its `last_block + 1` and later must
-        be replayed from a log without the orphaned operations.
+        Returns the progress row to continue from: operations after its `last_op` must be replayed from a log
+        without the orphaned operations.
         """
         head = self.latest()
         # The newest commit below the fork is on the valid chain: a rewind that orphaned it would
@@ -88,7 +139,7 @@ class StateStore:
             raise ValueError(f"no state before block {fork_block}")
         now = datetime.now()
         self._record(target.asDict() | {
-            "version": head.version + 1, "source": head.source, "batch_id": head.batch_id,
+            "version": head.version + 1, "source": head.source, "batch_id": head.batch_id, "batches": head.batches,
             "started_at": now, "ended_at": now})
         return self.latest()
 

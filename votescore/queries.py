@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votescore import fixtures, schemas
-from votescore.fixtures import TYPES, table
+from votescore.fixtures import NAMES, TYPES, table
 from votescore.functions.bodies import normalize_ops, parse_removals, parse_votes
 from votescore.functions.score import THRESHOLDS, scaled, score
 from votescore.operators import active, links
 from votescore.operators.compare import diff_detail, expected_diff
-from votescore.operators.dictionary import encode, extend_dictionary
+from votescore.operators.dictionary import batch_dictionary, encode, extend_dictionary
 from votescore.operators.fold import fold_votes, merge_reputation, vote_gates
 from votescore.operators.resolve import account_ids, names_in, resolve_accounts, resolve_ops, unknown_names
 from votescore.plans.ranges import catch_up, link_range, process, process_batch
@@ -45,10 +45,8 @@ def _mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op_types(log: DataFrame) -> DataFrame:
     """The type table of the types that occur in a log."""
     name = (
-        F.when(F.col("op_type_id") == TYPES.vote, f"protocol::{oplog.VOTE}")
-        .when(F.col("op_type_id") == TYPES.delete, f"protocol::{oplog.DELETE}")
-        .when(F.col("op_type_id") == TYPES.payout, f"protocol::{oplog.PAYOUT}")
-        .otherwise("protocol::transfer_operation")
+        F.when(F.col("op_type_id") == TYPES.vote, NAMES.vote).when(F.col("op_type_id") == TYPES.delete, NAMES.delete)
+        .when(F.col("op_type_id") == TYPES.payout, NAMES.payout).otherwise("protocol::transfer_operation")
     )
     return log.select("op_type_id").distinct().select(F.col("op_type_id").alias("id"), name.alias("name"))
 
@@ -58,13 +56,13 @@ def op_range_scan(spark, sf_dir):
     path = scratch_path(spark, "log")
     oplog.write_ops(_mixed_log(spark, sf_dir), path)
     stored = oplog.read_ops(spark, path)
-    types = oplog.op_type_ids(_op_types(stored))
+    types = oplog.op_type_ids(_op_types(stored), NAMES)
     edge = stored.agg(F.min("block_num").alias("first"), F.max("block_num").alias("last")).first()
     return oplog.scan_ops(stored, types, edge.first, edge.last).select("source_op", "block_num", "op_type_id")
 
 
 def op_type_ids(spark, sf_dir):
-    return oplog.op_type_id_array(_op_types(_mixed_log(spark, sf_dir))).select("n_ids", "ids_text")
+    return oplog.op_type_id_array(_op_types(_mixed_log(spark, sf_dir)), NAMES).select("n_ids", "ids_text")
 
 
 def parsed_ops(spark, sf_dir):
@@ -96,7 +94,7 @@ def account_resolution(spark, sf_dir):
 
 def account_resolution_shuffled(spark, sf_dir):
     """The same join without a broadcast: the way beyond the broadcast limit."""
-    return resolve_ops(_wide_parsed(spark, sf_dir), _solvent_accounts(spark, sf_dir), broadcast_rows=0, hot_rows=100)
+    return resolve_ops(_wide_parsed(spark, sf_dir), _solvent_accounts(spark, sf_dir), strategy="merge")
 
 
 def account_name_ids(spark, sf_dir):
@@ -143,6 +141,15 @@ def encoded_ops(spark, sf_dir):
     return coded.join(both, "permlink_id").select("source_op", "permlink")
 
 
+def batch_permlinks(spark, sf_dir):
+    """Entries of the dictionary for the votes of the second half of the blocks, and how many votes each has."""
+    ops = fixtures.dense_ops(spark, sf_dir)
+    late = normalize_ops(oplog.scan_ops(ops, TYPES, first_block=_middle(ops) + 1), TYPES.vote).where("is_vote")
+    _, both = _dictionaries(spark, sf_dir)
+    entries = batch_dictionary(both, late)
+    return encode(late, entries).join(entries, "permlink_id").groupBy("permlink").agg(F.count(F.lit(1)).alias("n_votes"))
+
+
 # --- links -----------------------------------------------------------------------------------------
 
 
@@ -182,7 +189,7 @@ def ranked_ops(spark, sf_dir):
 
 def ranked_ops_hot(spark, sf_dir):
     """The same ranks with most posts treated as too big for one task."""
-    return links.ranked_ops(_dense_rows(spark, sf_dir), hot_rows=10, pieces=8).select(
+    return links.ranked_ops(_dense_rows(spark, sf_dir), hot_rows=10).select(
         "author_id", "voter_id", "permlink", "source_op", "row_num")
 
 
@@ -213,10 +220,7 @@ def previous_vote_stored(spark, sf_dir):
 
 def cancelled_previous(spark, sf_dir):
     """Votes whose previous vote was cancelled by a removal in between."""
-    linked = _dense_links(spark, sf_dir)
-    before = _previous(linked).where(F.col("prev_rshares") != 0)
-    after = links.vote_transitions(linked).where(F.col("prev_rshares") == 0).select("source_op")
-    return before.join(after, "source_op").select("source_op", F.col("prev_rshares").alias("cancelled_rshares"))
+    return links.cancelled_votes(_dense_links(spark, sf_dir))
 
 
 def vote_transitions(spark, sf_dir):
@@ -225,7 +229,7 @@ def vote_transitions(spark, sf_dir):
 
 def vote_transitions_hot(spark, sf_dir):
     """The same transitions with most posts treated as too big for one task."""
-    linked = links.link(_dense_rows(spark, sf_dir), hot_rows=10, pieces=8)
+    linked = links.link(_dense_rows(spark, sf_dir), hot_rows=10)
     return links.vote_transitions(linked).select(*TRANSITION)
 
 
@@ -419,6 +423,70 @@ def _streamed(spark, sf_dir) -> StateStore:
     return store
 
 
+def live_standing(spark, sf_dir):
+    """The log lies there in four files; the stream takes one at a time, with an interval, until there are no more."""
+    ops, accounts = fixtures.dense_ops(spark, sf_dir), fixtures.dense_accounts(spark, sf_dir)
+    log = scratch_path(spark, "live-log")
+    top = ops.agg(F.max("block_num").alias("block")).first().block
+    for i in range(4):
+        part = ops.where(F.col("block_num").between(top * i // 4 + 1, top * (i + 1) // 4))
+        part.coalesce(1).write.mode("append").parquet(log)
+    store = StateStore(spark, scratch_path(spark, "state")).create()
+    query = live.start(live.read_stream(spark, log, max_files=1), accounts, TYPES, store,
+                       scratch_path(spark, "live-position"), interval="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return store.reputation()
+
+
+def resumed_standing(spark, sf_dir):
+    """A batch ends inside a block; the rest of the block comes with the next range, also after a rewind."""
+    ops, accounts = fixtures.dense_ops(spark, sf_dir), fixtures.dense_accounts(spark, sf_dir)
+    store = StateStore(spark, scratch_path(spark, "state")).create()
+    top = ops.agg(F.max("source_op").alias("op")).first().op
+    inside = top // 20 * 10 + 5  # blocks hold ten operations
+    process_batch(store, ops.where(F.col("source_op") <= inside), accounts, TYPES, "part", 0)
+    catch_up(store, ops, accounts, TYPES)
+    store.rewind(store.latest().last_block)
+    catch_up(store, ops, accounts, TYPES)
+    return store.reputation()
+
+
+def block_limited_standing(spark, sf_dir):
+    """Processing stops at the middle block."""
+    ops = fixtures.dense_ops(spark, sf_dir)
+    store = StateStore(spark, scratch_path(spark, "state")).create()
+    catch_up(store, ops, fixtures.dense_accounts(spark, sf_dir), TYPES, limit_block=_middle(ops))
+    return store.reputation()
+
+
+def committed_ranges(spark, sf_dir):
+    """Progress of the store itself: blocks of each commit of a catch-up in four ranges."""
+    ops = fixtures.dense_ops(spark, sf_dir)
+    store = StateStore(spark, scratch_path(spark, "state")).create()
+    top = ops.agg(F.max("block_num").alias("block")).first().block
+    catch_up(store, ops, fixtures.dense_accounts(spark, sf_dir), TYPES, step=-(-top // 4))
+    return store.progress().where("version > 0").select("version", "first_block", "last_block", "last_op")
+
+
+def stored_accounts(spark, sf_dir):
+    """Accounts written and read back by the source."""
+    path = scratch_path(spark, "accounts")
+    _solvent_accounts(spark, sf_dir).write.parquet(path)
+    return oplog.load_accounts(spark, path)
+
+
+def block_window_scan(spark, sf_dir):
+    """A tenth of the blocks of a stored log."""
+    path = scratch_path(spark, "log")
+    oplog.write_ops(fixtures.wide_ops(spark, sf_dir), path)
+    stored = oplog.read_ops(spark, path)
+    top = stored.agg(F.max("block_num").alias("block")).first().block
+    return oplog.scan_ops(stored, TYPES, top // 2, top // 2 + top // 10).select("source_op", "block_num", "op_type_id")
+
+
 def stream_standing(spark, sf_dir):
     return _streamed(spark, sf_dir).reputation()
 
@@ -493,4 +561,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_standing": stream_standing,
     "stream_active_votes": stream_active_votes,
     "rewound_standing": rewound_standing,
+    "live_standing": live_standing,
+    "resumed_standing": resumed_standing,
+    "block_limited_standing": block_limited_standing,
+    "committed_ranges": committed_ranges,
+    "stored_accounts": stored_accounts,
+    "block_window_scan": block_window_scan,
+    "batch_permlinks": batch_permlinks,
 }

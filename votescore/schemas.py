@@ -33,12 +33,13 @@ PERMLINKS = T.StructType([
 ])
 
 # One row per commit. `snapshot` names the state tables it points at (after a rewind those of an older
-# commit); `source` and `batch_id` name the delivered batch.
+# commit); `source` and `batch_id` name the delivered batch, `batches` the highest batch of every source so far.
 PROGRESS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("snapshot", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
+    T.StructField("batches", T.MapType(T.StringType(), T.LongType())),
     T.StructField("first_block", T.IntegerType()),
     T.StructField("last_block", T.IntegerType()),
     T.StructField("last_op", T.LongType()),

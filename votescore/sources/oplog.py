@@ -7,42 +7,37 @@ from pyspark.sql import functions as F
 
 from votescore import schemas
 
-# The three operation types that matter, by the last part of their qualified name.
-VOTE = "effective_comment_vote_operation"
-DELETE = "delete_comment_operation"
-PAYOUT = "comment_payout_update_operation"
-
 
 @dataclass(frozen=True)
 class OpTypes:
-    vote: int
-    delete: int
-    payout: int
+    """One value for each of the three operation types that matter: their ids, or their qualified names."""
+
+    vote: int | str
+    delete: int | str
+    payout: int | str
 
     @property
-    def all(self) -> list[int]:
+    def all(self) -> list:
         return [self.vote, self.delete, self.payout]
 
 
-def _relevant(op_types: DataFrame) -> DataFrame:
-    short = F.substring_index("name", "::", -1)
-    return op_types.select("id", short.alias("kind")).where(F.col("kind").isin(VOTE, DELETE, PAYOUT))
-
-
-def op_type_ids(op_types: DataFrame) -> OpTypes:
-    """Ids of the three types, read once so that they enter later plans as literals."""
-    found = {r.kind: r.id for r in _relevant(op_types).limit(4).collect()}
-    missing = {VOTE, DELETE, PAYOUT} - found.keys()
-    if missing:
-        raise ValueError(f"operation types missing: {sorted(missing)}")
-    return OpTypes(found[VOTE], found[DELETE], found[PAYOUT])
+def op_type_ids(op_types: DataFrame, names: OpTypes) -> OpTypes:
+    """Ids of the types with the given qualified names, read once so that they enter later plans as literals.
+    Every name must stand in the table exactly once."""
+    found = op_types.where(F.col("name").isin(names.all)).groupBy("name").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).collect()
+    ids = {r.name: r.id for r in found}
+    wrong = sorted(set(names.all) - ids.keys()) + sorted(r.name for r in found if r.n > 1)
+    if wrong:
+        raise ValueError(f"operation types missing or not unique: {wrong}")
+    return OpTypes(*(ids[name] for name in names.all))
 
 
-def op_type_id_array(op_types: DataFrame) -> DataFrame:
+def op_type_id_array(op_types: DataFrame, names: OpTypes) -> DataFrame:
     """One row: the sorted id list, its length and its text form."""
     ids = F.array_sort(F.collect_set("id"))
     return (
-        _relevant(op_types).agg(ids.alias("ids"))
+        op_types.where(F.col("name").isin(names.all)).agg(ids.alias("ids"))
         .select("ids", F.size("ids").alias("n_ids"),
                 F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids_text"))
     )

@@ -20,16 +20,21 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def start(ops: DataFrame, accounts: DataFrame, types: OpTypes, store: StateStore, checkpoint: str,
-          interval: str | None = None, limit_block: int | None = None) -> StreamingQuery:
+          interval: str | None = None, limit_block: int | None = None, bad: str | None = None) -> StreamingQuery:
     """Applies every micro-batch to the state with the batch functions.
 
     With an `interval` it follows the log, without one it takes what is there and stops. A batch that
-    is delivered again after a failure was either committed, and is skipped, or left no trace.
+    is delivered again after a failure was either committed, and is skipped, or left no trace. An operation that
+    cannot be used stops the stream, or goes below the path `bad`.
     """
     kept = ops if limit_block is None else ops.where(F.col("block_num") <= limit_block)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        process_batch(store, batch, accounts, types, checkpoint, batch_id)
+        batch = batch.persist()  # read once for its edges and for the work
+        try:
+            process_batch(store, batch, accounts, types, checkpoint, batch_id, bad=bad)
+        finally:
+            batch.unpersist()
 
     writer = (
         kept.where(F.col("op_type_id").isin(types.all))

@@ -9,7 +9,7 @@ from tests.model import Model, random_log, raw_ops
 from votescore import schemas
 from votescore.fixtures import TYPES
 from votescore.plans.ranges import catch_up, process, process_batch
-from votescore.plans.state import StateStore
+from votescore.plans.state import VOTES, StateStore
 from votescore.session import scratch_path
 from votescore.streaming import live
 
@@ -207,12 +207,30 @@ def test_operations_that_cannot_be_used(spark, store):
         (1, "body"), (2, "body"), (3, "voter"), (4, "weight")]
 
 
+def test_small_batch_touches_few_buckets(spark):
+    """One vote against a state of many posts and accounts: the other buckets stay where they are and are not read."""
+    store = StateStore(spark, scratch_path(spark, "test-state"), buckets=16).create()
+    rows = [(i + 1, 72, i % 40, (i + 1) % 40, i % 3, 1000 + i) for i in range(400)]
+    accounts = accounts_frame(spark, range(40))
+    process_batch(store, ops_frame(spark, raw_ops(rows)), accounts, TYPES, "s", 0)
+    before = store.latest()
+    late = (500, 72, 1, 2, 1, 77)
+    process_batch(store, ops_frame(spark, raw_ops([late])), accounts, TYPES, "s", 1)
+    after = store.latest()
+    assert sum(after.votes_in[b] != before.votes_in[b] for b in before.votes_in) == 1
+    assert sum(after.reputation_in[b] != before.reputation_in[b] for b in before.reputation_in) == 1
+    assert state(store) == expected(rows + [late])
+    touched = store.touched(store.active_votes().where("author_id = 1 and permlink = 'post-1'"), VOTES, after)
+    files = store.active_votes(after, touched).inputFiles()
+    assert len(touched) == 1 and all(f"bucket={touched[0]}/" in f for f in files)
+
+
 def test_old_snapshots_expire(spark, store):
     active = spark.createDataFrame([], schemas.ACTIVE_VOTES)
     for i in range(1, 6):
         store.commit(store.latest(), spark.createDataFrame([(1, i, False)], schemas.REPUTATION), active,
                      **edge(batch_id=i, first_block=i, last_block=i, last_op=i))
-    assert store.expire(keep=3) == 3
+    assert store.expire(keep=3) == 2
     assert store.rewind(4).last_block == 3
     assert reputation_rows(store.reputation()) == [(1, 3, False)]
     assert store.progress().count() == 7

@@ -27,10 +27,13 @@ LINKED = ROW + ["back_op", "back_rshares", "stored_rshares", "removed_before", "
 
 
 def link_input(ops: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Resolved operations and stored votes as one set of rows."""
-    rows = ops.withColumn("kind", F.when(F.col("is_vote"), VOTE).otherwise(REMOVAL)).select(*ROW)
-    if stored is None:
-        return rows
+    """Resolved operations and stored votes as one set of rows. Operations have numbers above 0."""
+    op = F.when(F.col("source_op") > 0, F.col("source_op")).otherwise(F.raise_error(F.lit("operation without a positive number")).cast("long"))
+    rows = ops.withColumns({"kind": F.when(F.col("is_vote"), VOTE).otherwise(REMOVAL), "source_op": op}).select(*ROW)
+    return rows if stored is None else with_stored(rows, stored)
+
+
+def with_stored(rows: DataFrame, stored: DataFrame) -> DataFrame:
     old = stored.withColumns({"source_op": F.lit(0).cast("long"), "kind": F.lit(STORED)}).select(*ROW)
     return rows.unionByName(old)
 

@@ -3,16 +3,16 @@
 from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from votescore.functions.bodies import broken_bodies, normalize_ops, whole_bodies
 from votescore.operators.active import next_active_votes, quarantine
 from votescore.operators.fold import SLICE_VOTES, fold_votes, merge_reputation
-from votescore.operators.links import link, link_input, vote_transitions
+from votescore.operators.links import POST, link, link_input, vote_transitions, with_stored
 from votescore.operators.resolve import resolve_ops
 from votescore.operators.skew import HOT_ROWS
-from votescore.plans.state import StateStore
+from votescore.plans.state import REPUTATION, VOTES, StateStore
 from votescore.session import cut_lineage
 from votescore.sources.oplog import OpTypes, scan_ops
 
@@ -54,6 +54,25 @@ def process(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes: D
     return after, next_active_votes(linked)
 
 
+def _changed_parts(store: StateStore, head: Row, ops: DataFrame, accounts: DataFrame, types: OpTypes,
+                   bad: str | None) -> dict:
+    """What a commit replaces: the rows of the buckets that the operations change. Of the stored votes only those of
+    the posts in the batch are linked, and only buckets with such posts or accounts are read."""
+    rows = cut_lineage(link_input(resolved_range(ops, accounts, types, bad)))
+    vote_buckets = store.touched(rows, VOTES, head)
+    posts, stored = rows.select(*POST).distinct(), store.active_votes(head, vote_buckets)
+    linked = cut_lineage(link(with_stored(rows, stored.join(posts, POST, "left_semi"))))
+    votes = vote_transitions(linked)
+
+    seen = votes.select(F.explode(F.array("author_id", "voter_id")).alias("account_id")).where("account_id is not null")
+    known = store.reputation(head, store.touched(seen, REPUTATION, head))
+    changes = cut_lineage(fold_votes(votes, known))
+    changed = store.touched(changes, REPUTATION, head)
+    return dict(
+        reputation=merge_reputation(store.reputation(head, changed), changes), reputation_buckets=changed,
+        active_votes=next_active_votes(linked).unionByName(stored.join(posts, POST, "left_anti")), vote_buckets=vote_buckets)
+
+
 def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTypes, source: str,
                   batch_id: int, first_block: int | None = None, last_block: int | None = None,
                   bad: str | None = None) -> bool:
@@ -73,11 +92,9 @@ def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types:
         return False
     if edge.first_op is not None and edge.first_op <= head.last_op:
         raise ValueError(f"operation {edge.first_op} is not after the committed operation {head.last_op}")
-    reputation, active = process(
-        batch, accounts, types, store.active_votes(head), store.reputation(head),
-        bad=bad and f"{bad.rstrip('/')}/v={head.version + 1}")
+    parts = _changed_parts(store, head, batch, accounts, types, bad and f"{bad.rstrip('/')}/v={head.version + 1}")
     store.commit(
-        head, reputation, active, source=source, batch_id=batch_id, started_at=started,
+        head, **parts, source=source, batch_id=batch_id, started_at=started,
         last_op=edge.last_op or head.last_op,
         first_block=first_block if first_block is not None else edge.first_block,
         last_block=last_block if last_block is not None else edge.last_block)

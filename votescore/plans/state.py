@@ -1,7 +1,8 @@
-"""Versioned snapshots of the state, and the record of what has been processed.
+"""Versioned state in buckets, and the record of what has been processed.
 
-A commit writes both state tables into a new snapshot and then one progress record that names it. The record of a
-version is one file that appears whole, by a step that fails if the file is there (a hard link on a local disk, a
+Both state tables lie in hash buckets: reputations by account, active votes by post. A commit writes the buckets that it
+changes into a new snapshot and then one progress record, which says for every bucket which snapshot holds it; other
+buckets stay where they are. So a small batch reads and writes a few buckets of a large state. The record of a version is one file that appears whole, by a step that fails if the file is there (a hard link on a local disk, a
 rename elsewhere): a snapshot without a record does not exist for readers, a failed attempt leaves nothing visible,
 and of two writers that continue from the same commit exactly one succeeds. The newest version is found by name.
 """
@@ -11,25 +12,34 @@ import os
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from votescore import __version__, schemas
 
 
+REPUTATION, VOTES = "account_reputations", "active_votes"
+KEYS = {REPUTATION: ["account_id"], VOTES: ["author_id", "permlink"]}
+
+
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """`buckets` counts for a new store only; it should make buckets of some hundred MB. By default as many as shuffle
+    partitions."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.new_buckets = buckets
 
     def create(self) -> "StateStore":
         """Version 0: empty state before the first block. An existing store is left as it is."""
         if self.latest() is None:
-            empty = self.spark.createDataFrame
-            start = Row(version=-1, batches={})
-            self.commit(
-                start, empty([], schemas.REPUTATION), empty([], schemas.ACTIVE_VOTES), source="", batch_id=-1,
-                first_block=0, last_block=0, last_op=0, started_at=datetime.now())
+            count = self.new_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            nothing = {str(b): "" for b in range(count)}
+            now = datetime.now()
+            self._record(dict(
+                version=0, snapshot="", reputation_in=nothing, votes_in=nothing, source="", batch_id=-1, batches={},
+                first_block=0, last_block=0, last_op=0, started_at=now, ended_at=now, pipeline_version=__version__))
         return self
 
     def _files(self):
@@ -63,32 +73,49 @@ class StateStore:
             return None
         return self.spark.read.schema(schemas.PROGRESS).json(self._record_path(versions[-1])).first()
 
-    def reputation(self, at: Row | None = None) -> DataFrame:
-        """Reputation state at a commit, by default the newest."""
-        return self._read("account_reputations", schemas.REPUTATION, at)
+    def reputation(self, at: Row | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Reputation state at a commit, by default the newest, of some buckets or of all."""
+        return self._read(REPUTATION, schemas.REPUTATION, (at or self.latest()).reputation_in, buckets)
 
-    def active_votes(self, at: Row | None = None) -> DataFrame:
-        return self._read("active_votes", schemas.ACTIVE_VOTES, at)
+    def active_votes(self, at: Row | None = None, buckets: list[int] | None = None) -> DataFrame:
+        return self._read(VOTES, schemas.ACTIVE_VOTES, (at or self.latest()).votes_in, buckets)
 
     def _path(self, table: str, snapshot: str) -> str:
         return f"{self.root}/{table}/{snapshot}"
 
-    def _read(self, table: str, schema, at: Row | None) -> DataFrame:
-        snapshot = (at or self.latest()).snapshot
-        return self.spark.read.schema(schema).parquet(self._path(table, snapshot))
+    def _read(self, table: str, schema, held: dict[str, str], buckets: list[int] | None) -> DataFrame:
+        wanted = held if buckets is None else {str(b): held[str(b)] for b in buckets}
+        paths = [f"{self._path(table, snapshot)}/bucket={b}" for b, snapshot in wanted.items() if snapshot]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def touched(self, rows: DataFrame, table: str, head: Row) -> list[int]:
+        """Buckets of a table in which the keys of the rows lie: at most one number per bucket."""
+        count = len(head.reputation_in)
+        return sorted(r.bucket for r in rows.select(_bucket(table, count)).distinct().collect())
+
+    def _write(self, frame: DataFrame, table: str, snapshot: str, held: dict[str, str], buckets: list[int] | None) -> dict[str, str]:
+        """Replaces the given buckets, or all; returns where every bucket is now."""
+        path = self._path(table, snapshot)
+        placed = frame.withColumn("bucket", _bucket(table, len(held)))
+        # Rebalancing gathers a bucket for its files and splits a bucket with a hot post.
+        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        names = {f.getPath().getName() for f in self._files().listStatus(self._hadoop(path))}
+        replaced = held if buckets is None else map(str, buckets)
+        return held | {b: snapshot if f"bucket={b}" in names else "" for b in replaced}
 
     def commit(self, head: Row, reputation: DataFrame, active_votes: DataFrame, *, source: str, batch_id: int,
-               first_block: int, last_block: int, last_op: int, started_at: datetime) -> None:
-        """Writes the state that follows the commit `head`."""
+               first_block: int, last_block: int, last_op: int, started_at: datetime,
+               reputation_buckets: list[int] | None = None, vote_buckets: list[int] | None = None) -> None:
+        """Writes the state that follows the commit `head`: the rows of the given buckets, which replace theirs."""
         version = head.version + 1
         snapshot = f"{version}-{uuid.uuid4().hex}"
-        reputation.write.parquet(self._path("account_reputations", snapshot))
-        active_votes.write.parquet(self._path("active_votes", snapshot))
+        reputation_in = self._write(reputation, REPUTATION, snapshot, head.reputation_in, reputation_buckets)
+        votes_in = self._write(active_votes, VOTES, snapshot, head.votes_in, vote_buckets)
         self._record(dict(
-            version=version, snapshot=snapshot, source=source, batch_id=batch_id,
-            batches=head.batches | {source: max(batch_id, head.batches.get(source, -1))}, first_block=first_block,
-            last_block=last_block, last_op=last_op, started_at=started_at, ended_at=datetime.now(),
-            pipeline_version=__version__))
+            version=version, snapshot=snapshot, reputation_in=reputation_in, votes_in=votes_in, source=source,
+            batch_id=batch_id, batches=head.batches | {source: max(batch_id, head.batches.get(source, -1))},
+            first_block=first_block, last_block=last_block, last_op=last_op, started_at=started_at,
+            ended_at=datetime.now(), pipeline_version=__version__))
 
     def _record(self, row: dict) -> None:
         """Makes the record of a version visible, or fails if there is one."""
@@ -114,16 +141,16 @@ class StateStore:
             raise taken
 
     def expire(self, keep: int = 10) -> int:
-        """Deletes snapshots that none of the last `keep` commits names; returns how many. The records stay. A rewind
-        can go back no further than the commits that are kept."""
-        rows = self.progress().orderBy(F.desc("version")).select("snapshot").collect()
-        wanted, files = {r.snapshot for r in rows[:keep]}, self._files()
-        old = sorted({r.snapshot for r in rows} - wanted)
-        gone = 0
-        for snapshot in old:
-            for table in ("account_reputations", "active_votes"):
-                gone += files.delete(self._hadoop(self._path(table, snapshot)), True)
-        return gone // 2
+        """Deletes what only older commits than the last `keep` hold; returns how many snapshots were touched. The
+        records stay. A rewind can go back no further than the commits that are kept."""
+        rows = self.progress().orderBy(F.desc("version")).select("reputation_in", "votes_in").collect()
+        files, gone = self._files(), set()
+        for table, held in ((REPUTATION, [r.reputation_in for r in rows]), (VOTES, [r.votes_in for r in rows])):
+            wanted = {place for row in held[:keep] for place in row.items()}
+            for bucket, snapshot in {place for row in held[keep:] for place in row.items()} - wanted:
+                if snapshot and files.delete(self._hadoop(f"{self._path(table, snapshot)}/bucket={bucket}"), True):
+                    gone.add(snapshot)
+        return len(gone)
 
     def rewind(self, fork_block: int) -> Row:
         """Goes back to the newest state before `fork_block`; later snapshots stay where they are.
@@ -144,6 +171,10 @@ class StateStore:
         return self.latest()
 
 
+def _bucket(table: str, count: int) -> Column:
+    return F.pmod(F.xxhash64(*KEYS[table]), F.lit(count)).cast("int").alias("bucket")
+
+
 def latest(progress: DataFrame) -> DataFrame:
     """The newest commit (0 or 1 rows)."""
     return progress.orderBy(F.desc("version")).limit(1)

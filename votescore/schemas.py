@@ -32,11 +32,14 @@ PERMLINKS = T.StructType([
     T.StructField("permlink", T.StringType()),
 ])
 
-# One row per commit. `snapshot` names the state tables it points at (after a rewind those of an older
-# commit); `source` and `batch_id` name the delivered batch, `batches` the highest batch of every source so far.
+# One row per commit. `snapshot` names what it wrote (after a rewind the snapshot of an older commit); `reputation_in`
+# and `votes_in` say for every bucket of a state table which snapshot holds it ("" if it is empty). `source` and
+# `batch_id` name the delivered batch, `batches` the highest batch of every source so far.
 PROGRESS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("snapshot", T.StringType()),
+    T.StructField("reputation_in", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("votes_in", T.MapType(T.StringType(), T.StringType())),
     T.StructField("source", T.StringType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("batches", T.MapType(T.StringType(), T.LongType())),

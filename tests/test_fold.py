@@ -115,7 +115,16 @@ def test_rounds_do_not_shuffle_votes(spark, slices):
     laid = fold._slices(votes, slices)
     laid.count()
     line = fold._timeline(fold._first_guess(laid, fold._no_state(votes))).checkpoint()
-    plan = fold._cogroup(laid, line, trace=False)._jdf.queryExecution().executedPlan().toString()
+    starts = fold._at_home(line.where("slice <> -1"), slices)
+    plan = fold._cogroup(laid, starts, trace=False)._jdf.queryExecution().executedPlan().toString()
     shuffles = [text for text in plan.splitlines() if "Exchange" in text and "ENSURE_REQUIREMENTS" in text]
     assert len(shuffles) == 1, plan
     laid.unpersist()
+
+
+def test_one_slice_per_task(spark):
+    votes = votes_frame(spark, Model().run(random_log(52)))
+    laid = fold._slices(votes, 12)
+    held = laid.groupBy(fold.F.spark_partition_id().alias("part")).agg(fold.F.count_distinct("slice").alias("n")).collect()
+    assert len(held) == 12 and all(r.n == 1 for r in held)
+    laid.unpersist()

@@ -15,8 +15,9 @@ starts could change a decision run again, until none is left.
 * A fold reports, per account, how far the start may move without any gate deciding differently
   (`slack`). A slice runs again only when a start moves further or an implicit flag changes; the
   sums it reported stay valid otherwise.
-* Votes are shuffled once into slices and kept there; a round shuffles only one row per slice and
-  account.
+* Votes are shuffled once into slices, one slice per task, and kept there. Slices before the first open one
+  are final: they become part of the stored state and leave the rounds, so a round shuffles one row per
+  open slice and account, and one per account for all that is settled.
 """
 
 from pyspark import StorageLevel
@@ -152,11 +153,23 @@ def _slices(votes: DataFrame, count: int) -> DataFrame:
         numbered = cut_lineage(
             weighted.repartitionByRange(count, "source_op").withColumn("slice", F.spark_partition_id()))
     return (
-        numbered.repartition(count, "slice").sortWithinPartitions("slice", "source_op")
+        _at_home(numbered, count).repartition(count, "home").sortWithinPartitions("home", "source_op")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
+def _at_home(rows: DataFrame, count: int) -> DataFrame:
+    """Rows with `home`, a number per slice such that hashing it to `count` partitions gives each slice one of its
+    own: hashing the slice numbers would put several into one task and leave others without."""
+    spark = rows.sparkSession
+    drawn = spark.range(64 * count).select(F.col("id").cast("int").alias("home"))
+    homes = {r.part: r.home for r in drawn.groupBy(F.pmod(F.hash("home"), F.lit(count)).alias("part"))
+             .agg(F.min("home").alias("home")).collect()}
+    spare = iter(range(64 * count, 65 * count))  # in case a partition was not drawn; then it shares one
+    by_slice = [homes.get(i, None) if i in homes else next(spare) for i in range(count)]
+    return rows.withColumn("home", F.element_at(F.lit(by_slice).cast("array<int>"), F.col("slice") + 1))
+
+
 def _first_guess(votes: DataFrame, stored: DataFrame) -> DataFrame:
     """One row per slice and account: as if every upvote counted and no downvote did.
 
@@ -213,42 +226,61 @@ def _timeline(folded: DataFrame) -> DataFrame:
 
 def _cogroup(votes: DataFrame, starts: DataFrame, trace: bool) -> DataFrame:
     return (
-        votes.groupBy("slice").cogroup(starts.groupBy("slice"))
+        votes.groupBy("home").cogroup(starts.groupBy("home"))
         .applyInArrow(_slice_folder(trace), _TRACED if trace else _FOLDED)
     )
 
 
-def _settle(votes: DataFrame, stored: DataFrame, count: int) -> DataFrame:
-    """Runs rounds until none of the `count` slices needs another one; returns the settled timeline."""
-    columns = [c.split()[0] for c in _FOLDED.split(", ")]
-    starts = ["slice", "account_id", "start_reputation", "start_implicit"]
-    line = _timeline(_first_guess(votes, stored))
+_STARTS = ["slice", "account_id", "start_reputation", "start_implicit"]
+
+
+def _settled(line: DataFrame, first_open: int) -> DataFrame:
+    """The rows of slices before the first open one as one stored row per account."""
+    last = F.max(F.when(F.col("implicit").isNotNull(), F.struct("slice", "implicit"))).alias("last")
+    return line.where(F.col("slice") < first_open).groupBy("account_id").agg(
+        F.sum("delta").cast("decimal(38,0)").alias("delta"), last, F.max("wrote").alias("wrote")
+    ).select(
+        F.lit(STORED_SLICE).alias("slice"), "account_id", "delta", F.col("last.implicit").alias("implicit"),
+        F.lit(None).cast("decimal(38,0)").alias("ran_reputation"), F.lit(None).cast("boolean").alias("ran_implicit"),
+        F.lit(None).cast("decimal(38,0)").alias("slack"), F.lit(False).alias("overflow"), "wrote")
+
+
+def _settle(votes: DataFrame, stored: DataFrame, count: int, keep_starts: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Runs rounds until none of the `count` slices needs another one.
+
+    Returns the settled timeline (one row per account), and the starts of all slices if they are to be kept.
+    """
+    columns = [c.split()[0] for c in _FOLDED.split(", ")] + ["wrote"]
+    wrote = (F.col("slice") != STORED_SLICE) & F.col("implicit").isNotNull()
+    line = _timeline(_first_guess(votes, stored).withColumn("wrote", wrote))
     if count > 1:  # one slice is short and starts from the stored state: not worth a write
         line = cut_lineage(line)
-    rerun = F.col("slice") != STORED_SLICE
+    rerun, kept = F.col("slice") != STORED_SLICE, None
     while True:
-        fresh = _cogroup(votes.where(rerun), line.where(rerun).select(*starts), trace=False)
+        # Renamed: one slice's line is no checkpoint and still holds the votes' own column.
+        starts = _at_home(line.where(rerun).select(F.col("slice").alias("slice"), *_STARTS[1:]), count)
+        fresh = _cogroup(votes.where(rerun), starts, trace=False).withColumn("wrote", F.col("implicit").isNotNull())
         line = cut_lineage(_timeline(fresh.unionByName(line.where(~rerun).select(*columns))))
         # At most a few rows per slice of the wave.
-        open_slices = line.where("dirty or overflow").select("slice", "dirty", "overflow").distinct().collect()
-        again = [r.slice for r in open_slices if r.dirty]
+        states = line.where("dirty or overflow").select("slice", "dirty", "overflow").distinct().collect()
+        again = [r.slice for r in states if r.dirty]
+        first_open = min(again, default=count)
+        if any(r.overflow for r in states if r.slice < first_open):
+            raise ArithmeticError("reputation out of the 64-bit range")
+        if keep_starts:
+            done = line.where((F.col("slice") != STORED_SLICE) & (F.col("slice") < first_open)).select(*_STARTS)
+            kept = done if kept is None else kept.unionByName(done)
+        settled = _settled(line, first_open)
         if not again:
-            break
+            return settled, kept
+        line = _timeline(settled.unionByName(line.where(F.col("slice") >= first_open).select(*columns)))
         rerun = F.col("slice").isin(again)
-    if open_slices:
-        raise ArithmeticError("reputation out of the 64-bit range")
-    return line
 
 
 def _changes(line: DataFrame) -> DataFrame:
     """Accounts written by the votes, with their state after them."""
-    flag = F.max(F.when(F.col("implicit").isNotNull(), F.struct("slice", "implicit")))
-    return (
-        line.groupBy("account_id")
-        .agg(F.sum("delta").cast("long").alias("reputation"), flag.alias("flag"))
-        .where(F.col("flag.slice") != STORED_SLICE)
-        .select("account_id", "reputation", F.col("flag.implicit").alias("is_implicit"))
-    )
+    return line.where("wrote").select(
+        "account_id", F.col("delta").cast("long").alias("reputation"), F.col("implicit").alias("is_implicit"))
 
 
 def _waves(votes: DataFrame, slice_votes: int, slices: int | None):
@@ -300,7 +332,7 @@ def fold_votes(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
         if total is not None:
             start = cut_lineage(merge_reputation(start, changes))
         laid = _slices(part, count)
-        changes = _changes(_settle(laid, start, count))
+        changes = cut_lineage(_changes(_settle(laid, start, count)[0]))
         laid.unpersist()
         total = changes if total is None else cut_lineage(merge_reputation(total, changes))
     return total if total is not None else _no_state(votes)
@@ -314,8 +346,9 @@ def vote_gates(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
     traces = None
     for part, count in _waves(votes, slice_votes, slices):
         laid = _slices(part, count)
-        line = _settle(laid, start, count)
-        trace = _cogroup(laid, line.where(F.col("slice") != STORED_SLICE), trace=True)
+        line, starts = _settle(laid, start, count, keep_starts=True)
+        trace = cut_lineage(_cogroup(laid, _at_home(starts, count), trace=True))
+        laid.unpersist()
         traces = trace if traces is None else traces.unionByName(trace)
         start = merge_reputation(start, cut_lineage(_changes(line)))
     return traces if traces is not None else votes.sparkSession.createDataFrame([], _TRACED)

@@ -1,12 +1,13 @@
 """Merkle fingerprints of documents.
 
-A text is cut into paragraphs (after every line end and every sentence end), paragraphs are hashed, runs of paragraphs
-form sections, and the hash of the section hashes is the root. A section ends after a paragraph whose hash is divisible
-by `SECTION` (and at the end), so an inserted or changed paragraph touches its own section and leaves the borders of
-the others. Equal roots mean equal texts; sections whose hashes differ, and within them paragraphs, locate edits.
+A text is cut into paragraphs (after line ends and sentence ends, and within long ones after 96 characters), paragraphs
+are hashed, runs of paragraphs form sections, and the hash of the section hashes is the root. A section ends after a
+paragraph whose hash is divisible by `SECTION` (and at the end), so an inserted or changed paragraph touches its own
+section and leaves the borders of the others. Equal roots mean equal texts; sections whose hashes differ, and within
+them paragraphs, locate edits.
 
 A fingerprint is the root (128 bits) and, behind a colon, 32 bits of each paragraph. The likeness of two fingerprints
-is 1 for equal roots, else the number of different paragraphs they share by the number that either has.
+is 1 for equal roots, else the number of different paragraphs they share by that of the one with more.
 
 All of it is column expressions. NULL text counts as empty: one paragraph without characters, the same root for all
 such texts. Repeated rows get equal fingerprints. An empty table gives an empty result.
@@ -15,12 +16,15 @@ such texts. Repeated rows get equal fingerprints. An empty table gives an empty
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from votescore.functions.branch import count_at_or_below
 from votescore.llm.common import document_key, let
 
 #: Paragraphs of a section on average.
 SECTION = 8
-#: A paragraph ends behind a line end, or behind a full stop, question or exclamation mark and a blank.
-_BORDER = r"(?<=\n)|(?<=[.!?] )"
+#: A paragraph ends behind a line end, behind a full stop, question or exclamation mark and a blank, or where it has
+#: grown to so many characters (counted from its own beginning).
+LONGEST = 96
+_BORDER = rf"(?<=\n)|(?<=[.!?] )|(?<=\G.{{{LONGEST}}})"
 
 
 def paragraphs(text: Column) -> Column:
@@ -71,11 +75,9 @@ def tree(text: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Of two trees."""
 
-    def shared(n: Column) -> Column:
-        return n / (F.size(F.array_distinct(a["short"])) + F.size(F.array_distinct(b["short"])) - n)
-
-    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(
-        let(F.size(F.array_intersect(a["short"], b["short"])), shared).cast("double"))
+    most = F.greatest(F.size(F.array_distinct(a["short"])), F.size(F.array_distinct(b["short"])))
+    shared = F.size(F.array_intersect(a["short"], b["short"]))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise((shared / most).cast("double"))
 
 
 def fingerprint(text: Column) -> Column:
@@ -116,8 +118,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     shares = [i / blocks for i in range(1, blocks)]
     borders = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * blocks).alias("b")).first().b or []))
     nameless = F.floor((F.shiftright("key", 48) + 32768) * blocks / 65536) - blocks
-    above = [F.when(F.col("doc_id") > F.lit(b), i + 1) for i, b in reversed(list(enumerate(borders)))]
-    block = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.coalesce(*above, F.lit(0)))
+    block = F.when(F.col("doc_id").isNull(), nameless).otherwise(count_at_or_below(F.col("doc_id") - 1, borders))
     blocked = rows.withColumn("block", block.cast("int"))
 
     least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("o")

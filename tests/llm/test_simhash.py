@@ -68,6 +68,34 @@ def test_long_chain_is_one_component(spark):
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+@pytest.mark.parametrize("radius, width", [(0, 1), (1, 1), (7, 2), (46, 4)])
+def test_bit_planes_of_any_radius_and_width(radius, width):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, size=(20, width), dtype=np.uint64)[rng.integers(0, 20, 300)]
+    flips = rng.random((300, 64 * width)) < rng.random((300, 1)) * radius / (32 * width + 1)
+    prints = base ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+    found = {p for u, v in close_pairs(prints, np.zeros(300, int), radius) for p in zip(u.tolist(), v.tolist())}
+    want = {(i, j) for j in range(300) for i in range(j)
+            if sum((int(a) ^ int(b)).bit_count() for a, b in zip(prints[i], prints[j])) <= radius}
+    assert found == want and want
+
+
+@pytest.mark.parametrize("bucket", [3, 4096])
+def test_similar_documents(spark, monkeypatch, bucket):
+    """Copies with about one word in a hundred replaced (similarity about 0.9), and one large group of them."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(6)
+
+    def edited(text, share):
+        return " ".join("new" + str(rng.random()) if rng.random() < share else w for w in text.split())
+
+    texts = [prose(rng, 400, 2000) for _ in range(30)]
+    rows = [(100 * i + k, edited(t, 0.01 if k else 0)) for i, t in enumerate(texts) for k in range(3 if i else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in drop_near_duplicates(docs).collect())
+    assert set(kept) >= {100 * i for i in range(30)} and len(kept) <= 31
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(3)
     texts = [prose(rng, 300) for _ in range(6)]

@@ -5,17 +5,36 @@ Rows: two rows with the same doc_id and the same text are one document twice; op
 by different texts; order among documents is by doc_id (NULL first), then by key.
 """
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import votescore
 from votescore.session import scratch_path
 
 #: Texts are handled in pieces of about this many bytes inside a Python task.
 SLICE_BYTES = 4 << 20
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, which import its functions by name, once per application. On a cluster
+    `--py-files` does the same."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(votescore.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="votescore-")) / "votescore-package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(archive))
 
 
 def document_key(doc_id: Column, text: Column) -> Column:

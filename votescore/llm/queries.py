@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from votescore.fixtures import table
 from votescore.llm import bpe, classifier, oracles, simhash
+from votescore.llm.common import ship
 from votescore.llm.fingerprints import compared
 from votescore.llm.licenses import known_digests, license_scan
 from votescore.llm.line_dedup import repeated_lines
@@ -20,47 +21,52 @@ PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(_documents(spark, sf_dir))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
+    return license_scan(_documents(spark, sf_dir), known_digests(spark))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
+    return pack(_documents(spark, sf_dir), PACKING_TOKENIZER)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(_documents(spark, sf_dir))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+    return bpe.round_trip(_documents(spark, sf_dir), BPE_RANKS, public_tokenizers.PATTERN)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality_verdicts(_documents(spark, sf_dir))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents")).select(
+    return sharded(_documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(table(spark, sf_dir, "documents"))
+    return compared(_documents(spark, sf_dir))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 

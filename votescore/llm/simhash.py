@@ -360,26 +360,67 @@ def _wide_buckets(batches: Iterator[pa.RecordBatch], below: int) -> Iterator[pa.
                                       names=["t", "part", "node", *WORDS])
 
 
+def _compare_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of buckets up to BUCKET rows; rows of larger ones as they are, which are never held."""
+    columns = ["t", "part", "node", *WORDS]
+
+    def too_many(rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(rows.shape[1], pa.int64())
+        return pa.record_batch([none, none, *(pa.array(r) for r in rows)], names=["a", "b", *columns])
+
+    def whole_buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))))
+        size = np.diff(start, append=rows.shape[1])
+        size, bucket = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
+        if (size > BUCKET).any():
+            yield too_many(rows[:, size > BUCKET])
+        small = (size > 1) & (size <= BUCKET)
+        if small.any():
+            node = rows[2, small]
+            a, b = _forest(np.ascontiguousarray(rows[3:, small].T).view(np.uint64), bucket[small], WIDE_RADIUS)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.record_batch([pa.array(node[a]), pa.array(node[b]), *[none] * len(columns)], names=["a", "b", *columns])
+
+    held, passing = np.empty((len(columns), 0), np.int64), None
+    for batch in batches:
+        held = np.concatenate((held, np.stack([batch[c].to_numpy().astype(np.int64) for c in columns])), axis=1)
+        if passing is not None:
+            go_on = (held[0] == passing[0]) & (held[1] == passing[1])
+            if go_on.any():
+                yield too_many(held[:, go_on])
+            held = held[:, ~go_on]
+        if not held.shape[1]:
+            continue
+        passing = None
+        last = int(np.argmax((held[0] == held[0, -1]) & (held[1] == held[1, -1])))
+        if held.shape[1] - last > BUCKET:
+            passing = held[:2, -1].copy()
+            yield too_many(held[:, last:])
+            held = held[:, :last]
+        if last and (passing is not None or held.shape[1] >= TOGETHER):
+            yield from whole_buckets(held[:, :last])
+            held = held[:, last:]
+    if held.shape[1]:
+        yield from whole_buckets(held)
+
+
 def similar_links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes with close fingerprints; classes have node and WORDS. Buckets over BUCKET rows are
-    split by more drawn bits, up to `WIDE_LEVELS` times."""
+    split by more drawn bits, up to `WIDE_LEVELS` times; after that (16 bits a time) they are compared as they are."""
     schema = "t long, part long, node long, " + ", ".join(f"{c} long" for c in WORDS)
     rows = classes.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("part"), "node", *WORDS)
     found, below = None, WIDE_TABLES
     for level in range(WIDE_LEVELS):
         rows = rows.mapInArrow(partial(_wide_buckets, below=below), schema)
-        sizes = rows.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = rows.join(sizes, ["t", "part"])
-        last = level == WIDE_LEVELS - 1
-        edges = _compared(sized if last else sized.where(F.col("n") <= BUCKET), WORDS, WIDE_RADIUS)
+        if level == WIDE_LEVELS - 1:
+            return found.union(_compared(rows, WORDS, WIDE_RADIUS)).distinct()
+        out = cut_lineage(rows.repartition("t", "part").sortWithinPartitions("t", "part", *WORDS)
+                          .mapInArrow(_compare_or_pass, "a long, b long, " + schema))
+        edges = out.where("a is not null").select("a", "b")
         found = edges if found is None else found.union(edges)
-        if last:
-            break
-        hot = cut_lineage(sized.where(F.col("n") > BUCKET).drop("n"))
-        if hot.isEmpty():
-            break
-        rows, below = hot, WIDE_BELOW
-    return found.distinct()
+        rows, below = out.where("t is not null").drop("a", "b"), WIDE_BELOW
+        if rows.isEmpty():
+            return found.distinct()
 
 
 def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:

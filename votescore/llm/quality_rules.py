@@ -134,16 +134,17 @@ def _limits(quartiles: DataFrame, by: list[str], level: str) -> DataFrame:
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """lang, source, limits: the thresholds that hold for each group."""
-    sketch = sketches(stats)
+    """lang, source, limits: the thresholds that hold for each group. The sketches of the groups are written once; the
+    sketch of everything is one group, whose limits enter the plan as literals."""
+    sketch = cut_lineage(sketches(stats))
     own = _limits(_quartiles(sketch, ["lang", "source"]), ["lang", "source"], "own")
     lang = _limits(_quartiles(sketch, ["lang"]), ["lang"], "lang").withColumnRenamed("lang", "of_lang")
-    every = _limits(_quartiles(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], "every")
+    every = _limits(_quartiles(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], "every").first()
+    names = own.schema["own_limits"].dataType.fields
+    literal = F.struct(*[F.lit(every and every.every_limits[f.name]).cast(f.dataType).alias(f.name) for f in names])
     limits = (F.when(F.col("own_rows") >= MIN_ROWS, F.col("own_limits"))
-              .when(F.col("lang_rows") >= MIN_ROWS, F.col("lang_limits")).otherwise(F.col("every_limits")))
-    return (own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")))
-            .withColumn("every", F.lit(1)).join(every, "every")
-            .select("lang", "source", limits.alias("limits")))
+              .when(F.col("lang_rows") >= MIN_ROWS, F.col("lang_limits")).otherwise(literal))
+    return own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang"))).select("lang", "source", limits.alias("limits"))
 
 
 def verdict() -> Column:
@@ -170,7 +171,8 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """Rows that pass, with all their columns. The texts are not shuffled: the thresholds come to them."""
+    """Rows that pass, with all their columns. The planner does not know beforehand that the thresholds are small, so
+    the rows may be shuffled once for the join."""
     narrow = docs.select("lang", "source", "text")
     limits = cut_lineage(thresholds(counted(narrow).select("lang", "source", "q")))
     rows = with_row(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"),

@@ -11,7 +11,8 @@ A tree of all suffixes does not fit anywhere, so the suffixes are split by prefi
 2. An occurrence of a repeated anchor stands for up to 13 suffixes, one per window that names it, and is sent as
    one stretch of words. Anchors with at most `GROUP` occurrences are prefixes as they are. Those with more are
    lengthened to the whole window: all suffixes below such a prefix are equal down to the depth that matters, so
-   only the earliest of each is needed, which partial aggregation finds before anything is shuffled.
+   only the earliest of each is needed: a task sends one for each few megabytes of text, and one is held where they
+   meet.
 3. For each group its subtree is built in memory as sorted suffixes; neighbours that share 20 words lie below one
    internal node of that depth, whose earliest leaf is the first occurrence.
 4. First occurrences go back to their documents. A window with a repeated anchor that is no first is a repeat.
@@ -31,10 +32,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votescore.llm.common import document_key, replaced_text, sliced, with_row
+from votescore.llm.common import document_key, packed, replaced_text, sliced, unpacked, with_row, written
 from votescore.session import cut_lineage
 
 WINDOW = 20
@@ -127,19 +129,26 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["anchor", "key", "n"])
 
 
-def _repeated(words: Words, marks: list[list[dict] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The structs of a list column and the row of each."""
+    return pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+
+
+def _repeated(words: Words, marks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows whose anchor is repeated: first window, windows, anchor, and whether its prefix is lengthened."""
     window, count, anchor = words.anchored()
     text = words.text[window]
-    known = [(t, m["anchor"], m["long"]) for t, own in enumerate(marks) for m in own or ()]
-    if not known or not len(window):
+    of, known = _flat(marks)
+    if not len(of) or not len(window):
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64), np.empty(0, bool)
-    of, value, long = (np.array(x) for x in zip(*known))
+    value = known.field("anchor").to_numpy().view(np.uint64)
+    long = known.field("long").to_numpy(zero_copy_only=False)
     # Pairs (text, anchor) as ranks of anchors that are equal, so that one number stands for a pair.
-    both, rank = np.unique(np.concatenate((value.astype(np.int64).view(np.uint64), anchor)), return_inverse=True)
+    both, rank = np.unique(np.concatenate((value, anchor)), return_inverse=True)
     code = np.concatenate((of, text)) * len(both) + rank
-    listed, order = np.sort(code[:len(of)]), np.argsort(code[:len(of)])
+    order = np.argsort(code[:len(of)])
+    listed = code[:len(of)][order]
     at = np.minimum(np.searchsorted(listed, code[len(of):]), len(listed) - 1)
     found = listed[at] == code[len(of):]
     return window[found], count[found], anchor[found], long[order][at][found]
@@ -151,8 +160,8 @@ STRETCHES = "prefix long, extension long, words binary, doc_id long, key long, p
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes below repeated prefixes. Equal ones of one batch are sent once, the earliest."""
     for batch in sliced(batches, "text"):
-        words = Words(batch["text"].to_pylist())
-        window, count, anchor, long = _repeated(words, batch["marks"].to_pylist())
+        words = Words(unpacked(batch["text"].to_pylist()))
+        window, count, anchor, long = _repeated(words, batch["marks"])
         ids, keys = batch["doc_id"].to_pylist(), batch["key"].to_pylist()
         prefix = anchor.view(np.int64)
         first = words.first
@@ -185,13 +194,17 @@ FIRSTS = "doc_id long, key long, pos int, windows int"
 
 
 def _firsts(groups: list[tuple]) -> Iterator[tuple]:
-    """First occurrences in whole groups of (prefix, words, doc_id, key, pos).
+    """First occurrences in whole groups of (prefix, extension, words, doc_id, key, pos).
 
     The leaves of the subtrees are the suffixes in sorted order, cut at the depth of a window. Leaves with the same
     20 words follow each other, the earliest first; bit i of `windows` says that the window i words after pos is one.
+    A lengthened prefix is one such leaf, and its extension stands for the words.
     """
     leaves = []
-    for row, (prefix, stretch, doc_id, key, pos) in enumerate(groups):
+    for row, (prefix, extension, stretch, doc_id, key, pos) in enumerate(groups):
+        if stretch is None:
+            leaves.append((prefix, str(extension).encode(), doc_id is not None, doc_id or 0, key, pos, row, 0))
+            continue
         words = stretch.split(b" ")
         for i in range(len(words) - WINDOW + 1):
             leaves.append((prefix, b" ".join(words[i:i + WINDOW]), doc_id is not None, doc_id or 0, key, pos + i, row, i))
@@ -202,11 +215,12 @@ def _firsts(groups: list[tuple]) -> Iterator[tuple]:
         if leaf[:2] != node:
             node = leaf[:2]
             bits[leaf[6]] |= 1 << leaf[7]
-    return ((g[2], g[3], g[4], b) for g, b in zip(groups, bits) if b)
+    return ((*g[3:], b) for g, b in zip(groups, bits) if b)
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by prefix; groups are never cut."""
+    """Rows sorted by prefix and extension; groups are never cut. Of a lengthened prefix only the earliest row is held,
+    so a group is at most GROUP stretches, whatever the corpus repeats."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*_firsts(rows))) or [(), (), (), ()]
@@ -215,7 +229,11 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[tuple] = []
     for batch in batches:
-        held += zip(*(batch[c].to_pylist() for c in ("prefix", "words", "doc_id", "key", "pos")))
+        for row in zip(*(batch[c].to_pylist() for c in ("prefix", "extension", "words", "doc_id", "key", "pos"))):
+            if row[2] is None and held and held[-1][:3] == row[:3]:
+                held[-1] = min(held[-1], row, key=lambda r: (r[3] is not None, r[3] or 0, *r[4:]))
+            else:
+                held.append(row)
         if len(held) < GROUP:
             continue
         cut = len(held)
@@ -228,23 +246,21 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(held)
 
 
-def removed_words(words: Words, marks: list, firsts: list, ids: list) -> np.ndarray:
+def removed_words(words: Words, batch: pa.RecordBatch) -> np.ndarray:
     """Words covered by a window that is a repeat."""
-    window, count, _, _ = _repeated(words, marks)
-    repeat = np.zeros(len(words.start) + 1, bool)
-    inside = np.repeat(window - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    repeat[inside] = True
-    for t, own in enumerate(firsts):
-        for f in own or ():
-            if f["doc_id"] == ids[t]:
-                base = int(words.first[t]) + f["pos"]
-                bits = f["windows"]
-                while bits:
-                    low = bits & -bits
-                    repeat[base + low.bit_length() - 1] = False
-                    bits ^= low
+    window, count, _, _ = _repeated(words, batch["marks"])
+    repeat = np.zeros(len(words.start) + WINDOW, bool)
+    repeat[np.repeat(window - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())] = True
+    of, first = _flat(batch["firsts"])
+    if len(of):
+        mine, theirs = batch["doc_id"].take(pa.array(of)), first.field("doc_id")
+        same = pc.fill_null(pc.equal(mine, theirs), False).to_numpy(zero_copy_only=False) | (
+            pc.is_null(mine).to_numpy(zero_copy_only=False) & pc.is_null(theirs).to_numpy(zero_copy_only=False))
+        base, bits = words.first[of] + first.field("pos").to_numpy(), first.field("windows").to_numpy()
+        for i in range(WINDOW - GRAM + 1):
+            repeat[base[same & (bits >> i & 1 == 1)] + i] = False
     starts = np.flatnonzero(repeat)
-    cover = np.zeros(len(words.start) + WINDOW + 1, np.int32)
+    cover = np.zeros(len(words.start) + 2 * WINDOW, np.int32)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + WINDOW, -1)
     return np.cumsum(cover)[:len(words.start)] > 0
@@ -253,23 +269,25 @@ def removed_words(words: Words, marks: list, firsts: list, ids: list) -> np.ndar
 def _results(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """Per document: counts and digest, or the text without the removed words and the blanks behind them."""
     for batch in sliced(batches, "text"):
-        ids = batch["doc_id"].to_pylist()
-        words = Words(batch["text"].to_pylist())
-        gone = removed_words(words, batch["marks"].to_pylist(), batch["firsts"].to_pylist(), ids)
+        texts = unpacked(batch["text"].to_pylist())
+        marked = batch["marks"].is_valid().to_pylist()
+        words = Words([text if m else None for text, m in zip(texts, marked)])  # the others lose nothing
+        gone = removed_words(words, batch)
         begins = np.concatenate(([0], np.cumsum(gone)))
-        n_words, n_removed = np.diff(words.first), begins[words.first[1:]] - begins[words.first[:-1]]
-        output = []
-        for text, a, b, removed in zip(batch["text"].to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(),
-                                       n_removed.tolist()):
+        n_removed = begins[words.first[1:]] - begins[words.first[:-1]]
+        n_words, output = [], []
+        for text, a, b, removed in zip(texts, words.first[:-1].tolist(), words.first[1:].tolist(), n_removed.tolist()):
             if whole:
-                if removed and text is not None:
+                if removed:
                     edge = np.flatnonzero(np.diff(gone[a:b], prepend=True, append=True)) + a  # kept runs: begin, end
-                    stop = int(words.start[a]) - (len(text) - len(text.lstrip(b" \t\n\x0b\x0c\r")))
-                    at = (words.start[np.minimum(edge, len(words.start) - 1)] - stop).tolist()
-                    text = b"".join(text[x:y if e < b else None] for x, y, e in zip(at[0::2], at[1::2], edge[1::2].tolist()))
+                    lead = len(text) - len(text.lstrip(b" \t\n\x0b\x0c\r"))
+                    at = (words.start[np.minimum(edge, len(words.start) - 1)] - (int(words.start[a]) - lead)).tolist()
+                    text = text[:lead] + b"".join(
+                        text[x:y if e < b else None] for x, y, e in zip(at[0::2], at[1::2], edge[1::2].tolist()))
                 output.append(text)
             else:
                 kept = (text or b"").split()
+                n_words.append(len(kept))
                 if removed:
                     kept = [kept[i] for i in np.flatnonzero(~gone[a:b]).tolist()]
                 output.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -277,29 +295,26 @@ def _results(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             text = pa.array(output, pa.binary()).cast(pa.string())
             yield pa.record_batch([batch["row"], text], names=["row", "text"])
         else:
-            yield pa.record_batch([batch["doc_id"], pa.array(n_words), pa.array(n_removed), pa.array(output, pa.string())],
+            yield pa.record_batch([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed), pa.array(output, pa.string())],
                                   names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _judged(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, key, text, more..., marks (repeated anchors of the document) and firsts (its first occurrences).
+    """doc_id, key, packed text, more..., marks (repeated anchors of the document) and firsts (its first occurrences).
 
     One plan from the prefix counts on: the texts are dealt by key once, and both joins read that exchange.
     """
-    anchors = docs.select("key", "text").mapInArrow(_anchors, "anchor long, key long, n long")
+    anchors = written(docs.select("key", "text").mapInArrow(_anchors, "anchor long, key long, n long"), "anchors")
     prefixes = cut_lineage(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
                            .select("anchor", (F.col("n") > GROUP).alias("long")))
     marks = (anchors.select("anchor", "key").join(prefixes, "anchor").groupBy("key")
              .agg(F.collect_set(F.struct("anchor", "long")).alias("marks")))
-    marked = docs.select("doc_id", "key", "text", *more).repartition("key").join(marks, "key", "left")
+    marked = packed(docs.select("doc_id", "key", "text", *more)).repartition("key").join(marks, "key", "left")
     sent = (marked.where("marks is not null").select("doc_id", "key", "text", "marks")
             .mapInArrow(_stretches, STRETCHES))
-    trees = (sent.where("words is not null").drop("extension").repartition("prefix").sortWithinPartitions("prefix")
+    trees = (sent.repartition("prefix").sortWithinPartitions("prefix", "extension", F.col("words").isNull())
              .mapInArrow(_subtrees, FIRSTS))
-    earliest = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "pos")).alias("p")
-    lengthened = (sent.where("words is null").groupBy("prefix", "extension").agg(earliest)
-                  .select("p.doc_id", "p.key", "p.pos", F.lit(1).alias("windows")))
-    firsts = trees.unionByName(lengthened).groupBy("key").agg(
+    firsts = trees.groupBy("key").agg(
         F.collect_list(F.struct("doc_id", "pos", "windows")).alias("firsts"))
     return marked.join(firsts, "key", "left")
 

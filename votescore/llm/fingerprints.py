@@ -106,13 +106,13 @@ def edits(frame: DataFrame, old: str, new: str) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, tree, next_text, next_tree: the next document by doc_id, and the first after the last.
 
-    Texts move once, into blocks of consecutive ids, within which a window looks ahead. There are as many blocks as
-    shuffle partitions (and as many again for NULL ids, by hash of the text), with borders at quantiles of the ids. The
-    last row of a block sees the first document of the next one, of which a copy stands at its end; the driver holds
+    Texts move once, into blocks of consecutive ids, within which a window looks ahead. There are four blocks for each
+    shuffle partition (and as many for NULL ids, by hash of the text), with borders at quantiles of the ids. The last
+    row of a block sees the first document of the next one, of which a copy stands at its end; the driver holds
     the ids of these first documents, one per block.
     """
     spark = docs.sparkSession
-    blocks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # some for each task, to even out their sizes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", document_key(F.col("doc_id"), F.col("text")))
     shares = [i / blocks for i in range(1, blocks)]

@@ -6,7 +6,7 @@ import xxhash
 
 from tests.llm.corpora import WORD, prose
 from votescore.llm import simhash
-from votescore.llm.simhash import close_pairs, components, drop_near_duplicates, fingerprint, links, near_duplicates, smallest_reachable
+from votescore.llm.simhash import close_pairs, components, drop_near_duplicates, fingerprint, links, near_duplicates, similar_links, smallest_reachable
 
 
 def model_fingerprint(text):
@@ -96,6 +96,29 @@ def test_similar_documents(spark, monkeypatch, bucket):
     assert set(kept) >= {100 * i for i in range(30)} and len(kept) <= 31
 
 
+def pairs_at(rng, similarity, count):
+    """Pairs of sets of 400 random shingle hashes, as wide fingerprints, with this Jaccard similarity."""
+    shared = round(800 * similarity / (1 + similarity))
+    prints = []
+    for _ in range(count):
+        own = rng.integers(0, 2**64, 800 - shared, dtype=np.uint64)
+        prints += [simhash.wide_print(own[:400]), simhash.wide_print(own[400 - shared:])]
+    return prints
+
+
+def test_recall_does_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    prints = pairs_at(rng, 0.8, 60) + pairs_at(rng, 0.85, 60)
+    rows = [(i, *np.array(p, np.uint64).view(np.int64).tolist()) for i, p in enumerate(prints)]
+    classes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in simhash.WORDS))
+    found = []
+    for bucket in (4096, 1):  # the second makes every bucket a large one
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        roots = {r.node: r.root for r in components(similar_links(classes)).collect()}
+        found.append({i for i in range(0, len(rows), 2) if roots.get(i, i) == roots.get(i + 1, i + 1)})
+    assert found[0] == found[1] and len(found[0]) >= 100, (len(found[0]), len(found[1]))
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(3)
     texts = [prose(rng, 300) for _ in range(6)]

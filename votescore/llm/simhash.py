@@ -16,8 +16,8 @@ a spanning forest leaves it. Components come from alternating star steps over th
 The pipeline's stage wants more: documents whose sets of 5-word shingles have a Jaccard similarity of about 0.8
 (`similar_classes`). Eight tenths mean 15 % differing bits, too many for parts that must agree for certain, so
 fingerprints have 256 bits, are linked at `WIDE_RADIUS`, and meet in `WIDE_TABLES` tables of 16 bits drawn for each; the
-comparison and the components are the same, and buckets over BUCKET rows are split by more drawn bits. This search is
-one of chance: by calculation, at a similarity of 0.8, 91 of 100 pairs are within the radius and 97 of 100 meet in a
+comparison and the components are the same. A bucket over BUCKET rows is cut into blocks and compared block by block in
+separate tasks, so its pairs meet as surely as others, at a cost that grows with its square. This search is one of chance: by calculation, at a similarity of 0.8, 91 of 100 pairs are within the radius and 97 of 100 meet in a
 table; from 0.9 on practically all do both.
 
 NULL or blank texts have fingerprint zero, like any other zero. Repeated rows and rows that share a doc_id get the
@@ -43,14 +43,12 @@ SEED = 42
 BUCKET = 4096
 #: Rows of whole buckets that are compared together.
 TOGETHER = 65_536
-#: The stage's search: words of 64 bits, words in a shingle, differing bits, tables, their bits, and how buckets split.
+#: The stage's search: words of 64 bits, words in a shingle, differing bits, tables, and their bits.
 WIDE = 4
 WIDE_SHINGLE = 5
 WIDE_RADIUS = 46
 WIDE_TABLES = 48
 WIDE_KEY = 16
-WIDE_BELOW = 8
-WIDE_LEVELS = 5
 WORDS = [f"f{k}" for k in range(WIDE)]
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -92,8 +90,11 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: bytes | None, size: int) -> list[int]:
-    """Four words over the set of shingles; each word has hashes of its own, mixed from XXH64."""
-    hashes = np.unique(shingle_hashes(text, size))
+    return wide_print(np.unique(shingle_hashes(text, size)))
+
+
+def wide_print(hashes: np.ndarray) -> list[int]:
+    """Four words over a set of shingle hashes; each word has hashes of its own, mixed from XXH64."""
     if not len(hashes):
         return [0] * WIDE
     words = []
@@ -341,28 +342,37 @@ def _drawn_bits(table: int) -> np.ndarray:
     return np.random.default_rng(table).choice(64 * WIDE, WIDE_KEY, replace=False)
 
 
-def _wide_buckets(batches: Iterator[pa.RecordBatch], below: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, part, node, words) in `below` more tables each: parts are lengthened by bits drawn for the table."""
+def _wide_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, part, node, words): each row (node, words) once for each table, part being the bits drawn for it."""
+    weights = 1 << np.arange(WIDE_KEY, dtype=np.int64)
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
             rows = batch.slice(first, 4096)
             words = [rows[c].to_numpy() for c in WORDS]
             bits = np.unpackbits(np.ascontiguousarray(np.stack(words, 1)).view(np.uint8), axis=1, bitorder="little")
-            t, part = rows["t"].to_numpy(), rows["part"].to_numpy().view(np.uint64)
-            for sub in range(below):
-                table = t * below + sub
-                key = np.empty(len(t), np.uint64)
-                for one in np.unique(table):
-                    own = table == one
-                    key[own] = bits[own][:, _drawn_bits(int(one))].astype(np.uint64) @ (
-                        np.uint64(1) << np.arange(WIDE_KEY, dtype=np.uint64))
-                longer = ((part ^ key) * np.uint64(0x9E3779B97F4A7C15)) ^ (key << np.uint64(40))
-                yield pa.record_batch([pa.array(table), pa.array(longer.view(np.int64)), rows["node"], *(rows[c] for c in WORDS)],
+            for table in range(WIDE_TABLES):
+                part = bits[:, _drawn_bits(table)].astype(np.int64) @ weights
+                yield pa.record_batch([pa.array(np.full(len(part), table)), pa.array(part), rows["node"], *(rows[c] for c in WORDS)],
                                       names=["t", "part", "node", *WORDS])
 
 
-def _compare_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of buckets up to BUCKET rows; rows of larger ones as they are, which are never held."""
+def _tiles(rows: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Rows (t, part, node, ...) once for each tile they are in; `part` becomes the tile's.
+
+    A bucket is dealt by hash into blocks of about half of `most` by weight, and each two of its blocks are a tile. So
+    any two rows of a bucket share a tile, and no task holds a bucket.
+    """
+    blocks = rows.groupBy("t", "part").agg(F.ceil(2 * F.sum(weight) / most).cast("int").alias("blocks"))
+    spread = rows.repartition("node").join(F.broadcast(blocks.where("blocks > 1")), ["t", "part"], "left")
+    block = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    dealt = spread.withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    tile = F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.where("block <> other or blocks is null").withColumn("part", tile).drop("blocks", "block", "other")
+
+
+def _compare_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of buckets up to `most` rows; rows of larger ones as they are, which are never held."""
     columns = ["t", "part", "node", *WORDS]
 
     def too_many(rows: np.ndarray) -> pa.RecordBatch:
@@ -373,9 +383,9 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         start = np.flatnonzero(np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))))
         size = np.diff(start, append=rows.shape[1])
         size, bucket = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
-        if (size > BUCKET).any():
-            yield too_many(rows[:, size > BUCKET])
-        small = (size > 1) & (size <= BUCKET)
+        if (size > most).any():
+            yield too_many(rows[:, size > most])
+        small = (size > 1) & (size <= most)
         if small.any():
             node = rows[2, small]
             a, b = _forest(np.ascontiguousarray(rows[3:, small].T).view(np.uint64), bucket[small], WIDE_RADIUS)
@@ -394,7 +404,7 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             continue
         passing = None
         last = int(np.argmax((held[0] == held[0, -1]) & (held[1] == held[1, -1])))
-        if held.shape[1] - last > BUCKET:
+        if held.shape[1] - last > most:
             passing = held[:2, -1].copy()
             yield too_many(held[:, last:])
             held = held[:, :last]
@@ -406,22 +416,17 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def similar_links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes with close fingerprints; classes have node and WORDS. Buckets over BUCKET rows are
-    split by more drawn bits, up to `WIDE_LEVELS` times; after that (16 bits a time) they are compared as they are."""
+    """Edges (a, b) between nodes with close fingerprints; classes have node and WORDS. Larger buckets than BUCKET rows
+    are compared completely, in tiles."""
     schema = "t long, part long, node long, " + ", ".join(f"{c} long" for c in WORDS)
-    rows = classes.select(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("part"), "node", *WORDS)
-    found, below = None, WIDE_TABLES
-    for level in range(WIDE_LEVELS):
-        rows = rows.mapInArrow(partial(_wide_buckets, below=below), schema)
-        if level == WIDE_LEVELS - 1:
-            return found.union(_compared(rows, WORDS, WIDE_RADIUS)).distinct()
-        out = cut_lineage(rows.repartition("t", "part").sortWithinPartitions("t", "part", *WORDS)
-                          .mapInArrow(_compare_or_pass, "a long, b long, " + schema))
-        edges = out.where("a is not null").select("a", "b")
-        found = edges if found is None else found.union(edges)
-        rows, below = out.where("t is not null").drop("a", "b"), WIDE_BELOW
-        if rows.isEmpty():
-            return found.distinct()
+    rows = classes.select("node", *WORDS).mapInArrow(_wide_buckets, schema)
+    out = cut_lineage(rows.repartition("t", "part").sortWithinPartitions("t", "part", *WORDS)
+                      .mapInArrow(partial(_compare_or_pass, most=BUCKET), "a long, b long, " + schema))
+    edges = out.where("a is not null").select("a", "b")
+    large = out.where("t is not null").drop("a", "b")
+    if large.isEmpty():
+        return edges.distinct()
+    return edges.union(_compared(_tiles(large, F.lit(1), BUCKET), WORDS, WIDE_RADIUS)).distinct()
 
 
 def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:

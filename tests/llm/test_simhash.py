@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.corpora import WORD, prose
 from votescore.llm import simhash
@@ -119,6 +120,19 @@ def test_recall_does_not_depend_on_the_size_of_buckets(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) >= 100, (len(found[0]), len(found[1]))
 
 
+def test_no_task_holds_a_large_bucket(spark):
+    """Each two rows of a bucket meet in a tile, and tiles are bounded, also in the first table and by weight."""
+    rows = [(t, 7, node, w) for t, n in ((0, 900), (1, 30)) for node, w in ((i, 1 + i % 3) for i in range(n))]
+    frame = spark.createDataFrame(rows, "t long, part long, node long, w long")
+    for weight, most in ((F.lit(1), 100), (F.col("w"), 200)):
+        tiles = {}
+        for r in simhash._tiles(frame, weight, most).collect():
+            tiles.setdefault((r.t, r.part), set()).add(r.node)
+        assert max(map(len, tiles.values())) < 150
+        met = {(t, a, b) for (t, _), nodes in tiles.items() for a in nodes for b in nodes if a < b}
+        assert len(met) == 900 * 899 // 2 + 30 * 29 // 2
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(3)
     texts = [prose(rng, 300) for _ in range(6)]

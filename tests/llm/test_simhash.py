@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.corpora import WORD, prose
 from votescore.llm import simhash
-from votescore.llm.simhash import close_pairs, components, drop_near_duplicates, fingerprint, links, near_duplicates, similar_links, smallest_reachable
+from votescore.llm.simhash import close_pairs, components, drop_near_duplicates, fingerprint, links, near_duplicates, smallest_reachable
 
 
 def model_fingerprint(text):
@@ -97,27 +97,24 @@ def test_similar_documents(spark, monkeypatch, bucket):
     assert set(kept) >= {100 * i for i in range(30)} and len(kept) <= 31
 
 
-def pairs_at(rng, similarity, count):
-    """Pairs of sets of 400 random shingle hashes, as wide fingerprints, with this Jaccard similarity."""
-    shared = round(800 * similarity / (1 + similarity))
-    prints = []
-    for _ in range(count):
-        own = rng.integers(0, 2**64, 800 - shared, dtype=np.uint64)
-        prints += [simhash.wide_print(own[:400]), simhash.wide_print(own[400 - shared:])]
-    return prints
+def classes_of(spark, sets):
+    rows = [(i, *np.array(simhash.wide_print(x), np.uint64).view(np.int64).tolist(),
+             simhash.prefix(x, np.zeros(1 << simhash.BIN_BITS, np.int64)).view(np.int64).tolist()) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in simhash.WORDS) + ", prefix array<long>")
 
 
 def test_recall_does_not_depend_on_the_size_of_buckets(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    prints = pairs_at(rng, 0.8, 60) + pairs_at(rng, 0.85, 60)
-    rows = [(i, *np.array(p, np.uint64).view(np.int64).tolist()) for i, p in enumerate(prints)]
-    classes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in simhash.WORDS))
+    """Pairs of sets of 400 shingles with a Jaccard similarity of 0.8 or 0.85."""
+    rng, sets = np.random.default_rng(8), []
+    for shared in (356, 368):
+        for _ in range(60):
+            own = rng.integers(0, 2**64, 800 - shared, dtype=np.uint64)
+            sets += [np.unique(own[:400]), np.unique(own[400 - shared:])]
     found = []
     for bucket in (4096, 1):  # the second makes every bucket a large one
         monkeypatch.setattr(simhash, "BUCKET", bucket)
-        roots = {r.node: r.root for r in components(similar_links(classes)).collect()}
-        found.append({i for i in range(0, len(rows), 2) if roots.get(i, i) == roots.get(i + 1, i + 1)})
-    assert found[0] == found[1] and len(found[0]) >= 100, (len(found[0]), len(found[1]))
+        found.append({(r.a, r.b) for r in simhash.candidates(classes_of(spark, sets))[0].collect()})
+    assert found[0] == found[1] == {(i, i + 1) for i in range(0, 240, 2)}
 
 
 def test_no_task_holds_a_large_bucket(spark):
@@ -133,6 +130,48 @@ def test_no_task_holds_a_large_bucket(spark):
         assert len(met) == 900 * 899 // 2 + 30 * 29 // 2
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def kept_by_model(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    label = smallest_reachable(len(rows), *map(np.array, zip(*pairs)))
+    return sorted(rows[i][0] for i in set(label.tolist()))
+
+
+def test_links_from_a_similarity_of_eight_tenths_on(spark):
+    """Pairs just above and below 0.8, and chains of documents that are 0.75 similar to their neighbours."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    rows = []
+    for changed in [36, 40, 42, 44, 45, 46, 48, 50] * 6:  # 44 of 396 shingles: 352 / 440 = 0.8
+        words = fresh(400)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-changed] + fresh(changed)))]
+    words = fresh(400)
+    for _ in range(12):
+        rows.append((len(rows), " ".join(words)))
+        words = words[52:] + fresh(52)
+    kept = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == kept_by_model(rows) == sorted(set(range(108)) - {2 * i + 1 for i in range(48) if i % 8 < 4})
+
+
+@pytest.mark.parametrize("own, groups", [(12, 1), (45, 150)])
+def test_dense_groups(spark, own, groups):
+    """150 documents around one template, pairwise about 0.92 or 0.78 similar: dense buckets either way."""
+    rng = random.Random(own)
+    template = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join(template[:400 - own] + [f"{i}-{rng.random()}" for _ in range(own)])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    dense = simhash.candidates(classes_of(spark, sets))[1]
+    assert not dense.isEmpty()
+    kept = sorted(r.doc_id for r in drop_near_duplicates(docs).collect())
+    assert kept == kept_by_model(rows) if groups == 1 else kept == list(range(150))
+
+
 def test_one_document_of_each_group_stays(spark):
     rng = random.Random(3)
     texts = [prose(rng, 300) for _ in range(6)]

@@ -13,12 +13,13 @@ fingerprint meets a whole block at once: plane by plane the differing lanes are
 twos, over), and a block is abandoned as soon as all its lanes are over the radius. Of the links found in a task only
 a spanning forest leaves it. Components come from alternating star steps over these edges.
 
-The pipeline's stage wants more: documents whose sets of 5-word shingles have a Jaccard similarity of about 0.8
-(`similar_classes`). Eight tenths mean 15 % differing bits, too many for parts that must agree for certain, so
-fingerprints have 256 bits, are linked at `WIDE_RADIUS`, and meet in `WIDE_TABLES` tables of 16 bits drawn for each; the
-comparison and the components are the same. A bucket over BUCKET rows is cut into blocks and compared block by block in
-separate tasks, so its pairs meet as surely as others, at a cost that grows with its square. This search is one of chance: by calculation, at a similarity of 0.8, 91 of 100 pairs are within the radius and 97 of 100 meet in a
-table; from 0.9 on practically all do both.
+The pipeline's stage wants more: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more
+(`similar_classes`). Similar sets share a shingle among the rarest fifth of each (`prefix`), so documents meet by these,
+for certain. Of those that meet, fingerprints of 256 bits set aside the ones that are far from similar: 0.8 means 15 % of
+the bits, 38, and `WIDE_RADIUS` is seven standard deviations above. The rest are verified on their sets, and only similar
+ones are linked. A bucket (shingle) with over BUCKET rows is cut into blocks and compared block by block in separate
+tasks, so its pairs meet as surely as others, at a cost that grows with its square; frequent shingles come last in the
+order and seldom are in a prefix. Components are the same.
 
 NULL or blank texts have fingerprint zero, like any other zero. Repeated rows and rows that share a doc_id get the
 component of their fingerprint; a NULL doc_id counts only if no other is in the component (then component_id is NULL).
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votescore.llm.common import document_key, sliced, with_row
+from votescore.llm.common import document_key, sliced, with_row, written
 from votescore.session import cut_lineage
 
 SHINGLE = 3
@@ -43,12 +44,17 @@ SEED = 42
 BUCKET = 4096
 #: Rows of whole buckets that are compared together.
 TOGETHER = 65_536
-#: The stage's search: words of 64 bits, words in a shingle, differing bits, tables, and their bits.
+#: The stage's search: words of 64 bits, words in a shingle, differing bits.
 WIDE = 4
 WIDE_SHINGLE = 5
-WIDE_RADIUS = 46
-WIDE_TABLES = 48
-WIDE_KEY = 16
+WIDE_RADIUS = 80
+#: Bits of a shingle's bin, and one of how many documents is counted.
+BIN_BITS = 18
+SAMPLED = 16
+#: Close pairs a row from which a bucket is dense, and shingles in a tile of dense rows.
+DENSE = 8
+TILE = 4 << 20
+PAIR, LARGE, DENSE_ROW = range(3)
 WORDS = [f"f{k}" for k in range(WIDE)]
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -89,10 +95,6 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return majority(hashes) if len(hashes) else 0
 
 
-def wide_fingerprint(text: bytes | None, size: int) -> list[int]:
-    return wide_print(np.unique(shingle_hashes(text, size)))
-
-
 def wide_print(hashes: np.ndarray) -> list[int]:
     """Four words over a set of shingle hashes; each word has hashes of its own, mixed from XXH64."""
     if not len(hashes):
@@ -338,22 +340,52 @@ def fingerprint_text(fp: Column) -> Column:
 # --- similar documents -----------------------------------------------------------------------------
 
 
-def _drawn_bits(table: int) -> np.ndarray:
-    return np.random.default_rng(table).choice(64 * WIDE, WIDE_KEY, replace=False)
+def _bin(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many sets of a sample of the documents (key, text) have a shingle of each bin. Any counts give right results;
+    they only put frequent shingles last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BIN_BITS, np.int64)
+        for batch in sliced(batches, "text"):
+            for text in batch["text"].to_pylist():
+                total += np.bincount(_bin(np.unique(shingle_hashes(text, size))), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bin", "n"])
+
+    sample = texts.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("text")
+    counts = np.zeros(1 << BIN_BITS, np.int64)
+    found = sample.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["bin"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
 
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest fifth of a set, and one more: similar sets have at least four fifths of the larger one in common, so
+    the first of the common ones, in an order that is the same for all, is in both prefixes."""
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, counts[_bin(hashes)]))[:n - (4 * n + 4) // 5 + 1]]
 
-def _wide_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (t, part, node, words): each row (node, words) once for each table, part being the bits drawn for it."""
-    weights = 1 << np.arange(WIDE_KEY, dtype=np.int64)
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different rows (part, node), sorted, of parts with several nodes. Holds one row between batches."""
+    part, node, before = np.empty(0, np.int64), np.empty(0, np.int64), False
     for batch in batches:
-        for first in range(0, batch.num_rows, 4096):
-            rows = batch.slice(first, 4096)
-            words = [rows[c].to_numpy() for c in WORDS]
-            bits = np.unpackbits(np.ascontiguousarray(np.stack(words, 1)).view(np.uint8), axis=1, bitorder="little")
-            for table in range(WIDE_TABLES):
-                part = bits[:, _drawn_bits(table)].astype(np.int64) @ weights
-                yield pa.record_batch([pa.array(np.full(len(part), table)), pa.array(part), rows["node"], *(rows[c] for c in WORDS)],
-                                      names=["t", "part", "node", *WORDS])
+        part = np.concatenate((part, batch["part"].to_numpy()))
+        node = np.concatenate((node, batch["node"].to_numpy()))
+        if not len(part):
+            continue
+        new = np.concatenate(([True], (part[1:] != part[:-1]) | (node[1:] != node[:-1])))
+        part, node = part[new], node[new]
+        same = part[1:] == part[:-1]
+        met = np.concatenate(([before], same)) | np.concatenate((same, [False]))
+        yield pa.record_batch([pa.array(part[:-1][met[:-1]]), pa.array(node[:-1][met[:-1]])], names=["part", "node"])
+        before, part, node = bool(met[-1]), part[-1:], node[-1:]
+    if before:
+        yield pa.record_batch([pa.array(part), pa.array(node)], names=["part", "node"])
 
 
 def _tiles(rows: DataFrame, weight: Column, most: int) -> DataFrame:
@@ -371,26 +403,46 @@ def _tiles(rows: DataFrame, weight: Column, most: int) -> DataFrame:
     return dealt.where("block <> other or blocks is null").withColumn("part", tile).drop("blocks", "block", "other")
 
 
-def _compare_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of buckets up to `most` rows; rows of larger ones as they are, which are never held."""
+def _pairs_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (t, part, node, words) sorted by bucket; `kind` says what a row of the result is.
+
+    PAIR: nodes (a, b) within the radius, all such pairs of a bucket. LARGE: rows of a bucket over `most` rows, as they
+    are; they are never held. DENSE: rows that have partners in a bucket with over DENSE pairs a row.
+    """
     columns = ["t", "part", "node", *WORDS]
 
-    def too_many(rows: np.ndarray) -> pa.RecordBatch:
+    def passed(kind: int, rows: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(rows.shape[1], pa.int64())
-        return pa.record_batch([none, none, *(pa.array(r) for r in rows)], names=["a", "b", *columns])
+        kinds = pa.array(np.full(rows.shape[1], kind, np.int32))
+        return pa.record_batch([kinds, none, none, *(pa.array(r) for r in rows)], names=["kind", "a", "b", *columns])
 
     def whole_buckets(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate(([True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))))
         size = np.diff(start, append=rows.shape[1])
-        size, bucket = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
-        if (size > most).any():
-            yield too_many(rows[:, size > most])
-        small = (size > 1) & (size <= most)
-        if small.any():
-            node = rows[2, small]
-            a, b = _forest(np.ascontiguousarray(rows[3:, small].T).view(np.uint64), bucket[small], WIDE_RADIUS)
+        own = np.repeat(size, size)
+        if (own > most).any():
+            yield passed(LARGE, rows[:, own > most])
+        small = (own > 1) & (own <= most)
+        rows, size = rows[:, small], size[(size > 1) & (size <= most)]
+        if not rows.shape[1]:
+            return
+        bucket, count = np.repeat(np.arange(len(size)), size), np.zeros(len(size), np.int64)
+        met, found = np.zeros(rows.shape[1], bool), []
+        for u, v in close_pairs(np.ascontiguousarray(rows[3:].T).view(np.uint64), bucket, WIDE_RADIUS):
+            same = bucket[u] == bucket[v]
+            u, v = u[same], v[same]
+            met[u] = met[v] = True
+            count += np.bincount(bucket[u], minlength=len(size))
+            sparse = (count <= DENSE * size)[bucket[u]]
+            found.append((u[sparse], v[sparse]))
+        dense = (count > DENSE * size)[bucket]
+        if (dense & met).any():
+            yield passed(DENSE_ROW, rows[:, dense & met])
+        for u, v in found:
+            a, b = rows[2, u[~dense[u]]], rows[2, v[~dense[u]]]
             none = pa.nulls(len(a), pa.int64())
-            yield pa.record_batch([pa.array(node[a]), pa.array(node[b]), *[none] * len(columns)], names=["a", "b", *columns])
+            yield pa.record_batch([pa.array(np.full(len(a), PAIR, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)),
+                                   *[none] * len(columns)], names=["kind", "a", "b", *columns])
 
     held, passing = np.empty((len(columns), 0), np.int64), None
     for batch in batches:
@@ -398,7 +450,7 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[p
         if passing is not None:
             go_on = (held[0] == passing[0]) & (held[1] == passing[1])
             if go_on.any():
-                yield too_many(held[:, go_on])
+                yield passed(LARGE, held[:, go_on])
             held = held[:, ~go_on]
         if not held.shape[1]:
             continue
@@ -406,7 +458,7 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[p
         last = int(np.argmax((held[0] == held[0, -1]) & (held[1] == held[1, -1])))
         if held.shape[1] - last > most:
             passing = held[:2, -1].copy()
-            yield too_many(held[:, last:])
+            yield passed(LARGE, held[:, last:])
             held = held[:, :last]
         if last and (passing is not None or held.shape[1] >= TOGETHER):
             yield from whole_buckets(held[:, :last])
@@ -415,34 +467,153 @@ def _compare_or_pass(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[p
         yield from whole_buckets(held)
 
 
-def similar_links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes with close fingerprints; classes have node and WORDS. Larger buckets than BUCKET rows
-    are compared completely, in tiles."""
-    schema = "t long, part long, node long, " + ", ".join(f"{c} long" for c in WORDS)
-    rows = classes.select("node", *WORDS).mapInArrow(_wide_buckets, schema)
-    out = cut_lineage(rows.repartition("t", "part").sortWithinPartitions("t", "part", *WORDS)
-                      .mapInArrow(partial(_compare_or_pass, most=BUCKET), "a long, b long, " + schema))
-    edges = out.where("a is not null").select("a", "b")
-    large = out.where("t is not null").drop("a", "b")
-    if large.isEmpty():
-        return edges.distinct()
-    return edges.union(_compared(_tiles(large, F.lit(1), BUCKET), WORDS, WIDE_RADIUS)).distinct()
+def candidates(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes with close fingerprints and a common shingle in their prefixes, and rows (t, part, node,
+    words) of dense buckets, whose pairs are not listed; prints have node, WORDS and prefix. A bucket is the nodes with
+    one shingle; those over BUCKET rows are compared completely, in tiles."""
+
+    def compared(rows: DataFrame, most: int) -> DataFrame:
+        bucketed = "kind int, a long, b long, t long, part long, node long, " + ", ".join(f"{c} long" for c in WORDS)
+        return cut_lineage(rows.select("t", "part", "node", *WORDS).repartition("t", "part")
+                           .sortWithinPartitions("t", "part", *WORDS)
+                           .mapInArrow(partial(_pairs_or_pass, most=most), bucketed))
+
+    shared = prints.select(F.explode("prefix").alias("part"), "node").repartition("part").sortWithinPartitions(
+        "part", "node").mapInArrow(_shared, "part long, node long")
+    classes = prints.select("node", *WORDS).distinct()
+    out = compared(shared.join(classes, "node").withColumn("t", F.lit(0).cast("long")), BUCKET)
+    large = out.where(F.col("kind") == LARGE)
+    if not large.isEmpty():
+        out = out.union(compared(_tiles(large.drop("kind", "a", "b"), F.lit(1), BUCKET), 1 << 62))
+    pairs = cut_lineage(out.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    return pairs, out.where(F.col("kind") == DENSE_ROW).drop("kind", "a", "b")
+
+
+# --- their similarity ------------------------------------------------------------------------------
+
+
+def _similar(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with `shared` common elements, `sizes` together, have a Jaccard similarity of 0.8 or more."""
+    return 9 * shared >= 4 * sizes
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sets (left, right) are similar."""
+    for batch in batches:
+        left, right = batch["left"], batch["right"]
+        good = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(side[i].as_buffer(), "<u8") for side in (left, right))
+            good[i] = _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))
+        yield pa.record_batch([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good))
+
+
+def similar_forest(prints: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect what all such pairs within the radius connect."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mark, label, edges = np.zeros(len(ids), bool), np.arange(len(sets)), []
+    for u, v in close_pairs(prints, np.zeros(len(sets), np.int64), WIDE_RADIUS):
+        order = np.argsort(u, kind="stable")
+        u, v = u[order], v[order]
+        for others in np.split(v, np.flatnonzero(np.diff(u)) + 1):
+            x, u = u[0], u[len(others):]
+            others = others[(label[others] != label[x]) & (sizes[others] > 0)]
+            own = ids[ends[x] - sizes[x]:ends[x]]
+            mark[own] = True
+            for some in np.split(others, range(256, len(others), 256)):
+                if len(some):
+                    first = np.cumsum(sizes[some]) - sizes[some]
+                    at = np.arange(sizes[some].sum()) + np.repeat(ends[some] - sizes[some] - first, sizes[some])
+                    shared = np.add.reduceat(mark[ids[at]], first, dtype=np.int64)
+                    for y in some[_similar(shared, sizes[some] + sizes[x])].tolist():
+                        if label[y] != label[x]:
+                            edges.append((int(x), y))
+                            label[label == label[y]] = label[x]
+            mark[own] = False
+    return edges
+
+
+def _similar_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of rows (t, part, node, words, shingles) sorted by tile, one tile at a time."""
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        node = rows["node"].to_numpy()
+        prints = np.stack([rows[c].to_numpy() for c in WORDS], 1).view(np.uint64)
+        found = similar_forest(prints, [np.frombuffer(x, "<u8") for x in rows["shingles"].to_pylist()])
+        return pa.record_batch([pa.array(node[[f[k] for f in found]] if found else [], pa.int64()) for k in (0, 1)],
+                               names=["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        t, part = held["t"].to_numpy(), held["part"].to_numpy()
+        starts = np.flatnonzero((np.diff(t) != 0) | (np.diff(part) != 0)) + 1
+        for a, b in zip([0, *starts], starts):
+            yield edges(held.slice(a, b - a))
+        if len(starts):
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield edges(held)
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Edges (a, b) between nodes whose sets of shingles are similar; prints have key, node, WORDS and
+    prefix, texts key and text.
+
+    Sets are made again, of the candidates only. Pairs meet their sets in joins; rows of dense buckets take theirs along
+    into tiles of about TILE shingles, so that sets move once per row and tile and not once per pair.
+    """
+    pairs, dense = candidates(prints)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
+    wanted = prints.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, size)) for t in batch["text"].to_pylist()]
+            yield pa.record_batch([batch["node"], pa.array([len(x) for x in sets], pa.int64()),
+                                   pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "n", "shingles"])
+
+    rows = texts.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
+    sets = written(rows.mapInArrow(read, "node long, n long, shingles binary"), "shingles")
+    side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+    edges = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
+        _similar_pairs, "a long, b long")
+    if dense.isEmpty():
+        return edges
+    tiles = _tiles(dense.join(sets.select("node", "n"), "node"), F.col("n") + 1, TILE)
+    return edges.union(tiles.drop("n").join(sets.drop("n"), "node").repartition("t", "part").sortWithinPartitions("t", "part")
+                       .mapInArrow(_similar_in_tiles, "a long, b long"))
 
 
 def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, key, node and root of every row: rows with equal roots are similar to each other, by links."""
+    """doc_id, key, node and root of every row: rows with equal roots are similar to each other, by links. A node is a
+    set of shingles."""
+
+    key = document_key(docs["doc_id"], docs["text"]).alias("key")
+    texts = docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("binary"))
+    counts = shingle_counts(texts, size)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in sliced(batches, "text"):
-            prints = np.array([wide_fingerprint(t, size) for t in batch["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch["doc_id"], batch["key"], *(pa.array(prints[:, k].copy()) for k in range(WIDE))],
-                                  names=["doc_id", "key", *WORDS])
-
-    texts = docs.select(F.col("doc_id").cast("long"), document_key(docs["doc_id"], docs["text"]).alias("key"),
-                        F.col("text").cast("binary"))
-    schema = "doc_id long, key long, " + ", ".join(f"{c} long" for c in WORDS)
-    prints = cut_lineage(texts.mapInArrow(read, schema).withColumn("node", F.xxhash64(*WORDS)))
-    roots = components(similar_links(prints.select("node", *WORDS).distinct()))
+            sets = [np.unique(shingle_hashes(t, size)) for t in batch["text"].to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            prints = np.array([wide_print(x) for x in sets], np.uint64).view(np.int64)
+            rare = [prefix(x, counts) if len(x) else x for x in sets]
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
+            yield pa.record_batch([batch["doc_id"], batch["key"], *(pa.array(prints[:, k].copy()) for k in range(WIDE)),
+                                   pa.array(nodes), lists], names=["doc_id", "key", *WORDS, "node", "prefix"])
+
+    schema = "doc_id long, key long, " + ", ".join(f"{c} long" for c in WORDS) + ", node long, prefix array<long>"
+    prints = cut_lineage(texts.mapInArrow(read, schema))
+    roots = components(similar_links(prints, texts.select("key", "text"), size))
     return prints.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -1,3 +1,5 @@
+import textwrap
+
 from votescore.llm.known_licenses import NOTICES, TEXTS
 from votescore.llm.licenses import known_digests, license_scan
 
@@ -31,3 +33,29 @@ def test_other_known_texts(spark):
     known = known_digests(spark, [("A", "My own terms."), ("B", "my own  terms"), ("C", "...")])
     docs = spark.createDataFrame([(1, "MY OWN TERMS!"), (2, "")], "doc_id long, text string")
     assert sorted((r.doc_id, r.whole) for r in license_scan(docs, known).collect()) == [(1, "A,B"), (2, "")]
+
+
+def test_known_texts_at_any_width(spark):
+    """Wherever lines are broken, with and without a holder's line behind the title."""
+    docs, names = [], []
+    for name, texts in TEXTS.items():
+        for text in texts:
+            for i, width in enumerate([30, 45, 60, 68, 70, 72, 74, 76, 78, 80, 100, 120, 10000]):
+                parts = [textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)
+                         for p in text.strip().split("\n\n")]
+                holder = ["Copyright (c) 2020 A. N. Other", "Copyright 2020, 2021 Someone", "Copyright The Authors", "(c) 1999 Someone",
+                          "(c) A. N. Other", "© Someone\nAll rights reserved."][i % 6]
+                for out in ([*parts], [holder, *parts], [*parts[:1], holder, *parts[1:]]):
+                    docs.append((len(docs), "\n\n".join(out)))
+                    names.append((name, width))
+    found = license_scan(spark.createDataFrame(docs, "doc_id long, text string"), known_digests(spark)).collect()
+    assert {names[r.doc_id] for r in found if names[r.doc_id][0] not in r.whole.split(",")} == set()
+
+
+def test_usual_layout(spark):
+    """Lines that begin with `copyright` in the middle of a sentence."""
+    isc = TEXTS["ISC"][0].replace("provided that the above copyright", "provided that the above\ncopyright")
+    mit = TEXTS["MIT"][0].replace("AUTHORS OR\nCOPYRIGHT HOLDERS", "\nAUTHORS OR COPYRIGHT HOLDERS")
+    docs = spark.createDataFrame([(1, isc), (2, mit), (3, mit.replace("COPYRIGHT HOLDERS", ""))], "doc_id long, text string")
+    found = {r.doc_id: r.whole for r in license_scan(docs, known_digests(spark)).collect()}
+    assert found == {1: "ISC", 2: "MIT", 3: ""}

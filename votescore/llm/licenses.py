@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-Texts are brought to a canonical form: lower case, copyright lines dropped, one spelling for words that licence texts
+Texts are brought to a canonical form: lower case, lines that name a holder dropped, one spelling for words that licence texts
 spell in several ways, punctuation and white space as single blanks. Its SHA-256 is joined with the digests of known
 licence texts and notices. A document is looked up as a whole, by its blocks (between blank lines) and by its lines, so
 a notice on a line of its own is found as well as a file that is nothing but a licence.
@@ -18,8 +18,18 @@ from pyspark.sql import functions as F
 from votescore.llm.common import let
 from votescore.llm.known_licenses import NOTICES, SPELLINGS, TEXTS
 
-#: A line that only names the holder of the rights, with its line end.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: What follows `copyright` in the sentences of licences, at whichever word their lines are broken.
+_IN_SENTENCES = ("and|or|in|is|of|to|for|are|as|on|that|which|with|holders?|owners?|notices?|laws?|licen[cs]es?|statements?|"
+                 "interests?|protection|disclaimers?|permission|information|treaty|treaties|rights?|doctrines?|work|works|"
+                 "status|terms|act|if|but|may|must|shall|will|can|does|do|has|have|under|from|like|material|infringement")
+#: A line that only names the holder of the rights, with its line end: a sign, a year or a name behind `copyright`.
+#: Lines of sentences that happen to begin with `copyright` are text, so it does not matter where a text is wrapped.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^\p{L}\p{N}\n]*("
+    r"copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|yyyy|year)"
+    r"|copyright:?[ \t]+(?!(" + _IN_SENTENCES + r")(?![\p{L}\p{N}]))[\p{L}\p{N}<\[{]"
+    r"|\(c\)[^\p{L}\p{N}\n]*(copyright|[0-9]{4}|yyyy|year)|\(c\)([ \t]+[^ \t\n]+){1,4}[ \t]*(?=\n|$)"
+    r"|©|all rights reserved)[^\n]*")
 _WORD = r"[\p{L}\p{N}]"
 
 

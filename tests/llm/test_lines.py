@@ -61,3 +61,10 @@ def test_many_lines_around_one(spark):
     lines = [center] + [center[:i] + c + center[i + 1:] for i in range(len(center)) for c in "#%&"]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert sorted(r.doc_id for r in repeated_lines(docs).where("n_removed = 0").collect()) == [0]
+
+
+def test_shorter_lines_as_near_lines(spark):
+    """The smallest length that is compared by edits is the caller's."""
+    docs = spark.createDataFrame([(1, "short line"), (2, "short lines"), (3, "abc"), (4, "abd"), (5, "x")], "doc_id long, text string")
+    kept = lambda *least: sorted(r.doc_id for r in remove_repeated_lines(docs, *least).collect() if r.text)
+    assert kept() == [1, 2, 3, 4, 5] and kept(10) == [1, 3, 4, 5] and kept(1) == [1, 3, 5]

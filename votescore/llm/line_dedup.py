@@ -2,7 +2,7 @@
 
 A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced), stands earlier in
 the corpus: smaller doc_id, or same document and smaller line number. Lines are compared as they are, split at \\n.
-Lines without a word stay and count for nothing; lines under `MIN_CHARS` characters are compared for equality only,
+Lines without a word stay and count for nothing; lines under `min_chars` characters (16 if not said) are compared for equality only,
 because one edit makes another word of a short one. A line that goes still counts as an earlier line for others, so
 the result does not depend on the order of work.
 
@@ -227,10 +227,10 @@ def _results(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
                 names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
 
-def _judged(docs: DataFrame, *more: str) -> DataFrame:
+def _judged(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
     """doc_id, packed text, more... and kept: the numbers of the lines that are the first of their kind."""
     lines = _lines(docs.select("doc_id", "key", "text"))
-    parts = F.when(F.char_length("line") >= MIN_CHARS, _shared_parts(F.col("line"), DEPTH))
+    parts = F.when(F.char_length("line") >= min_chars, _shared_parts(F.col("line"), DEPTH))
     different = written(lines.groupBy("id").agg(F.min("place").alias("place"), F.first(parts).alias("parts")), "lines")
     wanted = cut_lineage(_with_partner(different.where("parts is not null"))).groupBy("place.key").agg(
         F.collect_list(F.struct("id", "place")).alias("wanted"))
@@ -245,20 +245,20 @@ def _judged(docs: DataFrame, *more: str) -> DataFrame:
     return dealt.join(kept, "key", "left").select("doc_id", "text", *more, "kept")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_removed, kept_sha256 (of the kept text) of every row."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         document_key(docs["doc_id"], docs["text"]).alias("key"), "text")
-    return _judged(keyed).mapInArrow(
+    return _judged(keyed, min_chars).mapInArrow(
         partial(_results, whole=False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns, with text (and n_chars, if there) without the removed lines."""
     keyed = with_row(docs).select(
         F.col("row.doc_id").cast("long").alias("doc_id"), document_key(F.col("row.doc_id"), F.col("row.text")).alias("key"),
         F.col("row.text").alias("text"), F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    judged = _judged(keyed, "row")
+    judged = _judged(keyed, min_chars, "row")
     cleaned = judged.mapInArrow(partial(_results, whole=True),
                                 judged.select("row", F.col("text").cast("string")).schema)
     return cleaned.select(replaced_text(docs, F.col("text")))

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from votescore.llm import bpe, classifier
+from votescore.llm.decontaminate import contaminated_documents
 from votescore.llm.fingerprints import compared
 from votescore.llm.licenses import known_digests, license_scan
 from votescore.llm.line_dedup import remove_repeated_lines, repeated_lines
 from votescore.llm.packing import pack
+from votescore.llm.lexical_search import ranked
 from votescore.llm.quality_rules import quality_filter, quality_verdicts
+from votescore.llm.runs import collapsed, periodic_runs
 from votescore.llm.sharding import sharded
 from votescore.llm.simhash import drop_near_duplicates, near_duplicates
 from votescore.llm.substring_dedup import remove_repeated_passages, repeated_passages
@@ -36,6 +39,11 @@ def model(docs):
     return classifier.train(docs, labels)
 
 
+def as_items(docs):
+    """The same rows as a benchmark."""
+    return docs.select(F.col("doc_id").alias("item_id"), "text", "key", F.col("id").alias("doc_id"))
+
+
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PER_ROW = {
@@ -43,6 +51,7 @@ PER_ROW = {
     "op3": lambda d: pack(d, TOKENS).where("piece = 0"), "op4": repeated_passages,
     "op5": lambda d: bpe.round_trip(d, RANKS, public_tokenizers.PATTERN), "op6": quality_verdicts, "op7": near_duplicates,
     "op8": sharded, "op9": compared, "op10": lambda d: classifier.scored(d, model(d)),
+    "op12": lambda d: contaminated_documents(d, as_items(d)), "op13": periodic_runs, "op13_texts": collapsed,
 }
 STAGES = {"op1": remove_repeated_lines, "op4": remove_repeated_passages, "op6": quality_filter, "op7": drop_near_duplicates}
 
@@ -83,3 +92,15 @@ def test_stages_of_the_pipeline_on_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_lexical_search_of_the_rows_in_themselves(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    found = ranked(docs, as_items(docs), k=3).collect()
+    best = {}
+    for r in found:
+        best.setdefault(r.item_id, []).append((r.rank, r.doc_id, r.score))
+    assert all([x[0] for x in sorted(b)] == list(range(1, len(b) + 1)) for b in best.values())
+    # The repeated row stands twice in the ranking.
+    assert [x[1] for x in sorted(best[1])][:2] == [1, 1] or [x[1] for x in sorted(best[1])].count(1) >= 2
+    assert ranked(docs.limit(0), as_items(docs)).collect() == [] == ranked(docs, as_items(docs).limit(0)).collect()

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tests.llm import test_lines, test_passages, test_simhash
+from tests.llm import test_lines, test_passages, test_runs, test_simhash
 from tests.llm.corpora import WORD
 from votescore.llm import bpe
 from votescore.llm.oracles import QUALITY_STATS
@@ -32,7 +32,7 @@ def texts(duck):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -82,6 +82,10 @@ def test_op7(spark, sf_dir, texts):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_op13(spark, sf_dir, texts):
+    assert test_runs.rows(QUERIES["op13_periodic_runs"](spark, sf_dir)) == sorted((test_runs.model(*d) for d in texts.items()), key=str)
+
+
 def near_copies_are_dropped(given, kept):
     """By the similarity of all pairs of sets of 5-word shingles."""
     shingles = {}

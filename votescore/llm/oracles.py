@@ -83,3 +83,39 @@ SELECT doc_id, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTE
     count(license) FILTER (WHERE kind > 0) AS n_notices
 FROM doc LEFT JOIN looked USING (r) GROUP BY r, doc_id
 """.replace("{canonical}", _canonical("t")).replace("{known}", _known())
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEXICAL_SEARCH = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{term}') AS words FROM documents),
+filled AS (SELECT r, doc_id, words, len(words) AS n FROM doc WHERE len(words) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM filled),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM filled) GROUP BY r, term),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({lower}, '{term}')) AS term FROM benchmark),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf WHERE term IN (SELECT term FROM wanted) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, corpus),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * n * docs) // total) AS m FROM filled, corpus),
+scored AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY item_id, r),
+best AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM scored JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM best WHERE rank <= 10
+""".replace("{lower}", _LOWER).replace("{term}", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+#: Windows of documents are made in every length that a pattern has, and joined with the patterns as lists of words.
+DECONTAMINATION = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{word}') AS words FROM documents),
+item AS (SELECT item_id, regexp_extract_all({lower}, '{word}') AS words FROM benchmark WHERE item_id IS NOT NULL),
+pattern AS (SELECT DISTINCT item_id, words[i:i + 9] AS p FROM (
+    SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM item WHERE len(words) > 0)),
+size AS (SELECT DISTINCT len(p) AS size FROM pattern),
+place AS (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM doc, size),
+found AS (SELECT r, i, size, item_id FROM (SELECT r, i, size, words[i:i + size - 1] AS p FROM place) JOIN pattern USING (p)),
+hit AS (SELECT r, count(DISTINCT w)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS w FROM found) GROUP BY r),
+named AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM found) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+""".replace("{lower}", _LOWER).replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

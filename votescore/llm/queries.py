@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from votescore.fixtures import table
 from votescore.llm import bpe, classifier, oracles, simhash
 from votescore.llm.common import ship
+from votescore.llm.decontaminate import contaminated_documents
 from votescore.llm.fingerprints import compared
+from votescore.llm.lexical_search import ranked
 from votescore.llm.licenses import known_digests, license_scan
 from votescore.llm.line_dedup import repeated_lines
 from votescore.llm.packing import pack
 from votescore.llm.quality_rules import quality_verdicts
+from votescore.llm.runs import periodic_runs
 from votescore.llm.sharding import sharded
 from votescore.llm.substring_dedup import repeated_passages
 
@@ -70,6 +73,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_documents(spark, sf_dir), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -81,9 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.LICENSE_SCAN,
     "op6_quality_rules": oracles.QUALITY_RULES,
+    "op11_lexical_search": oracles.LEXICAL_SEARCH,
+    "op12_decontamination": oracles.DECONTAMINATION,
 }

@@ -229,6 +229,7 @@ ORACLES: dict[str, str] = {
         prev_rshares >> 6 AS scaled_prev_rshares FROM transitions""",
     "raw_standing": _STANDING_ROWS,
     "raw_standing_sliced": _STANDING_ROWS,
+    "raw_standing_windows": _STANDING_ROWS,
     "raw_standing_incremental": _STANDING_ROWS,
     "merged_reputation": """
         WITH new_values AS (SELECT CAST(o_custkey AS INTEGER) AS account_id,
@@ -240,6 +241,9 @@ ORACLES: dict[str, str] = {
     "vote_gates": f"""{_STANDING}
         SELECT source_op, ra0 AS author_reputation, ia0 AS author_implicit, rv0 AS voter_reputation,
           iv0 AS voter_implicit, undone, applied FROM folded WHERE step > 0""",
+    "vote_gates_windows": f"""{_STANDING}
+        SELECT source_op, ra0 AS author_reputation, ia0 AS author_implicit, rv0 AS voter_reputation,
+          iv0 AS voter_implicit, undone, applied FROM folded WHERE step > 0""",
     "scores": f"""{_STANDING}, accounts AS (
           SELECT DISTINCT id FROM (SELECT author_id AS id FROM ops UNION ALL SELECT CAST(user_id % 40 AS INTEGER)
             FROM events))
@@ -281,6 +285,7 @@ ORACLES: dict[str, str] = {
     "stream_active_votes": _ACTIVE_ROWS,
     "rewound_standing": _STANDING_ROWS,
     "raw_standing_wide": _WIDE_STANDING + " SELECT * FROM standing",
+    "raw_standing_wide_windows": _WIDE_STANDING + " SELECT * FROM standing",
     "scores_wide": f"""{_WIDE_STANDING}
         SELECT CAST(c_custkey AS INTEGER) AS account_id, 'acct-' || c_custkey AS name, {_SCORE.format(r="s.reputation")} AS score
         FROM customer LEFT JOIN standing s ON s.account_id = c_custkey""",

@@ -13,6 +13,7 @@ from votescore.functions.score import THRESHOLDS, scaled, score
 from votescore.operators import active, links
 from votescore.operators.compare import diff_detail, expected_diff
 from votescore.operators.dictionary import batch_dictionary, encode, extend_dictionary
+from votescore.operators.fixpoint import fold_in_windows, gates_in_windows
 from votescore.operators.fold import fold_votes, merge_reputation, vote_gates
 from votescore.operators.resolve import account_ids, names_in, resolve_accounts, resolve_ops, unknown_names
 from votescore.plans.ranges import catch_up, link_range, process, process_batch
@@ -279,6 +280,22 @@ def raw_standing_wide(spark, sf_dir):
     return fold_votes(links.vote_transitions(_wide_links(spark, sf_dir)))
 
 
+def raw_standing_windows(spark, sf_dir):
+    """The same state as a fixpoint over the decisions of all votes, in windows."""
+    return fold_in_windows(links.vote_transitions(_dense_links(spark, sf_dir)))
+
+
+def raw_standing_wide_windows(spark, sf_dir):
+    return fold_in_windows(links.vote_transitions(_wide_links(spark, sf_dir)))
+
+
+def gates_windows(spark, sf_dir):
+    """Gates from states that are looked up as of each vote."""
+    return gates_in_windows(links.vote_transitions(_dense_links(spark, sf_dir)), pieces=4).select(
+        "source_op", "author_reputation", "author_implicit", "voter_reputation", "voter_implicit",
+        "undone", "applied")
+
+
 def gates(spark, sf_dir):
     return vote_gates(links.vote_transitions(_dense_links(spark, sf_dir)), slices=4).select(
         "source_op", "author_reputation", "author_implicit", "voter_reputation", "voter_implicit",
@@ -546,6 +563,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "raw_standing_incremental": raw_standing_incremental,
     "merged_reputation": merged_reputation,
     "vote_gates": gates,
+    "raw_standing_windows": raw_standing_windows,
+    "raw_standing_wide_windows": raw_standing_wide_windows,
+    "vote_gates_windows": gates_windows,
     "scores": scores_all,
     "scores_wide": scores_wide,
     "account_score": account_scores,

@@ -152,22 +152,7 @@ def _slices(votes: DataFrame, count: int) -> DataFrame:
         # The slice numbers must not change when a lost partition is rebuilt, hence the checkpoint.
         numbered = cut_lineage(
             weighted.repartitionByRange(count, "source_op").withColumn("slice", F.spark_partition_id()))
-    return (
-        _at_home(numbered, count).repartition(count, "home").sortWithinPartitions("home", "source_op")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-
-
-def _at_home(rows: DataFrame, count: int) -> DataFrame:
-    """Rows with `home`, a number per slice such that hashing it to `count` partitions gives each slice one of its
-    own: hashing the slice numbers would put several into one task and leave others without."""
-    spark = rows.sparkSession
-    drawn = spark.range(64 * count).select(F.col("id").cast("int").alias("home"))
-    homes = {r.part: r.home for r in drawn.groupBy(F.pmod(F.hash("home"), F.lit(count)).alias("part"))
-             .agg(F.min("home").alias("home")).collect()}
-    spare = iter(range(64 * count, 65 * count))  # in case a partition was not drawn; then it shares one
-    by_slice = [homes.get(i, None) if i in homes else next(spare) for i in range(count)]
-    return rows.withColumn("home", F.element_at(F.lit(by_slice).cast("array<int>"), F.col("slice") + 1))
+    return numbered.repartitionById(count, "slice").sortWithinPartitions("source_op").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _first_guess(votes: DataFrame, stored: DataFrame) -> DataFrame:
@@ -224,9 +209,10 @@ def _timeline(folded: DataFrame) -> DataFrame:
     ))
 
 
-def _cogroup(votes: DataFrame, starts: DataFrame, trace: bool) -> DataFrame:
+def _cogroup(votes: DataFrame, starts: DataFrame, count: int, trace: bool) -> DataFrame:
+    """One task per slice; the votes are where they are wanted, the starts come to them."""
     return (
-        votes.groupBy("home").cogroup(starts.groupBy("home"))
+        votes.groupBy("slice").cogroup(starts.repartitionById(count, "slice").groupBy("slice"))
         .applyInArrow(_slice_folder(trace), _TRACED if trace else _FOLDED)
     )
 
@@ -258,8 +244,8 @@ def _settle(votes: DataFrame, stored: DataFrame, count: int, keep_starts: bool =
     rerun, kept = F.col("slice") != STORED_SLICE, None
     while True:
         # Renamed: one slice's line is no checkpoint and still holds the votes' own column.
-        starts = _at_home(line.where(rerun).select(F.col("slice").alias("slice"), *_STARTS[1:]), count)
-        fresh = _cogroup(votes.where(rerun), starts, trace=False).withColumn("wrote", F.col("implicit").isNotNull())
+        starts = line.where(rerun).select(F.col("slice").alias("slice"), *_STARTS[1:])
+        fresh = _cogroup(votes.where(rerun), starts, count, trace=False).withColumn("wrote", F.col("implicit").isNotNull())
         line = cut_lineage(_timeline(fresh.unionByName(line.where(~rerun).select(*columns))))
         # At most a few rows per slice of the wave.
         states = line.where("dirty or overflow").select("slice", "dirty", "overflow").distinct().collect()
@@ -347,7 +333,7 @@ def vote_gates(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
     for part, count in _waves(votes, slice_votes, slices):
         laid = _slices(part, count)
         line, starts = _settle(laid, start, count, keep_starts=True)
-        trace = cut_lineage(_cogroup(laid, _at_home(starts, count), trace=True))
+        trace = cut_lineage(_cogroup(laid, starts, count, trace=True))
         laid.unpersist()
         traces = trace if traces is None else traces.unionByName(trace)
         start = merge_reputation(start, cut_lineage(_changes(line)))

@@ -56,10 +56,10 @@ def test_large_items_are_matched_as_often_as_possible():
 
 def test_words_have_the_ids_of_the_text(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 50)
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(PATH)  # as it is: names of special tokens in a text are special
     rng = random.Random(1)
     texts = ["It's DON'T 'S x''s a'.' dogs' café-au ÉTÉ... Å K. 9a. a_ `a``", "<|endoftext|> a <|startoftext|>",
+             "end <|endoftext|> start", "a<|endoftext|>b", "<|ENDOFTEXT|> x<|startoftext|><|endoftext|>", "e<|endoftext|>\u0301 <|endoftext|",
              "İstanbul ΣΣΣ ß ẞ  x y z̈ ̈q", "", "\t\n\x0b\x0c\r  \x1c \x85 "]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x80, 0x250), 32, 10, 0x301, 0x4e2d]))
                       for _ in range(60)) for _ in range(300)]

@@ -50,7 +50,12 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # Names of special tokens are theirs exactly as written, before anything is normalised; texts are cut at them. What is
+        # left holds none, and must not get one by lower case.
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes()
+                        for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")").split
+        self.tokenizer.encode_special_tokens = True
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -82,6 +87,12 @@ class WordTokens:
         return self.marks[text]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of every text."""
+        cut = [self.cut(t) if t and any(name in t for name in self.special) else [t] for t in texts]
+        plain = iter(self._encode([part for parts in cut for part in parts[::2]]))
+        return [b"".join(self.special[part] if i % 2 else next(plain) for i, part in enumerate(parts)) for parts in cut]
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {b"": b""}
         split = [(t or b"").translate(_BLANK).lower().split(b" ") for t in texts]

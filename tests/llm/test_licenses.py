@@ -1,5 +1,9 @@
 import textwrap
 
+import duckdb
+import pytest
+
+from votescore.llm import oracles
 from votescore.llm.known_licenses import NOTICES, TEXTS
 from votescore.llm.licenses import known_digests, license_scan
 
@@ -59,3 +63,47 @@ def test_usual_layout(spark):
     docs = spark.createDataFrame([(1, isc), (2, mit), (3, mit.replace("COPYRIGHT HOLDERS", ""))], "doc_id long, text string")
     found = {r.doc_id: r.whole for r in license_scan(docs, known_digests(spark)).collect()}
     assert found == {1: "ISC", 2: "MIT", 3: ""}
+
+
+def in_sql(rows):
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return sorted(duck.execute(oracles.LICENSE_SCAN).fetchall())
+
+
+#: Terms that look like a holder's line at first.
+TERMS = ["(c) No commercial use", "All rights reserved except as granted by the vendor; commercial use is forbidden.",
+         "Copyright assignment to Acme is required before any use", "(c) Private evaluation by members of the club",
+         "Copyright 2020 X. Commercial use is forbidden without a paid contract.", "Copyright (c) 2020 Acme, licensed per seat"]
+HOLDERS = ["Copyright (c) 2020 Someone", "Copyright © 1999-2004, 2007 A. N. Other <a@b.org>. All rights reserved.", "(c) A. N. Other",
+           " * Copyright 1998 The Regents of the University of California", "Copyright The Authors", "© 2011 Größe und Söhne GmbH",
+           "Copyright (c) <year> <copyright holders>".replace(" holders", " owner's name").replace("owner's ", ""), "All rights reserved.",
+           "COPYRIGHT (C) 2015 FREE SOFTWARE FOUNDATION, INC.\r"]
+
+
+def test_terms_are_not_taken_for_holders(spark):
+    mit = TEXTS["MIT"][0]
+    isc = TEXTS["ISC"][0].replace("provided that the above copyright", "provided that the above\ncopyright")
+    rows = [(i, f"MIT License\n\n{line}\n\n{mit}") for i, line in enumerate(TERMS)]
+    rows += [(100 + i, f"{line}\n{mit}") for i, line in enumerate(HOLDERS)]
+    rows += [(200, isc), (201, mit.replace("AUTHORS OR\nCOPYRIGHT HOLDERS", "\nAUTHORS OR COPYRIGHT HOLDERS")), (202, mit), (203, None)]
+    found = sorted((r.doc_id, r.whole, r.found, r.n_notices)
+                   for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).collect())
+    whole = {r[0]: r[1] for r in found}
+    assert [whole[i] for i in range(len(TERMS))] == [""] * len(TERMS)
+    assert [whole[100 + i] for i in range(len(HOLDERS))] == ["MIT"] * len(HOLDERS)
+    assert (whole[200], whole[201], whole[202]) == ("ISC", "MIT", "MIT")
+    assert in_sql(rows) == found
+
+
+@pytest.mark.parametrize("width", [30, 72, 100])
+def test_sql_at_any_width(spark, width):
+    rows = []
+    for texts in TEXTS.values():
+        for text in texts:
+            parts = [textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.strip().split("\n\n")]
+            rows.append((len(rows), "\n\n".join([HOLDERS[len(rows) % len(HOLDERS)], *parts])))
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known_digests(spark)).collect()
+    assert sorted((r.doc_id, r.whole, r.found, r.n_notices) for r in found) == in_sql(rows)
+    assert all(r.whole for r in found)

@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-Texts are brought to a canonical form: lower case, lines that name a holder dropped, one spelling for words that licence texts
+Texts are brought to a canonical form: lines that only name a holder dropped, lower case, one spelling for words that licence texts
 spell in several ways, punctuation and white space as single blanks. Its SHA-256 is joined with the digests of known
 licence texts and notices. A document is looked up as a whole, by its blocks (between blank lines) and by its lines, so
 a notice on a line of its own is found as well as a file that is nothing but a licence.
@@ -18,23 +18,35 @@ from pyspark.sql import functions as F
 from votescore.llm.common import let
 from votescore.llm.known_licenses import NOTICES, SPELLINGS, TEXTS
 
-#: What follows `copyright` in the sentences of licences, at whichever word their lines are broken.
-_IN_SENTENCES = ("and|or|in|is|of|to|for|are|as|on|that|which|with|holders?|owners?|notices?|laws?|licen[cs]es?|statements?|"
-                 "interests?|protection|disclaimers?|permission|information|treaty|treaties|rights?|doctrines?|work|works|"
-                 "status|terms|act|if|but|may|must|shall|will|can|does|do|has|have|under|from|like|material|infringement")
-#: A line that only names the holder of the rights, with its line end: a sign, a year or a name behind `copyright`.
-#: Lines of sentences that happen to begin with `copyright` are text, so it does not matter where a text is wrapped.
+#: Words of terms and of sentences. A line with one of them is text, whatever else it says.
+_TERMS = (
+    "no|not|nor|use|used|uses|using|user|users|commercial|noncommercial|may|must|shall|will|can|cannot|is|are|be|been|was|were|has|have|"
+    "permission|permissions|permitted|permit|permits|granted|grant|grants|required|require|requires|forbidden|prohibited|"
+    "license|licensed|licenses|licence|licenced|licences|licensing|without|except|unless|only|any|notice|notices|holder|holders|"
+    "owner|owners|hereby|provided|subject|under|copies|copy|copied|copying|distribute|distributed|distribution|"
+    "redistribute|redistributed|redistribution|modify|modified|modification|modifications|sold|sell|sale|contract|contracts|"
+    "terms|agreement|restrict|restricted|restrictions|warranty|warranties|liable|liability|claim|claims|assign|assigned|"
+    "assignment|sublicense|derivative|reproduce|reproduced|consent|written|conditions|disclaimer|infringement|that|which|if|but|this")
+#: What follows `copyright` in the sentences of licences.
+_IN_SENTENCES = "and|or|in|of|to|for|as|on|with|laws?|statements?|interests?|protection|information|treaty|treaties|rights?|doctrines?|works?|status|acts?"
+_MARK = r"(?i:copyright|\(c\)|©)(?![\p{L}\p{N}]{2})"
+_MARKS = _MARK + r"(?:[ \t:,.]*" + _MARK + ")*"
+_YEARS = r"[\[<{]?(?:[0-9]{4}|(?i:yyyy|year))[\]>}]?(?:[ \t]*[-–,][ \t]*(?:[0-9]{2,4}|(?i:present)))*(?![\p{L}\p{N}])"
+_NAME = r"[\p{Lu}\p{Lo}<\[{][^ \t\r\n]*"
+#: A line that does nothing but name the holder of the rights, with its line end: marks, years and up to ten words; marks and a
+#: name of up to five words that begin with capitals; or the reservation of all rights, alone. In doubt a line is text, so no
+#: terms are lost, and it does not matter where a text is wrapped.
 COPYRIGHT_LINE = (
-    r"(^|\n)[^\p{L}\p{N}\n]*("
-    r"copyright[^\p{L}\p{N}\n]*(\(c\)|©|[0-9]{4}|yyyy|year)"
-    r"|copyright:?[ \t]+(?!(" + _IN_SENTENCES + r")(?![\p{L}\p{N}]))[\p{L}\p{N}<\[{]"
-    r"|\(c\)[^\p{L}\p{N}\n]*(copyright|[0-9]{4}|yyyy|year)|\(c\)([ \t]+[^ \t\n]+){1,4}[ \t]*(?=\n|$)"
-    r"|©|all rights reserved)[^\n]*")
+    r"(^|\n)[^\p{L}\p{N}\n©(]*(?![^\n]*(?<![\p{L}\p{N}])(?i:" + _TERMS + r")(?![\p{L}\p{N}]))(?:"
+    + _MARKS + r"[ \t:,.]*" + _YEARS + r"(?:[ \t,.]+[^ \t\r\n]+){0,10}"
+    + "|" + _MARKS + r"(?![ \t:]+(?i:" + _IN_SENTENCES + r")(?![\p{L}\p{N}]))(?:[ \t:]+(?i:by|the))?[ \t:]+" + _NAME
+    + r"(?:[ \t]+(?:(?i:and|of|the|de|von|et|al\.|&)|" + _NAME + r")){0,4}(?:[ \t]+(?i:all rights reserved)[.!]?)?"
+    + r"|(?i:all rights reserved)[^\p{L}\p{N}\n]*)[ \t\r]*(?=\n|$)")
 _WORD = r"[\p{L}\p{N}]"
 
 
 def canonical(text: Column) -> Column:
-    body = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    body = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, "\n"))
     body = F.trim(F.regexp_replace(body, r"[^\p{L}\p{N}]+", " "))
     for other, usual in SPELLINGS.items():
         body = F.replace(body, F.lit(other), F.lit(usual))

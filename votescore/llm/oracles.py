@@ -55,10 +55,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
+_NAMES_HOLDER = r"""[^\p{L}\p{N}©(]*({mark}([ \t:,.]*{mark})*[ \t:,.]*[\[<{]?([0-9]{4}|(?i:yyyy)|(?i:year))[\]>}]?([ \t]*[-–,][ \t]*([0-9]{2,4}|(?i:present)))*([ \t,.]+[^ \t\r]+){0,10}|{mark}([ \t:,.]*{mark})*([ \t:]+((?i:by)|(?i:the)))?[ \t:]+{name}([ \t]+((?i:and|of|the|de|von|et|al\.|&)|{name})){0,4}([ \t]+(?i:all rights reserved)[.!]?)?|(?i:all rights reserved)[^\p{L}\p{N}]*)[ \t\r]*""".replace(
+    "{mark}", r"((?i:copyright)|(?i:\(c\))|©)").replace("{name}", r"[\p{Lu}\p{Lo}<\[{][^ \t\r]*")
+
+# Words of terms and sentences, which no line that only names a holder has.
+_TERM_WORDS = """no not nor use used uses using user users commercial noncommercial may must shall will can cannot is are be been was were has have
+permission permissions permitted permit permits granted grant grants required require requires forbidden prohibited license licensed
+licenses licence licenced licences licensing without except unless only any notice notices holder holders owner owners hereby provided
+subject under copies copy copied copying distribute distributed distribution redistribute redistributed redistribution modify modified
+modification modifications sold sell sale contract contracts terms agreement restrict restricted restrictions warranty warranties liable
+liability claim claims assign assigned assignment sublicense derivative reproduce reproduced consent written conditions disclaimer
+infringement that which if but this""".split()
+_SENTENCE = r"(?i)^[^\p{L}\p{N}]*copyright[ \t:]+(and|or|in|of|to|for|as|on|with|laws?|statements?|interests?|protection|information|treaty|treaties|rights?|doctrines?|works?|status|acts?)([^\p{L}\p{N}]|$)"
+
+
 def _canonical(text: str) -> str:
-    """SQL of the canonical form of a licence text."""
-    line = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-    out = rf"trim(regexp_replace(regexp_replace(lower({text}), '{line}', chr(10), 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    """SQL of the canonical form of a licence text: by lines, each judged as a whole and by its words."""
+    words = ", ".join(f"'{w}'" for w in _TERM_WORDS)
+    holder = (f"(regexp_full_match(l, '{_NAMES_HOLDER}') AND NOT list_has_any(regexp_split_to_array(lower(l), '[^\\p{{L}}\\p{{N}}]+'), [{words}])"
+              f" AND NOT (regexp_matches(l, '{_SENTENCE}') AND NOT regexp_matches(l, '[0-9]{{4}}|(?i:year|yyyy)')))")
+    out = (f"trim(regexp_replace(lower(array_to_string([l FOR l IN string_split({text}, chr(10)) IF NOT {holder}], chr(10))), "
+           r"'[^\p{L}\p{N}]+', ' ', 'g'))")
     for other, usual in SPELLINGS.items():
         out = f"replace({out}, '{other}', '{usual}')"
     return out

@@ -154,7 +154,7 @@ def test_dump_round_trip_and_diff(spark, tmp_path):
 
 def test_status(spark):
     start = datetime(2024, 1, 1)
-    rows = [(v, str(v), {"0": str(v)}, {"0": str(v)}, "ranges", v, {"ranges": v}, v * 10 - 9, v * 10, v, start + timedelta(seconds=v),
+    rows = [(v, str(v), {"0": [str(v)]}, {"0": [str(v)]}, "ranges", v, {"ranges": v}, v * 10 - 9, v * 10, v, 0, 1, 2, start + timedelta(seconds=v),
              start + timedelta(seconds=v, milliseconds=500), "x") for v in (1, 2, 3)]
     progress = spark.createDataFrame(rows, schemas.PROGRESS)
     assert tuple(sync_throughput(progress).first()) == (3, 1.5, 0.5)

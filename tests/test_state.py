@@ -1,3 +1,4 @@
+import glob
 import random
 import threading
 from datetime import datetime
@@ -8,8 +9,10 @@ from tests.helpers import accounts_frame, active_rows, ops_frame, reputation_row
 from tests.model import Model, random_log, raw_ops
 from votescore import schemas
 from votescore.fixtures import TYPES
-from votescore.plans.ranges import catch_up, process, process_batch
-from votescore.plans.state import VOTES, StateStore
+from votescore.operators.active import batch_effects
+from votescore.plans.ranges import catch_up, link_range, process, process_batch
+from votescore.plans.scores import committed_score, scores
+from votescore.plans.state import REPUTATION, VOTES, StateStore
 from votescore.session import scratch_path
 from votescore.streaming import live
 
@@ -207,16 +210,32 @@ def test_operations_that_cannot_be_used(spark, store):
         (1, "body"), (2, "body"), (3, "voter"), (4, "weight")]
 
 
-def test_small_batch_touches_few_buckets(spark):
-    """One vote against a state of many posts and accounts: the other buckets stay where they are and are not read."""
+def written(store, snapshot):
+    """Rows that a commit wrote, by table."""
+    out = {}
+    for table in (REPUTATION, VOTES):
+        found = glob.glob(f"{local(store.root)}/{table}/{snapshot}*/*/*.parquet")
+        out[table] = sum(store.spark.read.parquet(f).count() for f in found)
+    return out
+
+
+def local(path):
+    return path.removeprefix("file:")
+
+
+def test_small_batch_appends_few_rows(spark):
+    """One vote against a state of many posts and accounts: it writes one row of either table and reads one bucket."""
     store = StateStore(spark, scratch_path(spark, "test-state"), buckets=16).create()
     rows = [(i + 1, 72, i % 40, (i + 1) % 40, i % 3, 1000 + i) for i in range(400)]
     accounts = accounts_frame(spark, range(40))
     process_batch(store, ops_frame(spark, raw_ops(rows)), accounts, TYPES, "s", 0)
     before = store.latest()
+    assert (before.deleted_votes, before.queued_votes) == (0, 400) and before.upserted_votes == store.active_votes().count()
     late = (500, 72, 1, 2, 1, 77)
     process_batch(store, ops_frame(spark, raw_ops([late])), accounts, TYPES, "s", 1)
     after = store.latest()
+    assert written(store, after.snapshot) == {REPUTATION: 1, VOTES: 1}
+    assert (after.deleted_votes, after.upserted_votes, after.queued_votes) == (0, 1, 1)
     assert sum(after.votes_in[b] != before.votes_in[b] for b in before.votes_in) == 1
     assert sum(after.reputation_in[b] != before.reputation_in[b] for b in before.reputation_in) == 1
     assert state(store) == expected(rows + [late])
@@ -225,12 +244,79 @@ def test_small_batch_touches_few_buckets(spark):
     assert len(touched) == 1 and all(f"bucket={touched[0]}/" in f for f in files)
 
 
-def test_old_snapshots_expire(spark, store):
+def test_appends_are_folded_in(spark):
+    """Blocks one by one: a bucket never holds more changes than it may, and removed votes stay removed."""
+    store = StateStore(spark, scratch_path(spark, "test-state"), buckets=2, appends=2).create()
+    rows = random_log(14, size=90)
+    catch_up(store, ops_frame(spark, raw_ops(rows)), accounts_frame(spark, range(6)), TYPES, step=1)
+    head = store.latest()
+    assert all(sum(s.endswith(".changes") for s in at) <= 2 for held in (head.reputation_in, head.votes_in) for at in held.values())
+    assert head.version > 5 and state(store) == expected(rows)
+    counts = store.progress().agg({"queued_votes": "sum"}).first()[0]
+    assert counts == sum(r[1] == 72 for r in rows)
+
+
+def test_counts_of_a_batch(spark, store):
+    rows = random_log(15, size=120)
+    ops, accounts = ops_frame(spark, raw_ops(rows)), accounts_frame(spark, range(6))
+    cut = rows[60][0]
+    process_batch(store, ops.where(f"source_op < {cut}"), accounts, TYPES, "s", 0)
+    stored = store.active_votes()
+    want = batch_effects(link_range(ops.where(f"source_op >= {cut}"), accounts, TYPES, stored)).first()
+    process_batch(store, ops.where(f"source_op >= {cut}"), accounts, TYPES, "s", 1)
+    assert tuple(store.latest()[c] for c in want.asDict()) == tuple(want) and want.deleted_votes > 0
+
+
+def test_one_name_reads_one_bucket(spark):
+    store = StateStore(spark, scratch_path(spark, "test-state"), buckets=16).create()
+    rows = [(i + 1, 72, i % 40, (i + 1) % 40, i % 3, 10**12 + i) for i in range(200)]
+    accounts = accounts_frame(spark, range(50))
+    process_batch(store, ops_frame(spark, raw_ops(rows)), accounts, TYPES, "s", 0)
+    names = spark.createDataFrame([("acct-7",)], "name string")
+    found = committed_score(store, names, accounts.selectExpr("cast(id as long) id", "name"))
+    assert len([f for f in found.inputFiles() if REPUTATION in f]) == 1
+    everyone = {r.name: r.score for r in scores(store.reputation(), accounts).collect()}
+    assert [tuple(r) for r in found.collect()] == [("acct-7", everyone["acct-7"])] and everyone["acct-7"] > 25
+    assert committed_score(store, accounts.select("name"), accounts).count() == 50
+    assert [r.score for r in committed_score(store, spark.createDataFrame([("acct-45",)], "name string"), accounts).collect()] == [0]
+    with pytest.raises(Exception, match="does not exist"):
+        committed_score(store, spark.createDataFrame([("nobody",)], "name string"), accounts).collect()
+
+
+def commits(spark, store, first, last):
     active = spark.createDataFrame([], schemas.ACTIVE_VOTES)
-    for i in range(1, 6):
+    for i in range(first, last + 1):
         store.commit(store.latest(), spark.createDataFrame([(1, i, False)], schemas.REPUTATION), active,
                      **edge(batch_id=i, first_block=i, last_block=i, last_op=i))
+
+
+def test_old_snapshots_expire(spark, store):
+    commits(spark, store, 1, 5)
     assert store.expire(keep=3) == 2
+    assert store.versions() == [3, 4, 5]
     assert store.rewind(4).last_block == 3
     assert reputation_rows(store.reputation()) == [(1, 3, False)]
-    assert store.progress().count() == 7
+    assert sorted(r.version for r in store.progress().collect()) == list(range(7))
+
+
+def test_records_do_not_pile_up(spark):
+    """However many commits there were, a few whole records are read; older ones are history, and rewinds do not go there."""
+    store = StateStore(spark, scratch_path(spark, "test-state"), buckets=1, history=3).create()
+    commits(spark, store, 1, 16)
+    assert 3 <= len(store.versions()) <= 6
+    listed = store.progress().orderBy("version").collect()
+    assert [(r.version, r.last_block) for r in listed] == [(i, i) for i in range(17)]
+    assert [r.reputation_in is None for r in listed] == [r.version not in store.versions() for r in listed]
+    with pytest.raises(ValueError, match="no state before"):
+        store.rewind(5)
+    stale = StateStore(spark, store.root, history=3)
+    with pytest.raises(FileExistsError, match="another writer"):
+        stale._record(store.latest().asDict() | {"version": 4})
+    assert store.latest().version == 16 and store.rewind(16).last_block == 15
+    assert reputation_rows(store.reputation()) == [(1, 15, False)]
+
+
+def test_a_rewind_reads_no_state(spark, store):
+    commits(spark, store, 1, 2)
+    store._read = None  # a rewind that looks at rows would fail
+    assert store.rewind(2).last_block == 1

@@ -42,15 +42,25 @@ def next_active_votes(linked: DataFrame) -> DataFrame:
         "author_id", required("voter_id", "int"), "permlink", required("rshares", "long"))
 
 
-def batch_effects(linked: DataFrame) -> DataFrame:
-    """One row: stored votes deleted, votes stored, votes queued for the reputation step."""
+def vote_changes(linked: DataFrame) -> DataFrame:
+    """What the range changes in the stored votes: new and changed votes, and with `gone` those of removed posts."""
+    held = (F.col("kind") == STORED) | F.col("stored_rshares").isNotNull()
+    gone = linked.where(F.col("is_latest") & ~_standing() & held).select(
+        "author_id", "voter_id", "permlink", "rshares", F.lit(True).alias("gone"))
+    return next_active_votes(linked.where(F.col("kind") == VOTE)).withColumn("gone", F.lit(False)).unionByName(gone)
+
+
+def effects() -> list[Column]:
+    """Counts over linked rows: stored votes deleted, votes stored, votes queued for the reputation step."""
     deleted = (F.col("kind") == STORED) & F.col("removed_last").isNotNull()
     stored = (F.col("kind") == VOTE) & F.col("is_latest") & _standing()
-    return linked.agg(
-        F.count_if(deleted).alias("deleted_votes"),
-        F.count_if(stored).alias("upserted_votes"),
-        F.count_if(F.col("kind") == VOTE).alias("queued_votes"),
-    )
+    return [F.count_if(deleted).alias("deleted_votes"), F.count_if(stored).alias("upserted_votes"),
+            F.count_if(F.col("kind") == VOTE).alias("queued_votes")]
+
+
+def batch_effects(linked: DataFrame) -> DataFrame:
+    """One row with the counts of a range."""
+    return linked.agg(*effects())
 
 
 def quarantine(ops: DataFrame) -> tuple[DataFrame, DataFrame]:

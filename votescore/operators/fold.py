@@ -269,10 +269,10 @@ def _changes(line: DataFrame) -> DataFrame:
         "account_id", F.col("delta").cast("long").alias("reputation"), F.col("implicit").alias("is_implicit"))
 
 
-def _waves(votes: DataFrame, slice_votes: int, slices: int | None):
+def _waves(votes: DataFrame, slice_votes: int, slices: int | None, total: int | None = None):
     """Consecutive parts of the votes, each with its slice count. One part unless the log needs more
     than WAVE_SLICES slices; then the parts follow each other."""
-    total = votes.count()
+    total = votes.count() if total is None else total
     if not total:
         return
     parallel = min(votes.sparkSession.sparkContext.defaultParallelism, -(-total // MIN_SLICE_VOTES))
@@ -307,14 +307,15 @@ def _no_state(votes: DataFrame) -> DataFrame:
 
 
 def fold_votes(votes: DataFrame, stored: DataFrame | None = None, slice_votes: int = SLICE_VOTES,
-               slices: int | None = None) -> DataFrame:
-    """Reputation changes of the votes (see `vote_transitions`), applied in operation order.
+               slices: int | None = None, count_of_votes: int | None = None) -> DataFrame:
+    """Reputation changes of the votes (see `vote_transitions`), applied in operation order. They are counted unless
+    their number is given.
 
     Returns (account_id, reputation, is_implicit) of the accounts that were written.
     """
     start = stored if stored is not None else _no_state(votes)
     total = None
-    for part, count in _waves(votes, slice_votes, slices):
+    for part, count in _waves(votes, slice_votes, slices, count_of_votes):
         if total is not None:
             start = cut_lineage(merge_reputation(start, changes))
         laid = _slices(part, count)

@@ -126,7 +126,7 @@ def _link_pieces(rows: DataFrame, hot_rows: int) -> DataFrame:
     )
 
 
-def link(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def link(rows: DataFrame, hot_rows: int = HOT_ROWS, known_rows: int | None = None) -> DataFrame:
     """Adds to every row its previous row in the vote chain and the removals of its post.
 
     back_op, back_rshares   previous stored or cast vote of the same voter on the same post
@@ -134,8 +134,10 @@ def link(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     removed_before          last removal of the post before this row
     removed_last            last removal of the post in the range
     is_latest               no later vote in the chain
+
+    With no more than `hot_rows` rows in all (`known_rows`, if they are counted) there is no hot post to look for.
     """
-    posts = hot_posts(rows, hot_rows)
+    posts = None if known_rows is not None and known_rows <= hot_rows else hot_posts(rows, hot_rows)
     if posts is None:
         return _link_whole(rows)
     hot, rest = split_hot(rows, POST, posts)

@@ -3,17 +3,17 @@
 from collections.abc import Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from votescore.functions.bodies import broken_bodies, normalize_ops, whole_bodies
-from votescore.operators.active import next_active_votes, quarantine
+from votescore.operators.active import effects, next_active_votes, quarantine, vote_changes
 from votescore.operators.fold import SLICE_VOTES, fold_votes, merge_reputation
-from votescore.operators.links import POST, link, link_input, vote_transitions, with_stored
+from votescore.operators.links import POST, VOTE, link, link_input, vote_transitions, with_stored
 from votescore.operators.resolve import resolve_ops
 from votescore.operators.skew import HOT_ROWS
-from votescore.plans.state import REPUTATION, VOTES, StateStore
-from votescore.session import cut_lineage
+from votescore.plans.state import NO_EFFECT, REPUTATION, VOTES, StateStore
+from votescore.session import counted, cut_lineage
 from votescore.sources.oplog import OpTypes, scan_ops
 
 CATCH_UP_BLOCKS = 10_000
@@ -40,8 +40,8 @@ def link_range(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes
                hot_rows: int = HOT_ROWS, bad: str | None = None) -> DataFrame:
     """Linked rows of a range of raw operations. The links are written once and feed both the next active votes and
     the reputation step."""
-    rows = cut_lineage(link_input(resolved_range(ops, accounts, types, bad), active_votes))
-    return cut_lineage(link(rows, hot_rows=hot_rows))
+    rows, figures = counted(link_input(resolved_range(ops, accounts, types, bad), active_votes))
+    return cut_lineage(link(rows, hot_rows, figures["n"]))
 
 
 def process(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes: DataFrame | None = None,
@@ -54,23 +54,22 @@ def process(ops: DataFrame, accounts: DataFrame, types: OpTypes, active_votes: D
     return after, next_active_votes(linked)
 
 
-def _changed_parts(store: StateStore, head: Row, ops: DataFrame, accounts: DataFrame, types: OpTypes,
-                   bad: str | None) -> dict:
-    """What a commit replaces: the rows of the buckets that the operations change. Of the stored votes only those of
-    the posts in the batch are linked, and only buckets with such posts or accounts are read."""
-    rows = cut_lineage(link_input(resolved_range(ops, accounts, types, bad)))
-    vote_buckets = store.touched(rows, VOTES, head)
-    posts, stored = rows.select(*POST).distinct(), store.active_votes(head, vote_buckets)
-    linked = cut_lineage(link(with_stored(rows, stored.join(posts, POST, "left_semi"))))
-    votes = vote_transitions(linked)
+def _buckets(found: list[int] | None) -> list[int]:
+    return sorted(b for b in found or [] if b is not None)
+
 
-    seen = votes.select(F.explode(F.array("author_id", "voter_id")).alias("account_id")).where("account_id is not null")
-    known = store.reputation(head, store.touched(seen, REPUTATION, head))
-    changes = cut_lineage(fold_votes(votes, known))
-    changed = store.touched(changes, REPUTATION, head)
-    return dict(
-        reputation=merge_reputation(store.reputation(head, changed), changes), reputation_buckets=changed,
-        active_votes=next_active_votes(linked).unionByName(stored.join(posts, POST, "left_anti")), vote_buckets=vote_buckets)
+def _changed_parts(store: StateStore, head: Row, rows: DataFrame, vote_buckets: list[int]) -> dict:
+    """What a commit appends, and the counts of its effect. Of the stored votes only those of the posts in the batch
+    are linked, and only buckets with such posts or accounts are read. All figures come with the rows themselves."""
+    posts, stored = rows.select(*POST).distinct(), store.active_votes(head, vote_buckets)
+    joined, figures = counted(with_stored(rows, stored.join(posts, POST, "left_semi")))
+    account = lambda c: F.when(F.col("kind") == VOTE, store.bucket_of(REPUTATION, head, c))
+    linked, seen = counted(link(joined, known_rows=figures["n"]), *effects(),
+                            F.collect_set(account("author_id")).alias("authors"), F.collect_set(account("voter_id")).alias("voters"))
+    known = store.reputation(head, _buckets([*(seen["authors"] or []), *(seen["voters"] or [])]))
+    changes = fold_votes(vote_transitions(linked), known, count_of_votes=seen["queued_votes"])
+    return dict(reputation=changes.withColumn("gone", F.lit(False)), active_votes=vote_changes(linked),
+                effect={name: seen[name] for name in NO_EFFECT})
 
 
 def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTypes, source: str,
@@ -85,19 +84,22 @@ def process_batch(store: StateStore, ops: DataFrame, accounts: DataFrame, types:
     if batch_id <= head.batches.get(source, -1):
         return False
     started = datetime.now()
-    batch = scan_ops(ops, types, first_block, last_block)
-    edge = batch.agg(F.min("source_op").alias("first_op"), F.max("source_op").alias("last_op"),
-                     F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block")).first()
-    if edge.last_op is None and last_block is None:
+    metrics = [F.min("source_op").alias("first_op"), F.max("source_op").alias("last_op"),
+               F.min("block_num").alias("first_block"), F.max("block_num").alias("last_block")]
+    batch, edges = scan_ops(ops, types, first_block, last_block), Observation()
+    resolved = resolved_range(batch.observe(edges, *metrics), accounts, types, bad and f"{bad.rstrip('/')}/v={head.version + 1}")
+    rows, figures = counted(link_input(resolved), F.collect_set(store.bucket_of(VOTES, head)).alias("buckets"))
+    # The planner drops a batch that it knows to be empty, and what was to be observed of it.
+    edge = edges.get if figures["n"] else batch.agg(*metrics).first().asDict()
+    if edge["last_op"] is None and last_block is None:
         return False
-    if edge.first_op is not None and edge.first_op <= head.last_op:
-        raise ValueError(f"operation {edge.first_op} is not after the committed operation {head.last_op}")
-    parts = _changed_parts(store, head, batch, accounts, types, bad and f"{bad.rstrip('/')}/v={head.version + 1}")
-    store.commit(
-        head, **parts, source=source, batch_id=batch_id, started_at=started,
-        last_op=edge.last_op or head.last_op,
-        first_block=first_block if first_block is not None else edge.first_block,
-        last_block=last_block if last_block is not None else edge.last_block)
+    if edge["first_op"] is not None and edge["first_op"] <= head.last_op:
+        raise ValueError(f"operation {edge['first_op']} is not after the committed operation {head.last_op}")
+    store.append(
+        head, **_changed_parts(store, head, rows, _buckets(figures["buckets"])), source=source, batch_id=batch_id, started_at=started,
+        last_op=edge["last_op"] or head.last_op,
+        first_block=first_block if first_block is not None else edge["first_block"],
+        last_block=last_block if last_block is not None else edge["last_block"])
     return True
 
 

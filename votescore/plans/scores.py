@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from votescore.functions.score import score
 from votescore.operators.resolve import missing_account
+from votescore.plans.state import REPUTATION, StateStore
+from votescore.session import counted
 
 
 def scores(reputation: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -32,3 +34,13 @@ def account_score(names: DataFrame, reputation: DataFrame, accounts: DataFrame)
         F.when(F.col("id").isNull(), missing_account(F.coalesce("name", F.lit("<NULL>"))).cast("int"))
         .otherwise(score(F.col("reputation"))).alias("score"),
     )
+
+
+def committed_score(store: StateStore, names: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Scores of the given names in a committed state. The buckets of their accounts are computed first, and only their
+    files are read: for one name one bucket."""
+    head, wanted = store.latest(), names.select("name").distinct()
+    known, seen = counted(
+        wanted.join(accounts.select("name", "id"), "name", "left").where("id is not null"),
+        F.collect_set(store.bucket_of(REPUTATION, head, "id")).alias("buckets"))
+    return account_score(wanted, store.reputation(head, sorted(seen["buckets"])), known)

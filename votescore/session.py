@@ -5,7 +5,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(rows: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """The rows, checkpointed, with their number `n` and other aggregates, which are taken on the way."""
+    taken = Observation()
+    kept = cut_lineage(rows.observe(taken, F.count(F.lit(1)).alias("n"), *metrics))
+    return kept, taken.get
+
+
 @contextmanager
 def kept_partitions(spark: SparkSession) -> Iterator[None]:
     """Frames checkpointed inside keep the partitioning they were given, so that later steps need no shuffle. Adaptive

@@ -37,7 +37,8 @@ _NAME = r"[\p{Lu}\p{Lo}<\[{][^ \t\r\n]*"
 #: name of up to five words that begin with capitals; or the reservation of all rights, alone. In doubt a line is text, so no
 #: terms are lost, and it does not matter where a text is wrapped.
 COPYRIGHT_LINE = (
-    r"(^|\n)[^\p{L}\p{N}\n©(]*(?![^\n]*(?<![\p{L}\p{N}])(?i:" + _TERMS + r")(?![\p{L}\p{N}]))(?:"
+    r"(^|\n)[^\p{L}\p{N}\n©(]*(?=[cC©(aA])(?=" + _MARK + r"|(?i:all rights))"
+    r"(?![^\n]*(?<![\p{L}\p{N}])(?i:" + _TERMS + r")(?![\p{L}\p{N}]))(?:"
     + _MARKS + r"[ \t:,.]*" + _YEARS + r"(?:[ \t,.]+[^ \t\r\n]+){0,10}"
     + "|" + _MARKS + r"(?![ \t:]+(?i:" + _IN_SENTENCES + r")(?![\p{L}\p{N}]))(?:[ \t:]+(?i:by|the))?[ \t:]+" + _NAME
     + r"(?:[ \t]+(?:(?i:and|of|the|de|von|et|al\.|&)|" + _NAME + r")){0,4}(?:[ \t]+(?i:all rights reserved)[.!]?)?"

@@ -8,7 +8,7 @@ from tests.helpers import accounts_frame, ops_frame, sorted_rows
 from tests.model import random_log, raw_ops
 from votescore import schemas
 from votescore.fixtures import NAMES, TYPES
-from votescore.functions.bodies import normalize_ops, parse_removals, parse_votes
+from votescore.functions.bodies import broken_bodies, normalize_ops, parse_removals, parse_votes, whole_bodies
 from votescore.operators.compare import diff_detail, expected_diff
 from votescore.operators.dictionary import batch_dictionary, encode, extend_dictionary
 from votescore.operators.resolve import resolve_accounts, resolve_ops
@@ -83,7 +83,7 @@ def test_body_is_parsed_once(spark):
     parsed = normalize_ops(bodies(spark, (72, {"author": "a"})), 72)
     joined = resolve_ops(parsed, accounts_frame(spark, range(3)))
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("from_json") == 1, plan
+    assert plan.count("parseJson(") == 1, plan
 
 
 @pytest.mark.parametrize("limits", [{}, {"strategy": "merge"}, {"strategy": "broadcast"}])
@@ -166,3 +166,34 @@ def test_status(spark):
     assert not healthy(31, 64)
     assert healthy(30, 64)
     assert not healthy(31, 10, began=start + timedelta(seconds=5))
+
+
+#: Bodies that are no single JSON object, and what the strict ones hold: author and weight.
+BROKEN = ['{"author":"a","rshares":5} trailing', '{"author":"a"}{"author":"b"}', '{"author":"a"},{"author":"b"}', "{'author':'a'}",
+          '{"author":"a"}] x', '{"author":"a"},7] x', '{"author":"a",}', '{"author":"a","rshares":01}', '{"author":"a" /* c */}',
+          "", " ", None, "[1]", "5", "null", '"text"', '{"author":"a"', '{"author":"a","rshares":NaN}']
+STRICT = [('{"author":"a","rshares":5}', "a", 5), (' \n{"author":"a","rshares":"-12"}\t ', "a", -12), ('{"author":"a","rshares":1e3}', "a", 1000),
+          ('{"author":"a","rshares":-9223372036854775808}', "a", -(2**63)), ('{"author":"a\\u00e9","rshares":null}', "aé", None),
+          ('{"author":5}', "5", None), ('{}', None, None), ('{"author":"]}","rshares":7, "x":[{"author":"b"}]}', "]}", 7)]
+BAD_WEIGHTS = ["1.5", '"1e3"', "true", "1e19", "123456789012345678e1", "99999999999999999999", '"many"', "[1]"]
+
+
+def test_strict_bodies(spark):
+    frame = ops_frame(spark, [(i + 1, 1, 72, body) for i, body in enumerate(BROKEN)])
+    assert {r.source_op for r in broken_bodies(frame).collect()} == set(range(1, len(BROKEN) + 1))
+    assert whole_bodies(frame).count() == 0
+    for op in frame.where("source_op in (1, 2, 4)").collect():
+        with pytest.raises(Exception, match="does not parse"):
+            parse_votes(ops_frame(spark, [tuple(op)])).collect()
+    strict = ops_frame(spark, [(i, 1, 72, body) for i, (body, _, _) in enumerate(STRICT)])
+    assert broken_bodies(strict).count() == 0
+    found = {r.source_op: (r.author, r.rshares) for r in parse_votes(strict).collect()}
+    assert found == {i: (author, weight) for i, (_, author, weight) in enumerate(STRICT)}
+
+
+@pytest.mark.parametrize("weight", BAD_WEIGHTS)
+def test_weights_that_are_no_whole_number(spark, weight):
+    frame = ops_frame(spark, [(1, 1, 72, '{"author":"a","voter":"b","permlink":"p","rshares":%s}' % weight)])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        parse_votes(frame).collect()
+    assert [r.rshares for r in normalize_ops(frame, 72, bad_weights=True).collect()] == [None]

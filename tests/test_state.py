@@ -10,8 +10,9 @@ from tests.model import Model, random_log, raw_ops
 from votescore import schemas
 from votescore.fixtures import TYPES
 from votescore.operators.active import batch_effects
+from votescore.operators.compare import diff_by_digests, expected_diff
 from votescore.plans.ranges import catch_up, link_range, process, process_batch
-from votescore.plans.scores import committed_score, scores
+from votescore.plans.scores import committed_diff, committed_score, scores
 from votescore.plans.state import REPUTATION, VOTES, StateStore
 from votescore.session import scratch_path
 from votescore.streaming import live
@@ -320,3 +321,29 @@ def test_a_rewind_reads_no_state(spark, store):
     commits(spark, store, 1, 2)
     store._read = None  # a rewind that looks at rows would fail
     assert store.rewind(2).last_block == 1
+
+
+def test_one_changed_account_reads_one_bucket(spark):
+    store = StateStore(spark, scratch_path(spark, "test-state"), buckets=16).create()
+    rows = [(i, 10 * i, False) for i in range(300)]
+    state_rows = spark.createDataFrame(rows, schemas.REPUTATION)
+    store.commit(store.latest(), state_rows, spark.createDataFrame([], schemas.ACTIVE_VOTES), **edge())
+    expected_rows = state_rows.selectExpr("account_id", "if(account_id = 7, 1, reputation) as reputation")
+    found = committed_diff(store, expected_rows)
+    assert len([f for f in found.inputFiles() if REPUTATION in f]) == 1
+    assert [r.account_id for r in found.collect()] == [7]
+    assert committed_diff(store, state_rows).collect() == []
+    missing = expected_rows.where("account_id <> 9").unionByName(spark.createDataFrame([(999, 1)], "account_id int, reputation long"))
+    assert [r.account_id for r in committed_diff(store, missing).collect()] == [7]
+    assert sorted(r.account_id for r in committed_diff(store, missing, strict=True).collect()) == [7, 9, 999]
+
+
+def test_diff_by_digests_equals_the_join(spark):
+    rng = random.Random(3)
+    left = [(i, rng.randrange(5)) for i in range(200) if rng.random() < 0.9]
+    right = [(i, v if rng.random() < 0.95 else v + 1) for i, v in left if rng.random() < 0.97] + [(500, None)]
+    a, b = (spark.createDataFrame(x, "account_id int, reputation long") for x in (left, right))
+    for strict in (False, True):
+        want = sorted(r.account_id for r in expected_diff(a, b, strict).collect())
+        assert sorted(r.account_id for r in diff_by_digests(a, b, strict, buckets=32).collect()) == want and want
+    assert diff_by_digests(a, a.repartition(3), strict=True).collect() == []

@@ -1,18 +1,44 @@
 """JSON operation bodies to the common (author, voter, permlink, rshares) shape."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# As text, because the weight may be a JSON number or a JSON string.
-_FIELDS = "author string, voter string, permlink string, rshares string, _corrupt string"
+#: Doubles below this are exact whole numbers.
+_EXACT = 2**53
+
+
+def _text(value: Column, field: str) -> Column:
+    return F.try_variant_get(value, f"$[0].{field}", "string")
+
+
+def _weight(value: Column) -> Column:
+    """The weight as text; a number with an exponent as the whole number it is, where a double holds it exactly."""
+    path = "$[0].rshares"
+    number = F.try_variant_get(value, path, "double")
+    exact = (F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "DOUBLE") & (F.abs(number) < _EXACT) & (number % 1 == 0)
+    return F.when(exact, number.cast("long").cast("string")).otherwise(_text(value, "rshares"))
 
 
 def _parsed(ops: DataFrame, *columns) -> DataFrame:
-    """The given columns, the body fields and `broken`, which says that the body is no JSON object. The generator keeps
-    later filters and joins on the fields from being pushed below it, so every body is parsed exactly once."""
-    body = F.from_json("body_value", _FIELDS, {"columnNameOfCorruptRecord": "_corrupt"})
-    return ops.select(*columns, F.coalesce(F.trim("body_value") == "", F.lit(True)).alias("_empty"), F.inline(F.array(body))).withColumn(
-        "broken", F.col("_empty") | F.col("_corrupt").isNotNull()).drop("_empty", "_corrupt")
+    """The given columns, the body fields as text (the weight may be a JSON number or a JSON string) and `broken`, which
+    says that the body is not one JSON object and nothing else.
+
+    The parser stops behind the first value. So the body becomes the first of two values of an array, of which the second is
+    a number that no text can foresee in itself: a body with more behind its object, or with several, loses the array or
+    its second value. The generator keeps later filters and joins on the fields from being pushed below it, so every body is
+    parsed exactly once.
+    """
+    mark = F.xxhash64("body_value")
+    array = F.try_parse_json(F.concat(F.lit("["), F.col("body_value"), F.lit(","), mark.cast("string"), F.lit("]")))
+
+    def fields(value: Column) -> Column:
+        alone = (F.try_variant_get(value, "$[1]", "long") == mark) & F.try_variant_get(value, "$[2]", "variant").isNull()
+        whole = alone & F.ltrim(F.translate("body_value", "\n\r\t", "   ")).startswith("{")
+        return F.struct(
+            _text(value, "author").alias("author"), _text(value, "voter").alias("voter"), _text(value, "permlink").alias("permlink"),
+            _weight(value).alias("rshares"), (~F.coalesce(whole, F.lit(False))).alias("broken"))
+
+    return ops.select(*columns, F.inline(F.transform(F.array(array), fields)))
 
 
 def _whole(parsed: DataFrame) -> DataFrame:

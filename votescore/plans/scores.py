@@ -1,9 +1,10 @@
-"""Scores of accounts."""
+"""Scores of accounts, and a committed state against expected values."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from votescore.functions.score import score
+from votescore.operators.compare import differing_buckets, expected_diff
 from votescore.operators.resolve import missing_account
 from votescore.plans.state import REPUTATION, StateStore
 from votescore.session import counted
@@ -44,3 +45,11 @@ def committed_score(store: StateStore, names: DataFrame, accounts: DataFrame) ->
         wanted.join(accounts.select("name", "id"), "name", "left").where("id is not null"),
         F.collect_set(store.bucket_of(REPUTATION, head, "id")).alias("buckets"))
     return account_score(wanted, store.reputation(head, sorted(seen["buckets"])), known)
+
+
+def committed_diff(store: StateStore, expected: DataFrame, strict: bool = False) -> DataFrame:
+    """Accounts whose expected value differs from a committed state; rows are read of buckets whose digests differ."""
+    head = store.latest()
+    bucket = store.bucket_of(REPUTATION, head)
+    found = differing_buckets(expected, store.reputation(head), bucket)
+    return expected_diff(expected.where(bucket.isin(found)), store.reputation(head, found), strict)

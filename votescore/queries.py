@@ -11,13 +11,13 @@ from votescore.fixtures import NAMES, TYPES, table
 from votescore.functions.bodies import normalize_ops, parse_removals, parse_votes
 from votescore.functions.score import THRESHOLDS, scaled, score
 from votescore.operators import active, links
-from votescore.operators.compare import diff_detail, expected_diff
+from votescore.operators.compare import diff_by_digests, diff_detail, expected_diff
 from votescore.operators.dictionary import batch_dictionary, encode, extend_dictionary
 from votescore.operators.fixpoint import fold_in_windows, gates_in_windows
 from votescore.operators.fold import fold_votes, merge_reputation, vote_gates
 from votescore.operators.resolve import account_ids, names_in, resolve_accounts, resolve_ops, unknown_names
 from votescore.plans.ranges import catch_up, link_range, process, process_batch
-from votescore.plans.scores import account_score, scores
+from votescore.plans.scores import account_score, committed_diff, committed_score, scores
 from votescore.plans.state import StateStore
 from votescore.plans.status import last_block, sync_status, sync_throughput
 from votescore.session import cut_lineage, scratch_path
@@ -342,6 +342,12 @@ def account_scores(spark, sf_dir):
     return account_score(names, raw_standing(spark, sf_dir), fixtures.dense_accounts(spark, sf_dir))
 
 
+def committed_scores(spark, sf_dir):
+    """Scores of the authors in the log, from the buckets of a committed state that hold them."""
+    names = _dense_parsed(spark, sf_dir).select(F.col("author").alias("name"))
+    return committed_score(_in_two_ranges(spark, sf_dir), names, fixtures.dense_accounts(spark, sf_dir))
+
+
 def score_thresholds(spark, sf_dir):
     """Values at a threshold and one beside it, of both signs, zeros and NULLs: one per order."""
     key = F.col("o_orderkey")
@@ -390,6 +396,19 @@ def differing_accounts_strict(spark, sf_dir):
     return expected_diff(*_expected_and_current(spark, sf_dir), strict=True)
 
 
+def differing_accounts_by_digests(spark, sf_dir):
+    """The same accounts; rows are joined of buckets that differ only."""
+    return diff_by_digests(*_expected_and_current(spark, sf_dir), strict=True)
+
+
+def committed_differences(spark, sf_dir):
+    """A committed state of the log against the state of the log without its last tenth."""
+    ops, accounts = fixtures.dense_ops(spark, sf_dir), fixtures.dense_accounts(spark, sf_dir)
+    top = ops.agg(F.max("block_num").alias("block")).first().block
+    part = oplog.scan_ops(ops, TYPES, last_block=top - top // 10)
+    return committed_diff(_in_two_ranges(spark, sf_dir), process(part, accounts, TYPES)[0])
+
+
 def differing_details(spark, sf_dir):
     expected, current = _expected_and_current(spark, sf_dir)
     return diff_detail(expected, current, expected_diff(expected, current, strict=True))
@@ -485,7 +504,8 @@ def committed_ranges(spark, sf_dir):
     store = StateStore(spark, scratch_path(spark, "state")).create()
     top = ops.agg(F.max("block_num").alias("block")).first().block
     catch_up(store, ops, fixtures.dense_accounts(spark, sf_dir), TYPES, step=-(-top // 4))
-    return store.progress().where("version > 0").select("version", "first_block", "last_block", "last_op")
+    return store.progress().where("version > 0").select(
+        "version", "first_block", "last_block", "last_op", "deleted_votes", "upserted_votes", "queued_votes")
 
 
 def stored_accounts(spark, sf_dir):
@@ -575,6 +595,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "expected_diff": differing_accounts,
     "expected_diff_strict": differing_accounts_strict,
     "diff_detail": differing_details,
+    "expected_diff_digests": differing_accounts_by_digests,
+    "committed_diff": committed_differences,
+    "committed_account_score": committed_scores,
     "last_block": last_synced_block,
     "sync_throughput": throughput,
     "sync_status": status,

@@ -293,11 +293,33 @@ ORACLES: dict[str, str] = {
     "resumed_standing": _STANDING_ROWS,
     "block_limited_standing": _FIRST_HALF_STANDING + " SELECT * FROM standing",
     "committed_ranges": f"""WITH {_DENSE}, top AS (SELECT max(block_num) AS block FROM ops), step AS (
-          SELECT CAST((block + 3) // 4 AS INTEGER) AS n, block FROM top), r AS (SELECT unnest(range(1, 5)) AS v)
+          SELECT CAST((block + 3) // 4 AS INTEGER) AS n, block FROM top), r AS (SELECT unnest(range(1, 5)) AS v),
+        x AS (SELECT ops.*, (block_num - 1) // n + 1 AS v FROM ops, step),
+        seen AS (SELECT *, lead(v) OVER (PARTITION BY author_id, voter_id, permlink ORDER BY source_op) AS next_v,
+            (SELECT min(d.v) FROM x d WHERE NOT d.is_vote AND d.author_id = l.author_id AND d.permlink = l.permlink
+              AND d.source_op > l.source_op) AS removed_v FROM x l WHERE is_vote),
+        deleted AS (SELECT removed_v AS v, count(*) AS k FROM seen WHERE v < removed_v AND (next_v IS NULL OR next_v >= removed_v)
+          GROUP BY 1),
+        stored AS (SELECT v, count(*) AS k FROM seen WHERE (next_v IS NULL OR next_v > v) AND (removed_v IS NULL OR removed_v > v)
+          GROUP BY 1)
         SELECT v AS version, CAST((v - 1) * n + 1 AS INTEGER) AS first_block,
           CAST(least(v * n, block) AS INTEGER) AS last_block,
-          (SELECT max(source_op) FROM ops WHERE block_num <= v * n) AS last_op
+          (SELECT max(source_op) FROM ops WHERE block_num <= v * n) AS last_op,
+          coalesce((SELECT k FROM deleted WHERE deleted.v = r.v), 0) AS deleted_votes,
+          coalesce((SELECT k FROM stored WHERE stored.v = r.v), 0) AS upserted_votes,
+          (SELECT count(*) FROM x WHERE is_vote AND x.v = r.v) AS queued_votes
         FROM r, step""",
+    "expected_diff_digests": f"WITH {_DUMPS} {_STRICT_DIFF}",
+    "committed_diff": f"""{_STANDING}, edge AS (
+          SELECT max(source_op) AS op FROM ops WHERE block_num <= (SELECT max(block_num) - max(block_num) // 10 FROM ops)),
+        cut AS (SELECT max(step) AS step FROM folded, edge WHERE source_op <= op),
+        early AS (SELECT DISTINCT a FROM folded, cut WHERE folded.step BETWEEN 1 AND cut.step AND (undone OR applied))
+        SELECT CAST(a - 1 AS INTEGER) AS account_id FROM early,
+          (SELECT rep AS r0 FROM folded, cut WHERE folded.step = cut.step), (SELECT rep AS r1 FROM folded ORDER BY step DESC LIMIT 1)
+        WHERE r0[a] <> r1[a]""",
+    "committed_account_score": f"""{_STANDING}
+        SELECT 'acct-' || a.id AS name, {_SCORE.format(r="s.reputation")} AS score
+        FROM (SELECT DISTINCT author_id AS id FROM ops) a LEFT JOIN standing s ON s.account_id = a.id""",
     "stored_accounts": "SELECT CAST(c_custkey AS INTEGER) AS id, 'acct-' || c_custkey AS name FROM customer WHERE c_acctbal >= 0",
     "block_window_scan": f"""WITH {_WIDE}, top AS (SELECT max(block_num) AS block FROM ops)
         SELECT source_op, block_num, CAST(op_type_id AS SMALLINT) AS op_type_id FROM ops, top

@@ -5,7 +5,7 @@ spell in several ways, punctuation and white space as single blanks. Its SHA-256
 licence texts and notices. A document is looked up as a whole, by its blocks (between blank lines) and by its lines, so
 a notice on a line of its own is found as well as a file that is nothing but a licence.
 
-The known digests are a table of a few dozen rows, given by the caller, and are broadcast; texts stay where they are
+The known digests are a table given by the caller; the planner broadcasts it by its size, and then texts stay where they are
 read, and one narrow row per document is shuffled for the result.
 
 NULL and empty texts and lines without a word match nothing. Repeated rows are found alike, each with a row of its own
@@ -15,7 +15,7 @@ in the result. Several known names for one digest are all reported. An empty tab
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votescore.llm.common import let
+from votescore.llm.common import let, written
 from votescore.llm.known_licenses import NOTICES, SPELLINGS, TEXTS
 
 #: Words of terms and of sentences. A line with one of them is text, whatever else it says.
@@ -64,7 +64,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     pairs = list(TEXTS.items()) + list(NOTICES.items()) if known is None else known
     rows = [(name, text) for name, texts in pairs for text in ([texts] if isinstance(texts, str) else texts)]
     frame = spark.createDataFrame(rows, "license string, text string")
-    return frame.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").distinct()
+    # Written, so that the planner knows its size.
+    return written(frame.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").distinct(), "known-digests")
 
 
 def _units(text: Column) -> Column:
@@ -83,7 +84,7 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
                        F.monotonically_increasing_id().alias("row"))
     units = rows.select("doc_id", "row", F.explode(_units(F.col("text"))).alias("u"))
     looked = units.select("doc_id", "row", "u.kind", digest(F.col("u.text")).alias("digest")).join(
-        F.broadcast(known), "digest", "left")
+        known, "digest", "left")
     hit = F.col("license").isNotNull()
     names = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("license")))), ",")
     return looked.groupBy("row", "doc_id").agg(

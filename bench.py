@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from votescore import fixtures
 from votescore.fixtures import TYPES
 from votescore.plans.ranges import process_batch
-from votescore.plans.scores import account_score
+from votescore.plans.scores import committed_score
 from votescore.plans.state import StateStore
 from votescore.queries import QUERIES
 from votescore.session import scratch_path
@@ -41,7 +41,7 @@ def read_path(spark: SparkSession, tables: str) -> dict[str, float]:
     lookups = []
     for i in range(20):
         started = time.perf_counter()
-        account_score(spark.createDataFrame([(f"acct-{7 * i + 1}",)], "name string"), store.reputation(), accounts).collect()
+        committed_score(store, spark.createDataFrame([(f"acct-{7 * i + 1}",)], "name string"), accounts).collect()
         lookups.append(time.perf_counter() - started)
     started = time.perf_counter()
     process_batch(store, ops, accounts, TYPES, "bench", 1, top, top)

@@ -6,8 +6,3 @@ from pyspark.sql import functions as F
 
 def micros_between(start: Column, end: Column) -> Column:
     return F.unix_micros(end) - F.unix_micros(start)
-
-
-def seconds_between(start: Column, end: Column) -> Column:
-    """Elapsed seconds, fractions kept."""
-    return micros_between(start, end) / F.lit(1e6)

@@ -113,8 +113,7 @@ def test_op9(spark, sf_dir, texts):
 
 
 def test_op10(spark, sf_dir, texts):
-    """Scores by walking the trees one document and one node at a time. (How good they are on rows held out is tested on a
-    larger table, in test_classifier.)"""
+    """Scores by walking the trees one document and one node at a time. (How good they are is tested in test_classifier.)"""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = classifier.train(docs, labels)
 

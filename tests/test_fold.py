@@ -7,6 +7,7 @@ from tests.helpers import VOTES, reputation_rows, sorted_rows
 from tests.model import Model, random_log
 from votescore.operators import fold
 from votescore.operators.fold import fold_votes, merge_reputation, vote_gates
+from votescore.operators.waves import in_waves
 
 
 def votes_frame(spark, model):
@@ -51,6 +52,17 @@ def test_waves_follow_each_other(spark, monkeypatch):
     assert gates == model.gates
 
 
+def test_a_wave_reads_its_own_votes(spark):
+    votes = votes_frame(spark, Model().run(random_log(32, size=300)))
+    parts = [part for part, count in in_waves(votes, 9, 3) if count == 3]
+    ops = [sorted(r.source_op for r in part.select("source_op").collect()) for part in parts]
+    assert len(parts) == 3 and all(ops) and all(a[-1] < b[0] for a, b in zip(ops, ops[1:]))
+    assert sum(ops, []) == sorted(r.source_op for r in votes.collect())
+    # Files that the plan lists after pruning: those of one folder for each wave.
+    scans = [re.search(r"PartitionFilters: \[(.*?)\]", p._jdf.queryExecution().executedPlan().toString()).group(1) for p in parts]
+    assert all(f"= {k})" in scan for k, scan in enumerate(scans)), scans
+
+
 @pytest.mark.parametrize("slices", [4])
 def test_gates_per_vote(spark, slices):
     model = Model().run(random_log(41))

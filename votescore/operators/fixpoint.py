@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from votescore.functions.score import scaled
 from votescore.operators.asof import as_of
 from votescore.operators.fold import _TRACED, _no_state, merge_reputation
+from votescore.operators.waves import in_waves
 from votescore.session import cut_lineage, kept_partitions
 
 # Votes that one task sorts, and the least for which a task is worth its start.
@@ -141,20 +142,7 @@ def _waves(votes: DataFrame, piece_votes: int, pieces: int | None):
         return
     cores = votes.sparkSession.sparkContext.defaultParallelism
     wanted = pieces or max(min(cores, -(-total // LEAST_VOTES)), -(-total // piece_votes))
-    parts = -(-wanted // WAVE_PIECES)
-    if parts == 1:
-        yield votes, min(wanted, total)
-        return
-    shares = [i / parts for i in range(1, parts)]
-    points = votes.agg(F.percentile_approx("source_op", shares, 100 * parts).alias("at")).first()["at"]
-    edges = [None, *sorted(set(points)), None]
-    for low, high in zip(edges, edges[1:]):
-        part = votes
-        if low is not None:
-            part = part.where(F.col("source_op") > low)
-        if high is not None:
-            part = part.where(F.col("source_op") <= high)
-        yield part, WAVE_PIECES
+    yield from in_waves(votes, min(wanted, total), WAVE_PIECES)
 
 
 def _changes(rows: DataFrame, stored: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votescore.functions.score import scaled
+from votescore.operators.waves import in_waves
 from votescore.session import cut_lineage
 
 # Votes folded by one task. A round costs about as much as folding a hundred thousand votes, so slices
@@ -277,20 +278,7 @@ def _waves(votes: DataFrame, slice_votes: int, slices: int | None, total: int |
         return
     parallel = min(votes.sparkSession.sparkContext.defaultParallelism, -(-total // MIN_SLICE_VOTES))
     wanted = slices or max(parallel, -(-total // slice_votes))
-    parts = -(-wanted // WAVE_SLICES)
-    if parts == 1:
-        yield votes, min(wanted, total)
-        return
-    shares = [i / parts for i in range(1, parts)]
-    points = votes.agg(F.percentile_approx("source_op", shares, 100 * parts).alias("at")).first()["at"]
-    edges = [None, *sorted(set(points)), None]
-    for low, high in zip(edges, edges[1:]):
-        part = votes
-        if low is not None:
-            part = part.where(F.col("source_op") > low)
-        if high is not None:
-            part = part.where(F.col("source_op") <= high)
-        yield part, WAVE_SLICES
+    yield from in_waves(votes, min(wanted, total), WAVE_SLICES)
 
 
 def merge_reputation(stored: DataFrame, changes: DataFrame) -> DataFrame:

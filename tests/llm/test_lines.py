@@ -1,9 +1,12 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.corpora import WORD, edited_lines
+from votescore.llm import line_dedup
 from votescore.llm.line_dedup import MIN_CHARS, remove_repeated_lines, repeated_lines, variant_hashes
 
 
@@ -47,6 +50,25 @@ def test_equals_comparing_all_lines(spark, seed):
     assert {r.doc_id: r.text for r in remove_repeated_lines(docs).collect()} == {d: t for d, (_, _, t) in want.items()}
 
 
+def test_lines_with_equal_first_hash_are_not_equal(spark, monkeypatch):
+    """Every line of a length has the same id; the second hash keeps them apart."""
+    monkeypatch.setattr(line_dedup, "_id", lambda line: F.char_length(line).cast("long"))
+    rows = edited_lines(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in remove_repeated_lines(docs).collect()} == {d: t for d, (_, _, t) in model(rows).items()}
+
+
+def test_long_line_leaves_in_parts(monkeypatch):
+    monkeypatch.setattr(line_dedup, "EMITTED", 7)
+    lines = ["abcdefghijklmnopqrst", "", "xyz" * 9]
+    rows = pa.RecordBatch.from_pydict({"place": [{"line_no": i} for i in range(3)], "line": lines})
+    parts = list(line_dedup._neighbourhood(iter([rows])))
+    assert max(p.num_rows for p in parts) == 7
+    got = [r for p in parts for r in p.to_pylist()]
+    assert got == [{"variant": h, "gap": g - 1, "place": {"line_no": i}}
+                   for i, x in enumerate(lines) for g, h in enumerate(variant_hashes(x).tolist())]
+
+
 def test_variants_are_hashes_of_the_shorter_lines():
     line = "héllo wörld 😀 aab"
     hashes = variant_hashes(line)

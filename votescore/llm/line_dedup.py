@@ -6,7 +6,7 @@ Lines without a word stay and count for nothing; lines under `min_chars` charact
 because one edit makes another word of a short one. A line that goes still counts as an earlier line for others, so
 the result does not depend on the order of work.
 
-1. Equal lines are one row from the start (the earliest place and a hash of the line).
+1. Equal lines are one row from the start (the earliest place and 128 bits of hash of the line).
 2. A line has as many variants as characters, so lines that cannot have a partner are set aside first: after one
    edit, two lines share their first or their last half (by the shorter length), and so on within the other half.
    Lines that share no such three quarters with another line end here. This filter loses nothing.
@@ -43,11 +43,21 @@ DEPTH = 2
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _id(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def _check(line: Column) -> Column:
+    return F.xxhash64(F.lit("check"), line)
+
+
 def _lines(keyed: DataFrame) -> DataFrame:
-    """place, id, line of every line with a word. Places order the corpus; NULL ids come first."""
+    """place, id, check, line of every line with a word. Places order the corpus; NULL ids come first. Two hashes of 64
+    bits, id and check, are the line: among 10^12 lines the first alone is the same for some 27 000 pairs."""
     split = keyed.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "line_no").alias("place")
-    return split.where(F.col("line").rlike(_WORD)).select(place, F.xxhash64("line").alias("id"), "line")
+    return split.where(F.col("line").rlike(_WORD)).select(
+        place, _id(F.col("line")).alias("id"), _check(F.col("line")).alias("check"), "line")
 
 
 def _shared_parts(line: Column, depth: int) -> Column:
@@ -101,6 +111,8 @@ def _with_partner(lines: DataFrame) -> DataFrame:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: `gap` of the line itself.
 WHOLE = -1
+#: Rows of a neighbourhood in one batch.
+EMITTED = 1 << 18
 
 
 def variant_hashes(line: str) -> np.ndarray:
@@ -119,29 +131,40 @@ def variant_hashes(line: str) -> np.ndarray:
 
 
 def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deletion neighbourhood of each line; `gap` is the place of the deleted character."""
+    """Deletion neighbourhood of each line; `gap` is the place of the deleted character. A long line's rows leave in
+    batches of `EMITTED`."""
     for batch in sliced(batches, "line", 1 << 18):
         found = [variant_hashes(line) for line in batch["line"].to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        gaps = np.concatenate([np.arange(WHOLE, n - 1, dtype=np.int32) for n in sizes])
-        rows = pa.array(np.repeat(np.arange(len(found)), sizes))
-        yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(gaps),
-                               batch["id"].take(rows), batch["place"].take(rows)], names=["variant", "gap", "id", "place"])
+        ends = np.cumsum([len(hashes) for hashes in found])
+        hashes = np.concatenate(found)
+        del found
+        for at in range(0, len(hashes), EMITTED):
+            row = np.arange(at, min(at + EMITTED, len(hashes)))
+            line = np.searchsorted(ends, row, side="right")
+            begin = np.concatenate(([0], ends[:-1]))[line]
+            own = pa.array(line)
+            yield pa.record_batch(
+                [pa.array(hashes[row]), pa.array((row - begin + WHOLE).astype(np.int32)), batch["place"].take(own)],
+                names=["variant", "gap", "place"])
 
 
 def _witnessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and witness for each row whose line has an earlier one by this variant. Rows sorted by variant and place."""
+    """place and witness for each row whose line has an earlier one by this variant. Rows sorted by variant and place."""
 
     def of(rows: pa.Table) -> pa.RecordBatch:
-        variant, id_ = rows["variant"].to_numpy(), rows["id"].to_numpy()
+        variant, place = rows["variant"].to_numpy(), rows["place"].combine_chunks()
         new = np.concatenate(([True], variant[1:] != variant[:-1]))
-        other = ~new & np.concatenate(([False], id_[1:] != id_[:-1]))
+        other = np.zeros(len(variant), bool)
+        for name in ("doc_id", "key", "line_no"):
+            part = place.field(name).fill_null(0).to_numpy(zero_copy_only=False)
+            other[1:] |= part[1:] != part[:-1]
+        other &= ~new
         group = np.cumsum(new) - 1
         met = np.bincount(group, other) > 0  # variants of several lines
         rows = rows.filter(pa.array(met[group]))
         held, longer, shorter, replaced = None, None, None, {}
-        ids, found = [], []
-        for variant, gap, id_, place in zip(*(rows[c].to_pylist() for c in ("variant", "gap", "id", "place"))):
+        places, found = [], []
+        for variant, gap, place in zip(*(rows[c].to_pylist() for c in ("variant", "gap", "place"))):
             if variant != held:
                 held, longer, shorter, replaced = variant, None, None, {}
             # In order of place, the first that was seen is the earliest.
@@ -152,10 +175,10 @@ def _witnessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = min(seen, key=_order) if seen else None
                 longer = longer or place
             if near:
-                ids.append(id_)
+                places.append(place)
                 found.append(near)
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, rows.schema.field("place").type)],
-                               names=["id", "witness"])
+        kind = rows.schema.field("place").type
+        return pa.record_batch([pa.array(places, kind), pa.array(found, kind)], names=["place", "witness"])
 
     held = None
     for batch in batches:
@@ -175,14 +198,14 @@ def _order(place: dict) -> tuple:
 
 
 def near_earlier(lines: DataFrame) -> DataFrame:
-    """place of the lines (id, place, line; one row per different line) that have an earlier line within one edit."""
+    """place of the lines (place, line; one row per different line) that have an earlier line within one edit."""
     place = lines.schema["place"].dataType.simpleString()
-    texts = lines.select("id", "place", "line")
-    found = (texts.mapInArrow(_neighbourhood, f"variant long, gap int, id long, place {place}")
+    texts = lines.select("place", "line")
+    found = (texts.mapInArrow(_neighbourhood, f"variant long, gap int, place {place}")
              .repartition("variant").sortWithinPartitions("variant", "place", "gap")
-             .mapInArrow(_witnessed, f"id long, witness {place}")
-             .groupBy("id").agg(F.min("witness").alias("witness")))
-    return (found.join(texts, "id")
+             .mapInArrow(_witnessed, f"place {place}, witness {place}")
+             .groupBy("place").agg(F.min("witness").alias("witness")))
+    return (found.join(texts, "place")
             .join(texts.select(F.col("place").alias("witness"), F.col("line").alias("earlier")), "witness")
             .where(F.levenshtein("line", "earlier", 1) >= 0).select("place"))
 
@@ -191,19 +214,17 @@ def near_earlier(lines: DataFrame) -> DataFrame:
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, place, line of the wanted lines of each document."""
+    """place, line of the wanted lines of each document."""
     for batch in sliced(batches, "text"):
-        ids, places, lines = [], [], []
+        places, lines = [], []
         for doc_id, text, wanted in zip(batch["doc_id"].to_pylist(), unpacked(batch["text"].to_pylist()),
                                         batch["wanted"].to_pylist()):
-            own = [w for w in wanted if w["place"]["doc_id"] == doc_id]
+            own = [place for place in wanted if place["doc_id"] == doc_id]
             split = text.split(b"\n") if own else []
-            ids += [w["id"] for w in own]
-            places += [w["place"] for w in own]
-            lines += [split[w["place"]["line_no"]].decode() for w in own]
-        kind = batch.schema.field("wanted").type.value_type.field("place").type
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, kind), pa.array(lines, pa.string())],
-                              names=["id", "place", "line"])
+            places += own
+            lines += [split[place["line_no"]].decode() for place in own]
+        kind = batch.schema.field("wanted").type.value_type
+        yield pa.record_batch([pa.array(places, kind), pa.array(lines, pa.string())], names=["place", "line"])
 
 
 def _results(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -231,15 +252,15 @@ def _judged(docs: DataFrame, min_chars: int, *more: str) -> DataFrame:
     """doc_id, packed text, more... and kept: the numbers of the lines that are the first of their kind."""
     lines = _lines(docs.select("doc_id", "key", "text"))
     parts = F.when(F.char_length("line") >= min_chars, _shared_parts(F.col("line"), DEPTH))
-    different = written(lines.groupBy("id").agg(F.min("place").alias("place"), F.first(parts).alias("parts")), "lines")
+    different = written(lines.groupBy("id", "check").agg(F.min("place").alias("place"), F.first(parts).alias("parts")), "lines")
     wanted = cut_lineage(_with_partner(different.where("parts is not null"))).groupBy("place.key").agg(
-        F.collect_list(F.struct("id", "place")).alias("wanted"))
+        F.collect_list("place").alias("wanted"))
 
     # From here on one plan, in which the texts are dealt once and joined twice.
     dealt = packed(docs.select("doc_id", "key", F.col("text").cast("binary").alias("text"), *more)).repartition("key")
     texts = dealt.select("doc_id", "key", "text").join(wanted, "key").select("doc_id", "text", "wanted").mapInArrow(
-        _wanted_lines, f"id long, place {different.schema['place'].dataType.simpleString()}, line string")
-    near = near_earlier(texts.dropDuplicates(["id"]))  # repeated rows bring a line twice
+        _wanted_lines, f"place {different.schema['place'].dataType.simpleString()}, line string")
+    near = near_earlier(texts.dropDuplicates(["place"]))  # repeated rows bring a line twice
     kept = (different.select("place").join(near, "place", "left_anti").groupBy("place.key")
             .agg(F.collect_list(F.struct("place.doc_id", "place.line_no")).alias("kept")))
     return dealt.join(kept, "key", "left").select("doc_id", "text", *more, "kept")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -24,6 +25,20 @@ def test_fingerprint(text):
     assert fingerprint(None if text is None else text.encode()) == model_fingerprint(text)
 
 
+def test_long_text_in_bounded_memory():
+    """Ten MB of words, over the borders of the parts it is read in."""
+    text = (prose(random.Random(3), 900).encode() + b" \n\t") * 2000
+    text = text[:10 << 20]
+    tracemalloc.start()
+    got = fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(text), peak
+    words = text.lower().split()
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), 42) for i in range(len(words) - 2)]
+    assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
 def clusters(n, seed):
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**63, size=max(1, n // 6), dtype=np.uint64)

@@ -42,6 +42,8 @@ RADIUS = 3
 SEED = 42
 #: Largest bucket that is compared as it is.
 BUCKET = 4096
+#: Shingles of a text whose places are Python numbers at the same time.
+SPANS = 65_536
 #: Rows of whole buckets that are compared together.
 TOGETHER = 65_536
 #: The stage's search: words of 64 bits, words in a shingle, differing bits.
@@ -62,30 +64,45 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # --- fingerprints ----------------------------------------------------------------------------------
 
 
+def _spaced(text: bytes) -> bytes:
+    """The words of a text, A-Z in lower case, with one blank behind each but perhaps the last."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    parts, before = [], np.zeros(1, bool)
+    for at in range(0, len(raw), 1 << 20):
+        part = raw[at:at + (1 << 20)]
+        inside = (part != 32) & ((part < 9) | (part > 13))
+        kept = inside | np.concatenate((before, inside[:-1]))
+        parts.append(np.where(inside, part, np.uint8(32))[kept].tobytes())
+        before = inside[-1:]
+    return b"".join(parts)
+
+
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
-    """XXH64 of every shingle; bytes.lower and bytes.split act on ASCII letters and blanks only."""
+    """XXH64 of every shingle."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
+    joined = _spaced(text or b"")
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    if not joined.endswith(b" ") and joined:
+        ends = np.append(ends, len(joined))
+    if not len(ends):
         return np.empty(0, "<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > size:
-        starts, ends = starts[:1 - size], ends[size - 1:]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+    last = ends[min(size, len(ends)) - 1:]
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], "<u8")
+
+    def first(at: int) -> np.ndarray:
+        return ends[at - 1:at + SPANS - 1] + 1 if at else np.concatenate(([0], ends[:SPANS - 1] + 1))
+
+    return np.fromiter((digest(joined[a:b], SEED) for at in range(0, len(last), SPANS)
+                        for a, b in zip(first(at).tolist(), last[at:at + SPANS].tolist())), "<u8", len(last))
 
 
 def majority(hashes: np.ndarray) -> int:
     """Bits that over half of the hashes have."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     total = np.zeros(64, np.int64)
-    for at in range(0, len(bits), 255):  # sums of 255 bits fit into a byte
-        total += np.add.reduce(bits[at:at + 255], axis=0, dtype=np.uint8)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit into a byte
+        bits = np.unpackbits(hashes[at:at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 

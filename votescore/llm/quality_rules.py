@@ -15,7 +15,7 @@ judged alike and each counts in the sketches. An empty table gives an empty resu
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votescore.llm.common import let, with_row
+from votescore.llm.common import let, with_row, written
 from votescore.session import cut_lineage
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -171,10 +171,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """Rows that pass, with all their columns. The planner does not know beforehand that the thresholds are small, so
-    the rows may be shuffled once for the join."""
-    narrow = docs.select("lang", "source", "text")
-    limits = cut_lineage(thresholds(counted(narrow).select("lang", "source", "q")))
+    """Rows that pass, with all their columns. The rows are written once with their counts, so every text is counted once;
+    the thresholds are written too, so the planner knows how small they are and the rows stay where they are."""
     rows = with_row(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"),
                                  F.col("row.text").alias("text"))
-    return _joined(counted(rows).drop("text"), limits).where(verdict()).select("row.*")
+    stats = written(counted(rows).drop("text"), "counted")
+    limits = written(thresholds(stats.select("lang", "source", "q")), "thresholds")
+    return _joined(stats, limits).where(verdict()).select("row.*")

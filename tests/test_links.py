@@ -132,6 +132,16 @@ def test_each_hot_post_is_cut_at_its_own_rows(spark):
         links.vote_transitions(links.link(rows)), *columns)
 
 
+def test_short_pieces_need_no_more_tasks(spark):
+    """The number of tasks goes with the rows, whatever the length of a piece."""
+    rows = link_rows(spark, [vote(i + 1, i % 30, i, post=i % 2) for i in range(4000)])
+    cut = in_runs(rows, links.RUN, 10)
+    assert cut.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    pieces = [r.piece for r in cut.orderBy(*links.RUN).collect()]
+    assert pieces == sorted(pieces)
+    assert len(set(pieces)) >= 800 and max(map(pieces.count, set(pieces))) <= 5
+
+
 def test_one_shuffle_links_everything(spark):
     rows = link_rows(spark, random_log(5))
     plan = links.link(rows)._jdf.queryExecution().executedPlan().toString()

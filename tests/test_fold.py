@@ -52,6 +52,16 @@ def test_waves_follow_each_other(spark, monkeypatch):
     assert gates == model.gates
 
 
+def test_a_round_is_bounded_for_any_log(spark):
+    """A log of twenty slices is folded a few slices at a time, so no round runs over all that is left of it."""
+    model = Model().run(random_log(33, size=260))
+    votes = votes_frame(spark, model)
+    length = -(-votes.count() // 20)
+    counts = [count for _, count in fold._waves(votes, length, None)]
+    assert len(counts) >= 5 and max(counts) <= 4
+    assert reputation_rows(fold_votes(votes, slice_votes=length)) == model.reputation_rows()
+
+
 def test_a_wave_reads_its_own_votes(spark):
     votes = votes_frame(spark, Model().run(random_log(32, size=300)))
     parts = [part for part, count in in_waves(votes, 9, 3) if count == 3]

@@ -28,12 +28,11 @@ from votescore.functions.score import scaled
 from votescore.operators.waves import in_waves
 from votescore.session import cut_lineage
 
-# Votes folded by one task. A round costs about as much as folding a hundred thousand votes, so slices
-# are not made shorter than the minimum just to occupy every core.
+# Votes folded by one task. A round costs more than folding them, so slices are not made shorter to occupy every core.
 SLICE_VOTES = 500_000
-MIN_SLICE_VOTES = 100_000
-# Slices that run at the same time.
-WAVE_SLICES = 4_000
+# Slices that run at the same time. On hostile logs a round settles one slice, and all others of its wave run again: with
+# waves of a fixed length the work of a log is in proportion to its votes, and not to their square.
+WAVE_SLICES = 4
 
 STORED_SLICE = -1
 
@@ -276,8 +275,7 @@ def _waves(votes: DataFrame, slice_votes: int, slices: int | None, total: int |
     total = votes.count() if total is None else total
     if not total:
         return
-    parallel = min(votes.sparkSession.sparkContext.defaultParallelism, -(-total // MIN_SLICE_VOTES))
-    wanted = slices or max(parallel, -(-total // slice_votes))
+    wanted = slices or -(-total // slice_votes)
     yield from in_waves(votes, min(wanted, total), WAVE_SLICES)
 
 

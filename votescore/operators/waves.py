@@ -23,7 +23,8 @@ def in_waves(votes: DataFrame, wanted: int, most: int) -> Iterator[tuple[DataFra
     points = votes.agg(F.percentile_approx("source_op", shares, 100 * parts).alias("at")).first()["at"]
     borders = sorted(set(points))
     spark, path = votes.sparkSession, scratch_path(votes.sparkSession, "waves")
-    wave = count_at_or_below(F.col("source_op") - 1, borders).cast("int")
+    # Votes without an operation number sort first.
+    wave = F.coalesce(count_at_or_below(F.col("source_op") - 1, borders).cast("int"), F.lit(0))
     votes.repartitionByRange("source_op").withColumn("wave", wave).write.partitionBy("wave").parquet(path)
     dealt = spark.read.parquet(path)
     for k in range(len(borders) + 1):

@@ -11,6 +11,7 @@ from votescore import schemas
 from votescore.fixtures import TYPES
 from votescore.operators.active import batch_effects
 from votescore.operators.compare import diff_by_digests, expected_diff
+from votescore.plans import ranges
 from votescore.plans.ranges import catch_up, link_range, process, process_batch
 from votescore.plans.scores import committed_diff, committed_score, scores
 from votescore.plans.state import REPUTATION, VOTES, StateStore
@@ -57,6 +58,21 @@ def test_block_limit_and_resume(spark, store):
     assert StateStore(spark, store.root).create().latest() == done  # an existing store is kept
 
 
+def test_a_range_reads_its_own_operations(spark, store, monkeypatch):
+    """A log of many ranges is laid out once by range; a commit scans one folder of it, and not the log."""
+    plans, batch = [], ranges.process_batch
+
+    def seen(store, ops, *others):
+        plans.append(ops._jdf.queryExecution().executedPlan().toString())
+        return batch(store, ops, *others)
+
+    monkeypatch.setattr(ranges, "process_batch", seen)
+    rows = random_log(5, size=200)
+    catch_up(store, ops_frame(spark, raw_ops(rows)), accounts_frame(spark, range(6)), TYPES, step=4)
+    assert len(plans) >= 4 and all("PartitionFilters: [isnotnull(range" in plan and "ExistingRDD" not in plan for plan in plans)
+    assert reputation_rows(store.reputation()) == Model().run(rows).reputation_rows()
+
+
 def test_committed_batch_is_skipped_and_order_is_enforced(spark, store):
     rows = random_log(4, size=90)
     accounts = accounts_frame(spark, range(6))

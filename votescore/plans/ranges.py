@@ -13,10 +13,12 @@ from votescore.operators.links import POST, VOTE, link, link_input, vote_transit
 from votescore.operators.resolve import resolve_ops
 from votescore.operators.skew import HOT_ROWS
 from votescore.plans.state import NO_EFFECT, REPUTATION, VOTES, StateStore
-from votescore.session import counted, cut_lineage
+from votescore.session import counted, cut_lineage, scratch_path
 from votescore.sources.oplog import OpTypes, scan_ops
 
 CATCH_UP_BLOCKS = 10_000
+# Ranges from which a log is laid out by range before they are processed.
+MANY_RANGES = 4
 RANGES = "ranges"
 
 
@@ -108,6 +110,15 @@ def block_ranges(first: int, last: int, step: int = CATCH_UP_BLOCKS) -> Iterator
         yield start, min(start + step - 1, last)
 
 
+def _by_range(ops: DataFrame, first: int, step: int) -> DataFrame:
+    """The operations, written once with a folder for each range of `step` blocks (column `range`), so that a commit reads its
+    own operations and not those of all ranges. Files hold ranges of blocks, hence a task writes to few folders."""
+    path = scratch_path(ops.sparkSession, "ranges")
+    number = F.floor((F.col("block_num") - first) / step).cast("int")
+    ops.repartitionByRange("block_num").withColumn("range", number).write.partitionBy("range").parquet(path)
+    return ops.sparkSession.read.parquet(path)
+
+
 def catch_up(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTypes,
              step: int = CATCH_UP_BLOCKS, limit_block: int | None = None, bad: str | None = None) -> int:
     """Processes the log after the last committed operation, `step` blocks per commit, up to the head
@@ -122,6 +133,10 @@ def catch_up(store: StateStore, ops: DataFrame, accounts: DataFrame, types: OpTy
     edge = rest.agg(F.min("block_num").alias("first"), F.max("block_num").alias("last")).first()
     if edge.last is None:
         return done.last_block
-    for first, last in block_ranges(min(edge.first, done.last_block + 1), edge.last, step):
-        process_batch(store, rest, accounts, types, RANGES, store.latest().version + 1, first, last, bad)
+    start = min(edge.first, done.last_block + 1)
+    ranges = list(block_ranges(start, edge.last, step))
+    laid = _by_range(rest, start, step) if len(ranges) >= MANY_RANGES else None
+    for number, (first, last) in enumerate(ranges):
+        part = rest if laid is None else laid.where(F.col("range") == number).drop("range")
+        process_batch(store, part, accounts, types, RANGES, store.latest().version + 1, first, last, bad)
     return store.latest().last_block

@@ -466,7 +466,8 @@ def live_standing(spark, sf_dir):
     top = ops.agg(F.max("block_num").alias("block")).first().block
     for i in range(4):
         part = ops.where(F.col("block_num").between(top * i // 4 + 1, top * (i + 1) // 4))
-        part.coalesce(1).write.mode("append").parquet(log)
+        # One file, but the scan and the bodies before it in parallel.
+        part.repartition(1).write.mode("append").parquet(log)
     store = StateStore(spark, scratch_path(spark, "state")).create()
     query = live.start(live.read_stream(spark, log, max_files=1), accounts, TYPES, store,
                        scratch_path(spark, "live-position"), interval="1 second")

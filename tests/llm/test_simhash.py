@@ -197,3 +197,18 @@ def test_one_document_of_each_group_stays(spark):
     assert groups[1] == 0 and groups[11] == 10 and groups[901] == groups[902] == groups[900] == 900
     assert all(groups[10 * i + 2] == 10 * i for i in range(6))
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [0, 10, 20, 30, 40, 50, 900]
+
+
+def test_the_stage_finds_close_copies_by_their_fingerprints(spark, monkeypatch):
+    """Without any other candidates: copies with another last word, of which those within the radius go."""
+    real = simhash.candidates
+    monkeypatch.setattr(simhash, "candidates", lambda prints: tuple(x.where("false") for x in real(prints)))
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        words = prose(rng, 300, 2000).split()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-2] + ["some", "more"]))]
+    prints = [simhash.wide_print(np.unique(simhash.shingle_hashes(t.encode(), 5)))[0] for _, t in rows]
+    close = {i + 1 for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.RADIUS}
+    kept = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(set(range(80)) - close) and len(close) > 10

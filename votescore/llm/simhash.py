@@ -14,10 +14,12 @@ twos, over), and a block is abandoned as soon as all its lanes are over the radi
 a spanning forest leaves it. Components come from alternating star steps over these edges.
 
 The pipeline's stage wants more: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more
-(`similar_classes`). Similar sets share a shingle among the rarest fifth of each (`prefix`), so documents meet by these,
-for certain. Of those that meet, fingerprints of 256 bits set aside the ones that are far from similar: 0.8 means 15 % of
-the bits, 38, and `WIDE_RADIUS` is seven standard deviations above. The rest are verified on their sets, and only similar
-ones are linked. A bucket (shingle) with over BUCKET rows is cut into blocks and compared block by block in separate
+(`similar_classes`). The same search runs first, over a fingerprint of each set: tables, planes and components, with an
+exact check of every pair found (`search`). A similarity of 0.8 means some ten bits of 64, too many for tables, so a second
+search brings what the first can't reach. Similar sets share a shingle among the rarest fifth of each (`prefix`), so documents
+meet by these, for certain. Of those that meet, the ones that the first search connected need no more; fingerprints of 256
+bits set aside the ones that are far from similar: 0.8 means 15 % of the bits, 38, and `WIDE_RADIUS` is seven standard
+deviations above. The rest are verified on their sets, and only similar ones are linked. A bucket (shingle) with over BUCKET rows is cut into blocks and compared block by block in separate
 tasks, so its pairs meet as surely as others, at a cost that grows with its square; frequent shingles come last in the
 order and seldom are in a prefix. Components are the same.
 
@@ -578,15 +580,28 @@ def _similar_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield edges(held)
 
 
+def search(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints, the first of WORDS, are within RADIUS bits. Nodes with one
+    fingerprint are paired with the smallest of them, which stands for all in the tables."""
+    classes = prints.select("node", F.col(WORDS[0]).alias("fp")).distinct()
+    least = cut_lineage(classes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = classes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    end = lambda fp, node: least.select(F.col("fp").alias(fp), F.col("least").alias(node))
+    close = links(least.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b")
+    return equal.union(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Edges (a, b) between nodes whose sets of shingles are similar; prints have key, node, WORDS and
     prefix, texts key and text.
 
-    Sets are made again, of the candidates only. Pairs meet their sets in joins; rows of dense buckets take theirs along
-    into tiles of about TILE shingles, so that sets move once per row and tile and not once per pair.
+    Sets are made again, of the candidates only. Pairs meet their sets in joins, first those that SimHash finds, then those
+    between its components; rows of dense buckets take theirs along into tiles of about TILE shingles, so that sets move once
+    per row and tile and not once per pair.
     """
+    near = cut_lineage(search(prints))
     pairs, dense = candidates(prints)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
+    nodes = near.union(pairs).select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
     wanted = prints.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,8 +613,16 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     rows = texts.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
     sets = written(rows.mapInArrow(read, "node long, n long, shingles binary"), "shingles")
     side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
-    edges = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
-        _similar_pairs, "a long, b long")
+
+    def similar(some: DataFrame) -> DataFrame:
+        return some.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
+            _similar_pairs, "a long, b long")
+
+    near = cut_lineage(similar(near))
+    roots = components(near)
+    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    edges = near.union(similar(pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")))
     if dense.isEmpty():
         return edges
     tiles = _tiles(dense.join(sets.select("node", "n"), "node"), F.col("n") + 1, TILE)

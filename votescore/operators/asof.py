@@ -8,19 +8,25 @@ pieces, and the rows are shuffled once.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from votescore.functions.branch import count_at_or_below
 from votescore.session import cut_lineage
 
 
 def as_of(probes: DataFrame, states: DataFrame, probe_key: str, key: str, at: str, values: dict[str, str],
-          pieces: int) -> DataFrame:
+          pieces: int, borders: list[int] | None = None) -> DataFrame:
     """The probes with the values (named as given) of the newest state of their key strictly before them, NULL if there is
-    none or the key is NULL. `at` orders both; a key has at most one state at a moment."""
+    none or the key is NULL. `at` orders both; a key has at most one state at a moment. `borders` are the last moments of all
+    pieces but the last, ascending; without them `pieces` ranges are drawn, for which the rows are computed twice."""
     state = F.struct(*[F.col(c).alias(name) for c, name in values.items()])
     rows = probes.select(
         F.col(probe_key).alias("_key"), F.col(at).alias("_at"), F.struct(*probes.columns).alias("_probe"),
     ).unionByName(states.select(F.col(key).alias("_key"), F.col(at).alias("_at"), state.alias("_state")), allowMissingColumns=True)
     # Equal moments come into one piece. The pieces are checkpointed, because ranges must not be drawn twice.
-    cut = cut_lineage(rows.repartitionByRange(pieces, "_at").withColumn("_piece", F.spark_partition_id()))
+    if borders is None:
+        cut = cut_lineage(rows.repartitionByRange(pieces, "_at").withColumn("_piece", F.spark_partition_id()))
+    else:
+        piece = F.coalesce(count_at_or_below(F.col("_at") - 1, borders).cast("int"), F.lit(0)) if borders else F.lit(0)
+        cut = cut_lineage(rows.withColumn("_piece", piece).repartitionById(len(borders) + 1, "_piece"))
 
     over_pieces = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     held = F.when(F.col("_state").isNotNull(), F.col("_at"))

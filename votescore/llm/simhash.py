@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votescore.llm.common import document_key, sliced, with_row, written
+from votescore.llm.common import document_key, packed, sliced, unpacked, with_row, written
 from votescore.session import cut_lineage
 
 SHINGLE = 3
@@ -591,6 +591,24 @@ def search(prints: DataFrame) -> DataFrame:
     return equal.union(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows (t, part, node, words, n) of dense buckets in fewer buckets, in which any two that shared one still do.
+
+    Similar sets share many shingles, and as many buckets with nearly the same rows. Buckets that are connected by their rows
+    become one, with each row once, unless it would be larger than a bucket or a tile may be.
+    """
+    rows = cut_lineage(rows)
+    least = rows.groupBy("t", "part").agg(F.min("node").alias("a"))
+    roots = components(rows.join(least, ["t", "part"]).where("node <> a").select("a", F.col("node").alias("b")))
+    of_row = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("t", "part")
+    once = cut_lineage(of_row.distinct())
+    small = cut_lineage(once.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") + 1).alias("weight")).where(
+        (F.col("rows") <= BUCKET) & (F.col("weight") <= TILE // 2)).select("root"))
+    gathered = once.join(small, "root").select(F.lit(1).cast("long").alias("t"), F.col("root").alias("part"), "node", *WORDS, "n")
+    others = once.join(small, "root", "left_anti").select("node")
+    return gathered.unionByName(rows.join(others, "node", "left_semi"))
+
+
 def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Edges (a, b) between nodes whose sets of shingles are similar; prints have key, node, WORDS and
     prefix, texts key and text.
@@ -606,11 +624,13 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, size)) for t in batch["text"].to_pylist()]
+            # One text at a time: a slice is short in zstd frames only.
+            sets = [np.unique(shingle_hashes(*unpacked([t]), size)) for t in batch["text"].to_pylist()]
             yield pa.record_batch([batch["node"], pa.array([len(x) for x in sets], pa.int64()),
                                    pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "n", "shingles"])
 
-    rows = texts.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
+    # A node has one key here, so its rows lie together after the join, and texts move once.
+    rows = packed(texts).join(wanted, "key").dropDuplicates(["key", "node"]).select("node", "text")
     sets = written(rows.mapInArrow(read, "node long, n long, shingles binary"), "shingles")
     side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
 
@@ -625,7 +645,7 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     edges = near.union(similar(pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")))
     if dense.isEmpty():
         return edges
-    tiles = _tiles(dense.join(sets.select("node", "n"), "node"), F.col("n") + 1, TILE)
+    tiles = _tiles(_gathered(dense.join(sets.select("node", "n"), "node")), F.col("n") + 1, TILE)
     return edges.union(tiles.drop("n").join(sets.drop("n"), "node").repartition("t", "part").sortWithinPartitions("t", "part")
                        .mapInArrow(_similar_in_tiles, "a long, b long"))
 
@@ -662,8 +682,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame
     id last; repeated rows count once."""
     found = similar_classes(docs, size)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    of = lambda key, doc_id: F.struct(key.alias("key"), doc_id.cast("long").alias("doc_id")).alias("of")
     chosen = cut_lineage(found.groupBy("root").agg(F.min(order).alias("o")).select(
-        F.col("o.doc_id").alias("id"), F.col("o.key").alias("of")).distinct())
-    rows = with_row(docs).withColumn("of", document_key(F.col("row.doc_id"), F.col("row.text")))
-    kept = rows.join(chosen, (rows["of"] == chosen["of"]) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")))
-    return kept.select("row", rows["of"], "id").dropDuplicates(["of", "id"]).select("row.*")
+        of(F.col("o.key"), F.col("o.doc_id"))).distinct())
+    # One column, in which NULL ids are equal: the rows are dealt out by it once, for the join and for the repeated rows.
+    own = of(document_key(F.col("row.doc_id"), F.col("row.text")), F.col("row.doc_id")).alias("own")
+    return with_row(docs).select("row", own).join(chosen, F.col("own") == F.col("of")).dropDuplicates(["of"]).select("row.*")

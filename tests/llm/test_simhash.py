@@ -212,3 +212,30 @@ def test_the_stage_finds_close_copies_by_their_fingerprints(spark, monkeypatch):
     close = {i + 1 for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.RADIUS}
     kept = sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == sorted(set(range(80)) - close) and len(close) > 10
+
+
+def test_rows_of_connected_dense_buckets_move_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    buckets = {1: [1, 2, 3], 2: [2, 3, 4], 3: [1, 3], 4: [10, 11], 5: [20, 21, 22], 6: [22, 23, 24]}
+    rows = [(0, part, node, *[node] * simhash.WIDE, 5) for part, nodes in buckets.items() for node in nodes]
+    schema = "t long, part long, node long, " + ", ".join(f"{c} long" for c in simhash.WORDS) + ", n long"
+    found = {}
+    for r in simhash._gathered(spark.createDataFrame(rows, schema)).collect():
+        found.setdefault((r.t, r.part), []).append(r.node)
+    # The first three become one bucket; the last two would be over BUCKET rows and stay as they are.
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3, 4], [10, 11], [20, 21, 22], [22, 23, 24]]
+
+
+def test_kept_rows_are_dealt_out_once(spark, monkeypatch):
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (None, "h i j k l m", "z"), (None, "h i j k l m", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = drop_near_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(tuple(r) for r in kept.where("doc_id is not null").collect()) == [rows[0]]
+    assert [tuple(r) for r in kept.where("doc_id is null").collect()] == [rows[3]]
+    assert plan.count("Exchange hashpartitioning") == 2  # the documents and the chosen keys

@@ -91,3 +91,17 @@ def test_pieces_and_places(spark):
         ends = [0] + [o + n for o, n in sorted(items)]
         assert [o for o, _ in sorted(items)] == ends[:-1] and ends[-1] <= 50
     assert len(bins) <= -(-sum(r.length for r in found) // 50) * 1.1 + 1
+
+
+def test_files_of_pieces_follow_their_size(spark, monkeypatch):
+    kept, cut_lineage = [], packing.cut_lineage
+    monkeypatch.setattr(packing, "cut_lineage", lambda frame: kept.append(cut_lineage(frame)) or kept[-1])
+    docs = spark.range(90).selectExpr("id AS doc_id", "repeat('one ', CAST(id % 7 AS INT)) AS text").repartition(30)
+    found = pack(docs, PATH, capacity=50).collect()
+    assert kept[0].rdd.getNumPartitions() <= 4  # spark.sql.shuffle.partitions
+    assert sorted(r.doc_id for r in found) == list(range(90))
+    bins = {}
+    for r in found:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in map(sorted, bins.values()):
+        assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))]

@@ -1,3 +1,5 @@
+import re
+
 from votescore import schemas
 from votescore.operators.links import REMOVAL, VOTE, ROW
 
@@ -30,3 +32,9 @@ def reputation_rows(df):
 
 def active_rows(df):
     return sorted_rows(df, "author_id", "voter_id", "permlink", "rshares")
+
+
+def size_digits(df):
+    """Digits of the size that the planner expects, 0 if it has fewer than a dozen or so."""
+    far = re.search(r"E\+(\d+)", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    return int(far[1]) if far else 0

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from votescore.functions.score import scaled
 from votescore.operators.waves import in_waves
-from votescore.session import cut_lineage
+from votescore.session import cut_lineage, measured
 
 # Votes folded by one task. A round costs more than folding them, so slices are not made shorter to occupy every core.
 SLICE_VOTES = 500_000
@@ -288,6 +288,11 @@ def merge_reputation(stored: DataFrame, changes: DataFrame) -> DataFrame:
     ).select("account_id", "state.reputation", "state.is_implicit")
 
 
+def after_wave(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """`merge_reputation` between waves. The next changes are made from it and merged with it, so its size is taken anew."""
+    return measured(merge_reputation(stored, changes), "state")
+
+
 def _no_state(votes: DataFrame) -> DataFrame:
     return votes.sparkSession.createDataFrame([], "account_id int, reputation bigint, is_implicit boolean")
 

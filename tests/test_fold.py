@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tests.helpers import VOTES, reputation_rows, sorted_rows
+from tests.helpers import VOTES, reputation_rows, size_digits, sorted_rows
 from tests.model import Model, random_log
 from votescore.operators import fold
 from votescore.operators.fold import fold_votes, merge_reputation, vote_gates
@@ -151,3 +151,16 @@ def test_one_slice_per_task(spark):
     held = laid.groupBy(fold.F.spark_partition_id().alias("part")).agg(fold.F.count_distinct("slice").alias("n")).collect()
     assert len(held) == 12 and all(r.n == 1 for r in held)
     laid.unpersist()
+
+
+def test_estimated_sizes_do_not_grow_with_the_waves(spark, monkeypatch):
+    """They are numbers of any length, held by the driver; each wave doubled their digits."""
+    monkeypatch.setattr(fold, "WAVE_SLICES", 1)
+    held, settle = [], fold._settle
+    monkeypatch.setattr(fold, "_settle", lambda votes, state, *given, **kept: held.append(size_digits(state)) or settle(votes, state, *given, **kept))
+    model = Model().run(random_log(81, size=250))
+    votes = votes_frame(spark, model)
+    changes = fold_votes(votes, slices=8)
+    assert reputation_rows(changes) == model.reputation_rows()
+    assert sorted_rows(vote_gates(votes, slices=8), "source_op", "undone", "applied") == model.gates
+    assert len(held) > 14 and max(held) < 100 and size_digits(changes) < 100

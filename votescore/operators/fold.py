@@ -308,11 +308,11 @@ def fold_votes(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
     total = None
     for part, count in _waves(votes, slice_votes, slices, count_of_votes):
         if total is not None:
-            start = cut_lineage(merge_reputation(start, changes))
+            start = after_wave(start, changes)
         laid = _slices(part, count)
         changes = cut_lineage(_changes(_settle(laid, start, count)[0]))
         laid.unpersist()
-        total = changes if total is None else cut_lineage(merge_reputation(total, changes))
+        total = changes if total is None else after_wave(total, changes)
     return total if total is not None else _no_state(votes)
 
 
@@ -328,5 +328,5 @@ def vote_gates(votes: DataFrame, stored: DataFrame | None = None, slice_votes: i
         trace = cut_lineage(_cogroup(laid, starts, count, trace=True))
         laid.unpersist()
         traces = trace if traces is None else traces.unionByName(trace)
-        start = merge_reputation(start, cut_lineage(_changes(line)))
+        start = after_wave(start, cut_lineage(_changes(line)))
     return traces if traces is not None else votes.sparkSession.createDataFrame([], _TRACED)

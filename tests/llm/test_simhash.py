@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from corpus_pipeline import simhash_near_dedup
 from tests.llm.corpora import WORD, prose
 from votescore.llm import simhash
 from votescore.llm.simhash import close_pairs, components, drop_near_duplicates, fingerprint, links, near_duplicates, smallest_reachable
@@ -239,3 +240,25 @@ def test_kept_rows_are_dealt_out_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in kept.where("doc_id is not null").collect()) == [rows[0]]
     assert [tuple(r) for r in kept.where("doc_id is null").collect()] == [rows[3]]
     assert plan.count("Exchange hashpartitioning") == 2  # the documents and the chosen keys
+
+
+def test_the_stage_keeps_one_row_of_all_that_the_operator_links(spark):
+    """Also of texts whose repeated words give them close fingerprints, while their sets of five words differ; and of similar
+    sets, whose fingerprints differ."""
+    rng, texts = random.Random(33), [None, "", "one", "two words"]
+    for _ in range(12):
+        words, many = prose(rng, 60, 400).split(), prose(rng, 60, 400).split()
+        chorus = " ".join(many[:13]) + " "
+        texts += [chorus * 30 + " ".join(words[:10]), chorus * 30 + " ".join(words[10:20]), chorus * 20 + " ".join(words[20:34])]
+        long = prose(rng, 300, 1500).split()
+        texts += [" ".join(long), " ".join(long[:100] + ["new"] + long[100:160] + ["other"] + long[160:])]
+    n = len(texts)
+    prints = [model_fingerprint(t) for t in texts]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    close = {(i, j) for j in range(n) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    similar = {(i, j) for j in range(n) for i in range(j) if sets[i] | sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(close - similar) > 10 and len(similar - close) > 5
+    u, v = np.array(sorted(close | similar)).T
+    want = sorted(set(smallest_reachable(n, u, v).tolist()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_near_dedup(spark, docs, "").collect()) == want

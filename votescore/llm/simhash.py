@@ -23,6 +23,9 @@ deviations above. The rest are verified on their sets, and only similar ones are
 tasks, so its pairs meet as surely as others, at a cost that grows with its square; frequent shingles come last in the
 order and seldom are in a prefix. Components are the same.
 
+With `fingerprints` the groups hold all links of the operator too: fingerprints over three words, repeats included, within
+`RADIUS` bits, whatever the similarity of the sets. These come first, and pairs that they connect need no set.
+
 NULL or blank texts have fingerprint zero, like any other zero. Repeated rows and rows that share a doc_id get the
 component of their fingerprint; a NULL doc_id counts only if no other is in the component (then component_id is NULL).
 An empty table gives an empty result.
@@ -609,9 +612,25 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return gathered.unionByName(rows.join(others, "node", "left_semi"))
 
 
-def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Edges (a, b) between nodes whose sets of shingles are similar; prints have key, node, WORDS and
-    prefix, texts key and text.
+def _fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all nodes whose texts have fingerprints `fp` in one component."""
+    classes = cut_lineage(prints.select("node", "fp").distinct())
+    roots = components(links(classes.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"))
+    return rooted.join(least, "root").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes have different roots."""
+    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, size: int, linked: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between nodes whose sets of shingles are similar, and those that are `linked`; prints have key, node, WORDS
+    and prefix, texts key and text.
 
     Sets are made again, of the candidates only. Pairs meet their sets in joins, first those that SimHash finds, then those
     between its components; rows of dense buckets take theirs along into tiles of about TILE shingles, so that sets move once
@@ -619,6 +638,10 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """
     near = cut_lineage(search(prints))
     pairs, dense = candidates(prints)
+    if linked is not None:
+        linked = cut_lineage(linked)
+        known = components(linked)
+        near, pairs = (cut_lineage(_apart(some, known)) for some in (near, pairs))
     nodes = near.union(pairs).select(F.explode(F.array("a", "b")).alias("node")).union(dense.select("node")).distinct()
     wanted = prints.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node")
 
@@ -639,10 +662,8 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             _similar_pairs, "a long, b long")
 
     near = cut_lineage(similar(near))
-    roots = components(near)
-    root = lambda node: roots.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"))
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    edges = near.union(similar(pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(apart).select("a", "b")))
+    near = near if linked is None else near.union(linked)
+    edges = near.union(similar(_apart(pairs, components(near))))
     if dense.isEmpty():
         return edges
     tiles = _tiles(_gathered(dense.join(sets.select("node", "n"), "node")), F.col("n") + 1, TILE)
@@ -650,9 +671,9 @@ def similar_links(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                        .mapInArrow(_similar_in_tiles, "a long, b long"))
 
 
-def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, key, node and root of every row: rows with equal roots are similar to each other, by links. A node is a
-    set of shingles."""
+def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE, fingerprints: bool = False) -> DataFrame:
+    """doc_id, key, node and root of every row: rows with equal roots are similar to each other, by links; with `fingerprints`
+    also by those of the operator. A node is a set of shingles."""
 
     key = document_key(docs["doc_id"], docs["text"]).alias("key")
     texts = docs.select(F.col("doc_id").cast("long"), key, F.col("text").cast("binary"))
@@ -668,19 +689,22 @@ def similar_classes(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
             rare = [prefix(x, counts) if len(x) else x for x in sets]
             ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare).view(np.int64)))
+            own = map(fingerprint, batch["text"].to_pylist()) if fingerprints else [0] * batch.num_rows
+            fp = np.fromiter(own, np.uint64, batch.num_rows).view(np.int64)
             yield pa.record_batch([batch["doc_id"], batch["key"], *(pa.array(prints[:, k].copy()) for k in range(WIDE)),
-                                   pa.array(nodes), lists], names=["doc_id", "key", *WORDS, "node", "prefix"])
+                                   pa.array(nodes), lists, pa.array(fp)], names=["doc_id", "key", *WORDS, "node", "prefix", "fp"])
 
-    schema = "doc_id long, key long, " + ", ".join(f"{c} long" for c in WORDS) + ", node long, prefix array<long>"
+    schema = "doc_id long, key long, " + ", ".join(f"{c} long" for c in WORDS) + ", node long, prefix array<long>, fp long"
     prints = cut_lineage(texts.mapInArrow(read, schema))
-    roots = components(similar_links(prints, texts.select("key", "text"), size))
+    linked = _fingerprint_links(prints) if fingerprints else None
+    roots = components(similar_links(prints, texts.select("key", "text"), size, linked))
     return prints.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = WIDE_SHINGLE) -> DataFrame:
-    """One row of every group of similar documents, with all its columns: the smallest (doc_id, key), rows without an
-    id last; repeated rows count once."""
-    found = similar_classes(docs, size)
+def drop_near_duplicates(docs: DataFrame, size: int = WIDE_SHINGLE, fingerprints: bool = False) -> DataFrame:
+    """One row of every group of similar documents (see `similar_classes`), with all its columns: the smallest (doc_id, key),
+    rows without an id last; repeated rows count once."""
+    found = similar_classes(docs, size, fingerprints)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     of = lambda key, doc_id: F.struct(key.alias("key"), doc_id.cast("long").alias("doc_id")).alias("of")
     chosen = cut_lineage(found.groupBy("root").agg(F.min(order).alias("o")).select(
